@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.constants import QUANTILE_COLUMNS
+from tidecast.constants import CLIMATE_COLUMNS, QUANTILE_COLUMNS
+from tidecast.operators import ensemble as en
 from tidecast.operators import rollup
+from tidecast.operators import scores as so
+from tidecast.plans import backtest, baselines
+from tidecast.plans.hierarchical import hierarchical
+from tidecast.session import handoff
 from tidecast.sources import star
 
+MEMBERS = ["climatological_quantile", "seasonal_naive", "hierarchical_climatological"]
+ENSEMBLES = ["ensemble_vincent", "ensemble_invwis", "ensemble_conformal"]
+
 
 def r6(c: Column | str, name: str | None = None) -> Column:
     rounded = F.round(F.col(c) if isinstance(c, str) else c, 6)
@@ -29,10 +37,22 @@ def state_cases(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> Da
     return rollup.sum_to_state(star.cases(spark, sf_dir, disease), star.EXCLUDED)
 
 
-def state_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:
+def state_series_raw(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:
+    """Dense weekly state series straight from the raw facts."""
     return rollup.densify(state_cases(spark, sf_dir, disease))
 
 
+def state_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:
+    """The same series as a written table: the raw facts are scanned once, however often it is used."""
+    written = handoff(spark, f"series:{disease}:{sf_dir}", lambda: state_series_raw(spark, sf_dir, disease))
+    return by_geo(written)
+
+
+def by_geo(df: DataFrame) -> DataFrame:
+    """Partition by geo once, so that the windows and aggregates per geo that follow add no exchange."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "geo")
+
+
 def city_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:
     """Dense series of the target cities under the generic geo column."""
     cities = star.weekly_counts(spark, sf_dir, disease).join(star.target_cities(spark, sf_dir), "geocode", "left_semi")
@@ -40,4 +60,49 @@ def city_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> Da
 
 
 def state_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.state_population(star.population(spark, sf_dir), star.geo_map(spark, sf_dir))
+    return handoff(spark, f"population:{sf_dir}", lambda: rollup.state_population(
+        star.population(spark, sf_dir), star.geo_map(spark, sf_dir)))
+
+
+def state_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handoff(spark, f"climate:{sf_dir}", lambda: rollup.weighted_mean(
+        star.climate(spark, sf_dir), star.population(spark, sf_dir), star.geo_map(spark, sf_dir),
+        ["uf", "date"], CLIMATE_COLUMNS, star.EXCLUDED).withColumnRenamed("uf", "geo"))
+
+
+# ---- stages handed over as written tables ----
+
+def members_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored forecasts of the four statistical members, written once per application."""
+
+    def build() -> DataFrame:
+        folds = star.folds(spark)
+        series = state_series(spark, sf_dir)
+        population = state_population(spark, sf_dir)
+        geo_map = star.geo_map(spark, sf_dir)
+        forecasters = [
+            baselines.naive, baselines.seasonal_naive, baselines.climatological,
+            lambda s, f: hierarchical(s, f, population, geo_map),
+        ]
+        return backtest.score(backtest.run(forecasters, series, folds), series, folds)
+
+    return handoff(spark, f"members:{sf_dir}", build, ["fold_id"])
+
+
+def ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median, weighted and recalibrated ensemble, stacked (not yet scored)."""
+    scored = members_scored(spark, sf_dir)
+    vincent = en.median_ensemble(scored, MEMBERS)
+    weighted = en.weighted_ensemble(scored, en.inverse_score_weights(scored, MEMBERS))
+    return vincent.unionByName(weighted).unionByName(en.conformal_ensemble(vincent))
+
+
+def all_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members and ensembles, scored, written once per application."""
+
+    def build() -> DataFrame:
+        members = members_scored(spark, sf_dir)
+        combined = so.attach_scores(ensembles(spark, sf_dir))
+        return members.unionByName(combined, allowMissingColumns=True)
+
+    return handoff(spark, f"scored:{sf_dir}", build, ["fold_id"])

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidecast.catalog import inputs as inp
 from tidecast.catalog import sql
 from tidecast.catalog.registry import query
+from tidecast.constants import METRIC_COLUMNS, QUANTILE_COLUMNS
 from tidecast.operators import scores as so
 from tidecast.plans import backtest, baselines
+from tidecast.plans.hierarchical import hierarchical
 from tidecast.sources import star
 
 _KEYS = "model, fold_id, geo, date, origin_date, horizon_weeks"
@@ -21,7 +23,7 @@ SELECT model, fold_id, count(*) AS rows, {sql.r6('avg(wis)', 'mean_wis')},
 FROM v_clim_scored GROUP BY ALL""")
 def m03_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = star.folds(spark)
-    series = inp.state_series(spark, sf_dir)
+    series = inp.state_series_raw(spark, sf_dir)
     scored = backtest.score(baselines.climatological(series, folds), series, folds)
     return scored.groupBy("model", "fold_id").agg(
         F.count("*").alias("rows"), F.round(F.avg("wis"), 6).alias("mean_wis"),
@@ -46,3 +48,63 @@ def m02(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m03_climatological_quantile", f"SELECT {_KEYS}, {sql.spread()} FROM v_clim")
 def m03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forecast(baselines.climatological(inp.state_series(spark, sf_dir), star.folds(spark)))
+
+
+@query("m04_hierarchical_climatology", f"SELECT {_KEYS}, {sql.spread()} FROM v_hier")
+def m04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forecast(hierarchical(
+        inp.state_series(spark, sf_dir), star.folds(spark), inp.state_population(spark, sf_dir),
+        star.geo_map(spark, sf_dir),
+    ))
+
+
+def _ensemble_scored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    columns = ["model", "fold_id", "geo", "date", "horizon_weeks", "observed_value", *QUANTILE_COLUMNS, "wis"]
+    chosen = inp.all_scored(spark, sf_dir).filter(F.col("model") == name)
+    return inp.round_all(chosen.select(*columns))
+
+
+def _ensemble_sql(name: str) -> str:
+    wide = ", ".join(sql.r6(c, c) for c in QUANTILE_COLUMNS)
+    return (
+        f"SELECT model, fold_id, geo, date, horizon_weeks, observed_value, {wide}, {sql.r6('wis', 'wis')} "
+        f"FROM v_ensembles_scored WHERE model = '{name}'"
+    )
+
+
+@query("m07_vincentised_ensemble", _ensemble_sql("ensemble_vincent"))
+def m07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ensemble_scored(spark, sf_dir, "ensemble_vincent")
+
+
+@query("m08_inverse_wis_ensemble", _ensemble_sql("ensemble_invwis"))
+def m08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ensemble_scored(spark, sf_dir, "ensemble_invwis")
+
+
+@query("m09_conformal_ensemble", _ensemble_sql("ensemble_conformal"))
+def m09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ensemble_scored(spark, sf_dir, "ensemble_conformal")
+
+
+@query("m10_backtest_driver", f"""
+SELECT model, fold_id, min(origin_date) AS origin_date, min(date) AS first_date, max(date) AS last_date,
+       count(*) AS rows, count(DISTINCT geo) AS geos FROM v_members GROUP BY ALL""")
+def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = star.folds(spark)
+    population, geo_map = inp.state_population(spark, sf_dir), star.geo_map(spark, sf_dir)
+    forecasters = [baselines.naive, baselines.seasonal_naive, baselines.climatological,
+                   lambda s, f: hierarchical(s, f, population, geo_map)]
+    forecasts = backtest.run(forecasters, inp.state_series(spark, sf_dir), folds)
+    return forecasts.groupBy("model", "fold_id").agg(
+        F.min("origin_date").alias("origin_date"), F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"), F.count("*").alias("rows"), F.countDistinct("geo").alias("geos"),
+    )
+
+
+@query("m12_scoring_driver", f"""
+SELECT model, fold_id, geo, date, horizon_weeks, observed_value, {", ".join(sql.r6(c, c) for c in METRIC_COLUMNS[:5])},
+       coverage_50, coverage_80, coverage_90, coverage_95 FROM v_scored""")
+def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["model", "fold_id", "geo", "date", "horizon_weeks", "observed_value", *METRIC_COLUMNS]
+    return inp.round_all(inp.members_scored(spark, sf_dir).select(*columns))

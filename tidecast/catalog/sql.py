@@ -199,3 +199,96 @@ def scored_view(source: str, observed: str = "v_series") -> str:
 
 
 CTES["v_clim_scored"] = scored_view("v_clim")
+
+_HIER_WEEKS = " , ".join(f"((w.target_week - 1 + 53 + ({o})) % 53) + 1" for o in range(-2, 3))
+CTES.update({
+    "v_region": "SELECT uf AS geo, max(macroregion) AS region FROM v_geo GROUP BY 1",
+    "v_hier_train": f"SELECT f.fold_id, i.geo, r.region, {epi_week('i.date')} AS epiweek, i.casos, i.incidence "
+                    "FROM v_inc i JOIN v_folds f ON i.date <= f.train_cutoff LEFT JOIN v_region r USING (geo) "
+                    "WHERE i.population > 0",
+    "v_hier_own": f"SELECT fold_id, geo, target_week, quantile_cont(incidence, {LEVELS}) AS q FROM v_hier_train t "
+                  f"JOIN v_spine w ON t.epiweek IN ({_HIER_WEEKS}) GROUP BY ALL",
+    "v_hier_region": f"SELECT fold_id, region, target_week, quantile_cont(incidence, {LEVELS}) AS q "
+                     f"FROM v_hier_train t JOIN v_spine w ON t.epiweek IN ({_HIER_WEEKS}) GROUP BY ALL",
+    "v_volume": "SELECT fold_id, geo, sum(casos)::DOUBLE AS volume FROM v_hier_train GROUP BY ALL",
+    "v_shrink": "SELECT fold_id, geo, volume / (volume + kappa) AS weight FROM v_volume JOIN "
+                "(SELECT fold_id, quantile_cont(volume, 0.5) AS kappa FROM v_volume GROUP BY 1) USING (fold_id)",
+    "v_hier": "SELECT 'hierarchical_climatological' AS model, g.fold_id, g.geo, g.date, g.origin_date, "
+              "g.horizon_weeks, list_transform(generate_series(1, 9), lambda i: greatest((coalesce(s.weight, 0.5) * "
+              "coalesce(o.q[i], 0) + (1 - coalesce(s.weight, 0.5)) * coalesce(x.q[i], 0)) * p.population / 1e5, 0)) "
+              "AS q FROM v_grid g LEFT JOIN v_region r USING (geo) "
+              f"LEFT JOIN v_hier_own o ON o.fold_id = g.fold_id AND o.geo = g.geo AND o.target_week = {epi_week('g.date')} "
+              "LEFT JOIN v_hier_region x ON x.fold_id = g.fold_id AND x.region = r.region "
+              f"AND x.target_week = {epi_week('g.date')} "
+              "LEFT JOIN v_shrink s ON s.fold_id = g.fold_id AND s.geo = g.geo CROSS JOIN v_pop_years y "
+              "LEFT JOIN v_state_pop p ON p.geo = g.geo AND p.year = least(greatest(year(g.date), y.lo), y.hi)",
+    "v_members": "SELECT * FROM v_naive UNION ALL SELECT * FROM v_snaive UNION ALL SELECT * FROM v_clim "
+                 "UNION ALL SELECT * FROM v_hier",
+    "v_scored": scored_view("v_members"),
+})
+
+
+def rescore(source: str) -> str:
+    """Score a wide view that already carries its observation."""
+    return (
+        f"SELECT model, fold_id, geo, date, origin_date, horizon_weeks, {WIDE}, y AS observed_value, {SCORED_COLUMNS} "
+        f"FROM (SELECT *, observed_value AS y FROM {source})"
+    )
+
+
+def sorted_wide(source: str, keep: str) -> str:
+    """Re-sort the nine wide columns of every row."""
+    return f"SELECT {keep}, {RAW_SPREAD} FROM (SELECT {keep}, list_sort([{WIDE}]) AS q FROM ({source}))"
+
+
+MEMBERS = ["climatological_quantile", "seasonal_naive", "hierarchical_climatological"]
+MEMBER_LIST = ", ".join(f"'{m}'" for m in MEMBERS)
+_UNIT = "fold_id, geo, date, horizon_weeks"
+_CARRY = "max(origin_date) AS origin_date, max(observed_value) AS observed_value"
+_KEEP = f"model, {_UNIT}, origin_date, observed_value"
+_UPPER = "(observed_value - pred) / greatest(upper_{0} - pred, 1e-9)"
+_LOWER = "(pred - observed_value) / greatest(pred - lower_{0}, 1e-9)"
+
+
+def multiples(source: str, where: str, extra: str = "") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {extra}{v} AS level, CASE WHEN observed_value > pred THEN {_UPPER.format(v)} WHEN observed_value < pred "
+        f"THEN {_LOWER.format(v)} ELSE 0 END AS multiple FROM {source} WHERE {where}" for v in INTERVAL_LEVELS
+    )
+
+
+def widened(source: str, factors: str, name: str, keep: str = _KEEP, on: str = "") -> str:
+    """Apply one factor per level (a view with columns level, factor) about the median."""
+    cols = []
+    for c in QUANTILE_COLUMNS:
+        if c == "pred":
+            cols.append("pred")
+        else:
+            f = f"(SELECT factor FROM {factors} x WHERE x.level = {c.split('_')[1]}{on})"
+            cols.append(f"pred + {f} * ({c} - pred) AS {c}")
+    others = keep.replace("model, ", "")
+    return sorted_wide(f"SELECT '{name}' AS model, {others}, {', '.join(cols)} FROM {source} e", keep)
+
+
+CTES.update({
+    "v_vincent": sorted_wide(
+        f"SELECT 'ensemble_vincent' AS model, {_UNIT}, {_CARRY}, "
+        + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in QUANTILE_COLUMNS)
+        + f" FROM v_scored WHERE model IN ({MEMBER_LIST}) GROUP BY {_UNIT}", _KEEP),
+    "v_fold_weights": "SELECT fold_id, model, (1 / m) / sum(1 / m) OVER (PARTITION BY fold_id) AS weight FROM "
+                      f"(SELECT fold_id, model, avg(wis) AS m FROM v_scored WHERE model IN ({MEMBER_LIST}) GROUP BY ALL)",
+    "v_weights": "SELECT model, weight FROM v_fold_weights WHERE fold_id = 1",
+    "v_invwis": sorted_wide(
+        f"SELECT 'ensemble_invwis' AS model, {_UNIT}, {_CARRY}, "
+        + ", ".join(f"sum({c} * weight) / sum(weight) AS {c}" for c in QUANTILE_COLUMNS)
+        + f" FROM v_scored JOIN v_weights USING (model) GROUP BY {_UNIT}", _KEEP),
+    "v_multiples": multiples("v_vincent", "fold_id = 1"),
+    "v_factors": "SELECT level, CASE level " + " ".join(
+        f"WHEN {v} THEN quantile_cont(multiple, {v / 100})" for v in INTERVAL_LEVELS
+    ) + " END AS factor FROM v_multiples GROUP BY level",
+    "v_conformal": widened("v_vincent", "v_factors", "ensemble_conformal"),
+    "v_ensembles": f"SELECT {_KEEP}, {WIDE} FROM v_vincent UNION ALL SELECT {_KEEP}, {WIDE} FROM v_invwis "
+                   f"UNION ALL SELECT {_KEEP}, {WIDE} FROM v_conformal",
+    "v_ensembles_scored": rescore("v_ensembles"),
+    "v_all_scored": "SELECT * FROM v_scored UNION ALL BY NAME SELECT * FROM v_ensembles_scored",
+})

@@ -26,7 +26,9 @@ def densify(series: DataFrame, keys: tuple[str, ...] = (), value: str = "casos")
     """
     partitions = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     series = series.repartition(partitions, *keys, "geo")
-    span_cols = [F.min("date").alias("_first"), F.max("date").alias("_last")]
+    # Whole rows go into min and max so that both uses of the series read the same shuffle files.
+    row = F.struct("date", value)
+    span_cols = [F.min(row)["date"].alias("_first"), F.max(row)["date"].alias("_last")]
     if keys:
         span = series.groupBy(*keys).agg(*span_cols)
         bounded = series.join(F.broadcast(span), list(keys))
