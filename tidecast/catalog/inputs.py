@@ -18,14 +18,17 @@ MEMBERS = ["climatological_quantile", "seasonal_naive", "hierarchical_climatolog
 ENSEMBLES = ["ensemble_vincent", "ensemble_invwis", "ensemble_conformal"]
 
 
-def r6(c: Column | str, name: str | None = None) -> Column:
-    rounded = F.round(F.col(c) if isinstance(c, str) else c, 6)
+SEASONAL_VALUES = ["temp_med", "umid_med", "precip_tot"]
+
+
+def r6(c: Column | str, name: str | None = None, digits: int = 6) -> Column:
+    rounded = F.round(F.col(c) if isinstance(c, str) else c, digits)
     return rounded.alias(name or c)
 
 
-def round_all(df: DataFrame) -> DataFrame:
-    """Every DOUBLE column rounded to six places."""
-    return df.select(*[r6(name) if kind == "double" else F.col(name) for name, kind in df.dtypes])
+def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Every DOUBLE column rounded."""
+    return df.select(*[r6(name, digits=digits) if kind == "double" else F.col(name) for name, kind in df.dtypes])
 
 
 def rounded_quantiles(df: DataFrame, column: str = "q") -> DataFrame:
@@ -106,3 +109,17 @@ def all_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         return members.unionByName(combined, allowMissingColumns=True)
 
     return handoff(spark, f"scored:{sf_dir}", build, ["fold_id"])
+
+
+def static_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population shares of the climate classes and biomes per state."""
+    weights = rollup.fixed_year_weight(star.population(spark, sf_dir), 2000)
+    return rollup.category_shares(star.environment(spark, sf_dir), weights, star.geo_map(spark, sf_dir),
+                                  {"koppen": star.KOPPEN, "biome": star.BIOMES})
+
+
+def state_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted seasonal forecast per state, issue month and months ahead."""
+    return rollup.weighted_seasonal(
+        star.seasonal_forecast(spark, sf_dir), star.customer_weight(spark, sf_dir),
+        star.customer_map(spark, sf_dir), SEASONAL_VALUES)

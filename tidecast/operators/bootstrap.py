@@ -63,7 +63,7 @@ def replicate_draws(numbered: DataFrame, replicates: int, seed: int = 42) -> Dat
     collapse to a count before they travel to the join.
     """
     reps = numbered.select("unit_no", "n_units").withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).cast("bigint")
+        "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint")))
     )
     drawn = draw_index(reps, F.col("rep"), F.col("unit_no"), F.col("n_units"), seed)
     return drawn.groupBy("rep", F.col("draw").alias("unit_no")).agg(F.count("*").alias("times"))

@@ -56,7 +56,7 @@ def grid_completeness(df: DataFrame, geo: str, date: str) -> DataFrame:
     histogram = per_geo.groupBy("weeks").agg(F.count("*").alias("geos"), F.sum("rows").alias("rows"))
     spread = histogram.agg(
         F.sum("rows").alias("rows"), F.sum("geos").alias("geos"), F.min("weeks").alias("min_weeks"),
-        F.percentile("weeks", 0.5, "geos").alias("median_weeks"), F.max("weeks").alias("max_weeks"),
+        F.percentile("weeks", 0.5, F.col("geos")).alias("median_weeks"), F.max("weeks").alias("max_weeks"),
     )
     weeks = df.groupBy(date).agg(F.lit(1)).agg(F.count("*").alias("weeks"))
     return spread.join(F.broadcast(weeks)).withColumn("complete", F.col("rows") / (F.col("weeks") * F.col("geos")))
