@@ -9,7 +9,7 @@ from tidecast.constants import CLIMATE_COLUMNS, QUANTILE_COLUMNS
 from tidecast.operators import ensemble as en
 from tidecast.operators import rollup
 from tidecast.operators import scores as so
-from tidecast.plans import backtest, baselines
+from tidecast.plans import backtest, baselines, panel
 from tidecast.plans.hierarchical import hierarchical
 from tidecast.session import handoff
 from tidecast.sources import star
@@ -123,3 +123,23 @@ def state_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.weighted_seasonal(
         star.seasonal_forecast(spark, sf_dir), star.customer_weight(spark, sf_dir),
         star.customer_map(spark, sf_dir), SEASONAL_VALUES)
+
+
+MIN_ORIGIN = "1996-01-07"
+
+
+def panel_inputs(spark: SparkSession, sf_dir: str) -> tuple:
+    """Arguments of the panel builders after (series, folds)."""
+    return (
+        state_population(spark, sf_dir), state_climate(spark, sf_dir), star.ocean(spark, sf_dir),
+        state_seasonal(spark, sf_dir), static_shares(spark, sf_dir),
+    )
+
+
+def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel of all folds, written once: model fits pass over it many times."""
+    return handoff(spark, f"panel:{sf_dir}", lambda: panel.build(
+        state_series(spark, sf_dir), star.folds(spark), *panel_inputs(spark, sf_dir), MIN_ORIGIN), ["fold_id"])
+
+
+PANEL_STATIC = [f"koppen_frac_{k}" for k in star.KOPPEN] + [f"biome_frac_{b.replace(' ', '_')}" for b in star.BIOMES]

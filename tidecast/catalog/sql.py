@@ -292,3 +292,59 @@ CTES.update({
     "v_ensembles_scored": rescore("v_ensembles"),
     "v_all_scored": "SELECT * FROM v_scored UNION ALL BY NAME SELECT * FROM v_ensembles_scored",
 })
+
+_LAG_SQL = ", ".join(f"lag(log_inc, {k - 1}) OVER w AS lag_{k}" for k in (1, 2, 3, 4, 8, 52))
+_OCEAN_SQL = ", ".join(f"lag({i}, {k}) OVER (ORDER BY date) AS {i}_lag{k}"
+                       for i in ("enso", "iod", "pdo") for k in (0, 4, 8, 12, 26, 52))
+OCEAN_LAGS = ", ".join(f"{i}_lag{k}" for i in ("enso", "iod", "pdo") for k in (0, 4, 8, 12, 26, 52))
+CTES.update({
+    "v_ocean_lags": f"SELECT date, {_OCEAN_SQL} FROM v_ocean",
+    "v_origin": "SELECT i.geo, i.date, i.casos, i.population, i.log_inc, c.temp_med, c.precip_med, c.rel_humid_med, "
+                f"{epi_week('i.date')} AS epiweek, {_LAG_SQL}, "
+                "avg(log_inc) OVER (PARTITION BY i.geo ORDER BY i.date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS roll_mean_4, "
+                "stddev_samp(log_inc) OVER (PARTITION BY i.geo ORDER BY i.date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) "
+                "AS roll_std_4, "
+                "avg(log_inc) OVER (PARTITION BY i.geo ORDER BY i.date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS roll_mean_8, "
+                "max(log_inc) OVER (PARTITION BY i.geo ORDER BY i.date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS roll_max_12, "
+                + ", ".join(f"avg({c}) OVER (PARTITION BY i.geo ORDER BY i.date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) "
+                            f"AS {c}_roll4" for c in ("temp_med", "precip_med", "rel_humid_med"))
+                + " FROM v_inc i LEFT JOIN v_state_climate c USING (geo, date) WINDOW w AS (PARTITION BY i.geo ORDER BY i.date)",
+    "v_origin_fold": "SELECT f.fold_id, f.train_cutoff, f.target_start, f.target_end, o.*, o.temp_med - avg(o.temp_med) OVER "
+                     "(PARTITION BY f.fold_id, o.geo, o.epiweek) AS temp_anomaly FROM v_origin o "
+                     "JOIN v_folds f ON o.date <= f.train_cutoff",
+    "v_static": "SELECT uf AS geo, " + ", ".join(
+        f"coalesce(sum(CASE WHEN {col} = '{v}' THEN w ELSE 0 END)::DOUBLE / nullif(sum(w), 0), 0) AS "
+        f"{col}_frac_{v.replace(' ', '_')}"
+        for col, values in (("koppen", [f"K{i}" for i in range(9)]), ("biome", [f"biome {i}" for i in range(6)]))
+        for v in values) + " FROM (SELECT e.*, g.uf, coalesce(p.population, 0) AS w FROM v_environment e "
+        "JOIN v_geo g USING (geocode) LEFT JOIN v_pop p ON p.geocode = e.geocode AND p.year = 2000) GROUP BY uf",
+    "v_pairs": "SELECT o.fold_id, o.train_cutoff, o.target_start, o.target_end, o.geo, o.date AS origin_date, "
+               "CAST(h AS INTEGER) AS horizon_weeks, o.date + CAST(7 * h AS INTEGER) AS target_date "
+               "FROM v_origin_fold o CROSS JOIN generate_series(1, 68) t(h)",
+    "v_anchor_dates": "SELECT p.origin_date, p.target_epiweek, max(w.date) AS anchor_date FROM "
+                      f"(SELECT DISTINCT origin_date, {epi_week('target_date')} AS target_epiweek FROM v_pairs) p "
+                      f"JOIN v_weeks w ON {epi_week('w.date')} = p.target_epiweek AND w.date <= p.origin_date GROUP BY ALL",
+    "v_issued": "SELECT p.geo, p.origin_month, s.target_month, arg_max_null(s.temp_med, s.reference_month) AS seasonal_temp, "
+                "arg_max_null(s.umid_med, s.reference_month) AS seasonal_humid, "
+                "arg_max_null(s.precip_tot, s.reference_month) AS seasonal_precip FROM (SELECT DISTINCT geo, "
+                "CAST(date_trunc('month', date) AS DATE) AS origin_month FROM v_series) p JOIN v_seasonal s ON s.geo = p.geo "
+                "AND s.reference_month <= p.origin_month AND s.target_month >= p.origin_month GROUP BY ALL",
+    "v_panel": f"SELECT p.*, {epi_week('p.target_date')} AS target_epiweek, o.* EXCLUDE (fold_id, geo, date, train_cutoff, "
+               "target_start, target_end, casos, population, log_inc, temp_med, precip_med, rel_humid_med, epiweek), "
+               f"l.* EXCLUDE (date), sin(2 * pi() * {epi_week('p.target_date')} / 52) AS sin1, "
+               f"cos(2 * pi() * {epi_week('p.target_date')} / 52) AS cos1, sin(4 * pi() * {epi_week('p.target_date')} / 52) AS sin2, "
+               f"cos(4 * pi() * {epi_week('p.target_date')} / 52) AS cos2, a.log_inc AS seasonal_anchor, "
+               "ln(sp.population::DOUBLE) AS log_pop, sp.population AS population_at_target, i.seasonal_temp, "
+               "i.seasonal_humid, i.seasonal_precip, st.* EXCLUDE (geo), y.log_inc AS label FROM v_pairs p "
+               "JOIN v_origin_fold o ON o.fold_id = p.fold_id AND o.geo = p.geo AND o.date = p.origin_date "
+               "LEFT JOIN v_ocean_lags l ON l.date = p.origin_date LEFT JOIN v_anchor_dates ad "
+               f"ON ad.origin_date = p.origin_date AND ad.target_epiweek = {epi_week('p.target_date')} "
+               "LEFT JOIN v_inc a ON a.geo = p.geo AND a.date = ad.anchor_date "
+               "LEFT JOIN v_issued i ON i.geo = p.geo AND i.origin_month = CAST(date_trunc('month', p.origin_date) AS DATE) "
+               "AND i.target_month = CAST(date_trunc('month', p.target_date) AS DATE) "
+               "LEFT JOIN v_static st ON st.geo = p.geo LEFT JOIN v_inc y ON y.geo = p.geo AND y.date = p.target_date "
+               "CROSS JOIN v_pop_years py LEFT JOIN v_state_pop sp ON sp.geo = p.geo "
+               "AND sp.year = least(greatest(year(p.target_date), py.lo), py.hi)",
+    "v_train_panel": "SELECT * FROM v_panel WHERE origin_date >= DATE '1996-01-07' AND horizon_weeks <= 67 "
+                     "AND target_date <= train_cutoff AND label IS NOT NULL",
+})

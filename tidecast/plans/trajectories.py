@@ -29,7 +29,7 @@ def tag_season(df: DataFrame) -> DataFrame:
     return df.withColumns({"season": cal.season_start_year(d), "season_week": cal.season_week(d)})
 
 
-def _past_seasons(series: DataFrame, folds: DataFrame) -> DataFrame:
+def past_seasons(series: DataFrame, folds: DataFrame) -> DataFrame:
     """Training rows of the seasons before each fold's target season."""
     cut = tag_season(fo.training(series, folds))
     first = folds.select("fold_id", cal.season_start_year(F.col("target_start")).alias("_target"))
@@ -38,7 +38,7 @@ def _past_seasons(series: DataFrame, folds: DataFrame) -> DataFrame:
 
 def complete_seasons(series: DataFrame, folds: DataFrame) -> DataFrame:
     """fold_id, geo, season, weeks of the near-complete past seasons."""
-    weeks = _past_seasons(series, folds).groupBy(*KEYS, "season").agg(F.countDistinct("season_week").alias("weeks"))
+    weeks = past_seasons(series, folds).groupBy(*KEYS, "season").agg(F.countDistinct("season_week").alias("weeks"))
     return weeks.filter(F.col("weeks") >= NEAR_COMPLETE)
 
 
@@ -57,7 +57,7 @@ def dispersion(series: DataFrame, folds: DataFrame, default: float = 0.1) -> Dat
 def curves(series: DataFrame, folds: DataFrame, value: str = "incidence") -> DataFrame:
     """fold_id, geo, season, season_no, n_seasons, slot, value: gap-free trajectories of 53 slots."""
     entry = F.struct("season_week", value)
-    seasons = _past_seasons(series, folds).groupBy(*KEYS, "season").agg(
+    seasons = past_seasons(series, folds).groupBy(*KEYS, "season").agg(
         F.count("*").alias("weeks"), F.map_from_entries(F.collect_list(entry)).alias("_curve")
     ).filter(F.col("weeks") >= NEAR_COMPLETE)
     w = W.partitionBy(*KEYS)
