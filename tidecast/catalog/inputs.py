@@ -9,7 +9,7 @@ from tidecast.constants import CLIMATE_COLUMNS, QUANTILE_COLUMNS
 from tidecast.operators import ensemble as en
 from tidecast.operators import rollup
 from tidecast.operators import scores as so
-from tidecast.plans import backtest, baselines, panel
+from tidecast.plans import backtest, baselines, panel, tracks
 from tidecast.plans.hierarchical import hierarchical
 from tidecast.session import handoff
 from tidecast.sources import star
@@ -95,7 +95,8 @@ def members_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, weighted and recalibrated ensemble, stacked (not yet scored)."""
     scored = members_scored(spark, sf_dir)
-    vincent = en.median_ensemble(scored, MEMBERS)
+    # written, because calibration reads it several times before it is widened
+    vincent = handoff(spark, f"vincent:{sf_dir}", lambda: en.median_ensemble(scored, MEMBERS), ["fold_id"])
     weighted = en.weighted_ensemble(scored, en.inverse_score_weights(scored, MEMBERS))
     return vincent.unionByName(weighted).unionByName(en.conformal_ensemble(vincent))
 
@@ -125,6 +126,19 @@ def state_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
         star.customer_map(spark, sf_dir), SEASONAL_VALUES)
 
 
+def tracks_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored statistical forecasts of both diseases on state and city level, written once."""
+
+    def build() -> DataFrame:
+        series = {}
+        for disease in star.DISEASES:
+            series[(disease, "state")] = state_series(spark, sf_dir, disease)
+            series[(disease, "city")] = city_series(spark, sf_dir, disease)
+        return tracks.run_tracks(series, star.folds(spark))
+
+    return handoff(spark, f"tracks:{sf_dir}", build, ["disease", "level"])
+
+
 MIN_ORIGIN = "1996-01-07"
 
 

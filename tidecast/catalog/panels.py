@@ -14,11 +14,13 @@ from tidecast.operators import bootstrap as bs
 from tidecast.operators import rollup
 from tidecast.operators import scores as so
 from tidecast.plans import backtest, panel, regressor, sequences, trajectories
+from tidecast.session import handoff
 from tidecast.sources import star
 
 _COLUMNS = [c for c in panel.FEATURES if c != "horizon_weeks"] + inp.PANEL_STATIC + ["label"]
-# Seasonal values have seven decimals, so six would meet exact ties.
-_DIGITS = {c: 9 if c in panel.SEASONAL_FEATURES else 6 for c in _COLUMNS}
+# Means of few short decimals can end in an exact tie at six places, so these keep nine.
+_SHORT = [*panel.SEASONAL_FEATURES, "temp_med_roll4", "precip_med_roll4"]
+_DIGITS = {c: 9 if c in _SHORT else 6 for c in _COLUMNS}
 _PROFILE = ", ".join(f"round(avg({c}), {d}) + 0.0 AS {c}" for c, d in _DIGITS.items())
 
 
@@ -101,7 +103,8 @@ def m06(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds, series = star.folds(spark), inp.state_series(spark, sf_dir)
     targets = panel.prediction(series, folds, *inp.panel_inputs(spark, sf_dir))
     forecasts = regressor.forecast(
-        inp.training_panel(spark, sf_dir), targets, panel.FEATURES + inp.PANEL_STATIC, [1, 2, 3, 4])
+        inp.training_panel(spark, sf_dir), targets, panel.FEATURES + inp.PANEL_STATIC, [1, 2, 3, 4],
+        stage=lambda df: handoff(spark, f"centres:{sf_dir}", lambda: df))
     scored = backtest.score(forecasts, series, folds)
     return scored.groupBy("model", "fold_id").agg(
         F.count("*").alias("rows"), r6(F.avg("wis"), "mean_wis"), r6(so.ratio_of_sums(), "normalized_wis"),

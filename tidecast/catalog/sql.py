@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tidecast.catalog.registry import CTES
 from tidecast.constants import INTERVAL_LEVELS, QUANTILE_COLUMNS, QUANTILE_LEVELS
 
@@ -348,3 +350,31 @@ CTES.update({
     "v_train_panel": "SELECT * FROM v_panel WHERE origin_date >= DATE '1996-01-07' AND horizon_weeks <= 67 "
                      "AND target_date <= train_cutoff AND label IS NOT NULL",
 })
+
+
+def _track(disease: str, level: str, state: str) -> str:
+    """Scored statistical forecasts of one series, with every model written against that series."""
+    series, train, grid = f"v_{disease}_{level}", f"v_{disease}_{level}_train", f"v_{disease}_{level}_grid"
+    CTES[series] = f"SELECT * FROM {state}"
+    CTES[train] = CTES["v_train"].replace("v_series", series)
+    CTES[grid] = CTES["v_grid"].replace("v_series", series)
+    names = {"v_series": series, "v_train": train, "v_grid": grid}
+    for view in ("v_pools", "v_clim", "v_numbered", "v_diffs", "v_diff_q", "v_last", "v_naive", "v_week_median",
+                 "v_resid", "v_resid_q", "v_usual", "v_snaive"):
+        names[view] = f"v_{disease}_{level}_{view[2:]}"
+        body = CTES[view]
+        for old in sorted(names, key=len, reverse=True):
+            body = re.sub(rf"\b{old}\b", names[old], body)
+        CTES[names[view]] = body
+    members = " UNION ALL ".join(f"SELECT * FROM {names[v]}" for v in ("v_naive", "v_snaive", "v_clim"))
+    CTES[f"v_{disease}_{level}_members"] = members
+    CTES[f"v_{disease}_{level}_scored"] = scored_view(f"v_{disease}_{level}_members", series)
+    return f"SELECT '{disease}' AS disease, '{level}' AS level, * FROM v_{disease}_{level}_scored"
+
+
+CTES["v_city_state_chik"] = CTES["v_city_state"].replace("v_cases", "v_cases_chik")
+CTES["v_city_series_chik"] = CTES["v_city_series"].replace("v_city_state", "v_city_state_chik")
+CTES["v_tracks"] = " UNION ALL ".join([
+    _track("dengue", "state", "v_series"), _track("dengue", "city", "v_city_series"),
+    _track("chikungunya", "state", "v_series_chik"), _track("chikungunya", "city", "v_city_series_chik"),
+])

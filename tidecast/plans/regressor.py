@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -29,10 +31,10 @@ def _vectorised(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(filled)
 
 
-def fit_fold(proper: DataFrame, features: list[str], rounds: int = 6, depth: int = 4, seed: int = 42):
+def fit_fold(proper: DataFrame, features: list[str], rounds: int = 3, depth: int = 4, seed: int = 42):
     """One distributed boosting fit on a fold's proper block."""
     trees = GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed,
-                         stepSize=0.3, cacheNodeIds=False)
+                         stepSize=0.5, maxBins=24)
     return trees.fit(_vectorised(proper, features).select("features", "label"))
 
 
@@ -92,11 +94,13 @@ def to_counts(targets: DataFrame, shifts: DataFrame) -> DataFrame:
     )
 
 
-def forecast(panel: DataFrame, targets: DataFrame, features: list[str], fold_ids: list[int], **options) -> DataFrame:
+def forecast(panel: DataFrame, targets: DataFrame, features: list[str], fold_ids: list[int],
+             stage: Callable[[DataFrame], DataFrame] = lambda df: df, **options) -> DataFrame:
     """Fit each fold on its proper block, calibrate on the rest and forecast the targets.
 
     Folds are separate fits because their training data differ; the loop is over the four folds only.
-    ``panel`` should be a written table, partitioned by fold_id, as each fit passes over it many times.
+    ``panel`` should be a written table, partitioned by fold_id, as each fit passes over it many times;
+    ``stage`` may write the fitted centres, which the quantile selection reads several times.
     """
     tagged = with_block(panel)
     fitted_panel, fitted_targets = None, None
@@ -108,6 +112,7 @@ def forecast(panel: DataFrame, targets: DataFrame, features: list[str], fold_ids
         b = predict_fold(model, targets.filter(F.col("fold_id") == fold_id), features)
         fitted_panel = a if fitted_panel is None else fitted_panel.unionByName(a)
         fitted_targets = b if fitted_targets is None else fitted_targets.unionByName(b)
+    fitted_panel = stage(fitted_panel)
     residual_q = residual_quantiles(fitted_panel)
     calibration = log_quantiles(fitted_panel.filter(F.col("block") == "calib"), residual_q)
     return to_counts(log_quantiles(fitted_targets, residual_q), conformal_shifts(calibration))
