@@ -101,7 +101,8 @@ def m05_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score per fold of the pooled regressor; its learner has no SQL form."""
     folds, series = star.folds(spark), inp.state_series(spark, sf_dir)
-    targets = panel.prediction(series, folds, *inp.panel_inputs(spark, sf_dir))
+    targets = handoff(spark, f"targets:{sf_dir}", lambda: panel.prediction(
+        series, folds, *inp.panel_inputs(spark, sf_dir)), ["fold_id"])
     forecasts = regressor.forecast(
         inp.training_panel(spark, sf_dir), targets, panel.FEATURES + inp.PANEL_STATIC, [1, 2, 3, 4],
         stage=lambda df: handoff(spark, f"centres:{sf_dir}", lambda: df))

@@ -43,12 +43,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: list[flo
     """
     v = F.col(value).cast("double")
     log_v = F.signum("_v") * F.log1p(F.abs("_v"))
-    present = df.filter(v.isNotNull()).withColumn("_v", v)
-    bounds = present.groupBy(*keys).agg(F.min(log_v).alias("_lo"), F.max(log_v).alias("_hi"))
-    counted = present.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    counted = df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
+    # The count travels with the bounds so that every use of `counted` reads the same shuffle files.
+    edge = F.struct(log_v.alias("u"), F.col("_n"))
+    bounds = counted.groupBy(*keys).agg(F.min(edge)["u"].alias("_lo"), F.max(edge)["u"].alias("_hi"))
     share = F.coalesce(F.try_divide(log_v - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    placed = _attach(counted, bounds, keys).withColumn("_bucket", F.floor(share * buckets).cast("int"))
-    placed = placed.select(*keys, "_bucket", "_v", "_n")
+    placed = _attach(counted, bounds, keys).select(
+        *keys, F.floor(share * buckets).cast("int").alias("_bucket"), "_v", "_n"
+    )
 
     w = W.partitionBy(*keys)
     before = w.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -56,22 +58,26 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: list[flo
         "_start": F.coalesce(F.sum("_size").over(before), F.lit(0)),
         "n": F.sum("_size").over(w),
     })
-    wanted = starts.withColumn("quantile_level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
-    wanted = wanted.withColumn("_rank", rank(F.col("quantile_level"), F.col("n")).cast("double"))
-    ends = F.array_distinct(F.array(F.floor("_rank"), F.ceil("_rank")))
-    wanted = wanted.withColumn("_pos", F.explode(ends)).filter(
-        (F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_start") + F.col("_size"))
-    ).select(*keys, "_bucket", "_start", "n", "quantile_level", "_rank", "_pos")
-
-    needed = wanted.select(*keys, "_bucket").distinct()
+
+    def ranked_level(level: Column) -> Column:
+        return F.struct(level.alias("quantile_level"), rank(level, F.col("n")).cast("double").alias("rank"))
+
+    def inside(x: Column) -> Column:
+        return (F.ceil(x["rank"]) >= F.col("_start")) & (F.floor(x["rank"]) < F.col("_start") + F.col("_size"))
+
+    ranks = F.transform(F.array(*[F.lit(float(x)) for x in levels]), ranked_level)
+    wanted = starts.select(
+        *keys, "_bucket", "_start", "n", F.filter(ranks, inside).alias("_wanted")
+    ).filter(F.size("_wanted") > 0)
     upto = W.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = _attach(placed, needed, keys + ["_bucket"]).withColumn("_upto", F.sum("_n").over(upto))
-    last = F.col("_start") + F.col("_upto")
-    hit = _attach(ranked, wanted, keys + ["_bucket"]).filter(
-        (F.col("_pos") >= last - F.col("_n")) & (F.col("_pos") < last)
+    ranked = _attach(placed, wanted, keys + ["_bucket"]).withColumn(
+        "_last", F.col("_start") + F.sum("_n").over(upto)
+    )
+    hit = ranked.select(*keys, "n", "_v", "_n", "_last", F.inline("_wanted")).filter(
+        (F.ceil("rank") >= F.col("_last") - F.col("_n")) & (F.floor("rank") < F.col("_last"))
     )
     low, high = F.min("_v"), F.max("_v")
-    fraction = F.max("_rank") - F.floor(F.max("_rank"))
+    fraction = F.max("rank") - F.floor(F.max("rank"))
     return hit.groupBy(*keys, "quantile_level").agg(
         F.max("n").alias("n"), (low + (high - low) * fraction).alias(value)
     )

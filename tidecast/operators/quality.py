@@ -34,7 +34,7 @@ def gap_rows(df: DataFrame, folds: DataFrame, date: str = "date") -> DataFrame:
     return joined.groupBy("fold_id").agg(F.sum(inside.cast("bigint")).alias("gap_rows"))
 
 
-def not_sunday(df: DataFrame, date: str = "date") -> Column:
+def not_sunday(date: str = "date") -> Column:
     return F.sum((~cal.is_sunday(F.col(date))).cast("bigint"))
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -98,21 +101,24 @@ def forecast(panel: DataFrame, targets: DataFrame, features: list[str], fold_ids
              stage: Callable[[DataFrame], DataFrame] = lambda df: df, **options) -> DataFrame:
     """Fit each fold on its proper block, calibrate on the rest and forecast the targets.
 
-    Folds are separate fits because their training data differ; the loop is over the four folds only.
+    Folds are separate fits because their training data differ. The four fits run side by side, so one
+    fit's many small jobs fill the gaps of another's.
     ``panel`` should be a written table, partitioned by fold_id, as each fit passes over it many times;
     ``stage`` may write the fitted centres, which the quantile selection reads several times.
     """
     tagged = with_block(panel)
-    fitted_panel, fitted_targets = None, None
-    for fold_id in fold_ids:
+    needed = ["fold_id", "geo", "origin_date", "horizon_weeks", "block", "label", "centre"]
+
+    def one_fold(fold_id: int) -> tuple[DataFrame, DataFrame]:
         mine = tagged.filter(F.col("fold_id") == fold_id)
         model = fit_fold(mine.filter(F.col("block") == "proper"), features, **options)
-        needed = ["fold_id", "geo", "origin_date", "horizon_weeks", "block", "label", "centre"]
-        a = predict_fold(model, mine, features).select(*needed)
-        b = predict_fold(model, targets.filter(F.col("fold_id") == fold_id), features)
-        fitted_panel = a if fitted_panel is None else fitted_panel.unionByName(a)
-        fitted_targets = b if fitted_targets is None else fitted_targets.unionByName(b)
-    fitted_panel = stage(fitted_panel)
+        fitted = predict_fold(model, mine, features).select(*needed)
+        return fitted, predict_fold(model, targets.filter(F.col("fold_id") == fold_id), features)
+
+    with ThreadPoolExecutor(len(fold_ids)) as pool:
+        results = list(pool.map(inheritable_thread_target(one_fold), fold_ids))
+    fitted_panel = stage(reduce(DataFrame.unionByName, [a for a, _ in results]))
+    fitted_targets = reduce(DataFrame.unionByName, [b for _, b in results])
     residual_q = residual_quantiles(fitted_panel)
     calibration = log_quantiles(fitted_panel.filter(F.col("block") == "calib"), residual_q)
     return to_counts(log_quantiles(fitted_targets, residual_q), conformal_shifts(calibration))
