@@ -21,7 +21,7 @@ SELECT fold_id, max(date) AS last_date, CAST(sum((date > train_cutoff)::INT) AS
 FROM v_train JOIN v_folds USING (fold_id) GROUP BY 1""")
 def o01(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = fo.training(inp.state_series(spark, sf_dir), star.folds(spark))
-    return ql.leakage(ql.require_no_leakage(train))
+    return ql.require_no_leakage(ql.leakage(train))
 
 
 @query("o02_gap_weeks", """

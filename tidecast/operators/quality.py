@@ -18,11 +18,15 @@ def leakage(train: DataFrame, date: str = "date") -> DataFrame:
     return train.groupBy("fold_id").agg(F.max(date).alias("last_date"), late.alias("rows_after_cutoff"))
 
 
-def require_no_leakage(train: DataFrame, date: str = "date") -> DataFrame:
-    """The same rows, but the query fails when any lies after its fold's cut-off."""
-    late = F.raise_error(F.concat(F.lit("row after cut-off in fold "), F.col("fold_id").cast("string")))
-    ok = F.when(F.col(date) <= F.col("train_cutoff"), F.lit(True)).otherwise(late.cast("boolean"))
-    return train.filter(ok)
+def require_no_leakage(leaks: DataFrame) -> DataFrame:
+    """The leakage table, but the query fails when a fold has any row after its cut-off.
+
+    The check sits on the aggregated rows: on single rows the optimiser could evaluate it before the
+    cut-off filter that makes it true.
+    """
+    fail = F.raise_error(F.concat(F.lit("rows after the cut-off of fold "), F.col("fold_id").cast("string")))
+    late = F.col("rows_after_cutoff")
+    return leaks.withColumn("rows_after_cutoff", F.when(late > 0, fail.cast("bigint")).otherwise(late))
 
 
 def gap_rows(df: DataFrame, folds: DataFrame, date: str = "date") -> DataFrame:

@@ -97,8 +97,8 @@ def geo_dimension(static: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def expand(origins: DataFrame, weeks: DataFrame, seasonal: DataFrame, geos: DataFrame, population: DataFrame,
-           keep: Column, horizons: int = MAX_HORIZON) -> DataFrame:
-    """Explode origins to horizons; ``keep`` is a condition on target_date and the origin's columns."""
+           until: Column, horizons: int = MAX_HORIZON) -> DataFrame:
+    """Explode origins to the horizons whose target lies at or before ``until``, and look up the rest."""
     low = population.select(F.min("year")).scalar()
     high = population.select(F.max("year")).scalar()
     carried = (
@@ -109,26 +109,23 @@ def expand(origins: DataFrame, weeks: DataFrame, seasonal: DataFrame, geos: Data
         .withColumns({"_low": low, "_high": high})
     )
 
-    def lookups(step: Column) -> Column:
-        year = cal.clamp_year(F.year(step["target_date"]), F.col("_low"), F.col("_high"))
-        future = F.col("seasonal")[cal.month_start(step["target_date"])]
-        behind = F.get("history", F.size("history") - 1 - step["back"])
-        return F.struct(
-            step["horizon_weeks"].alias("horizon_weeks"), step["target_date"].alias("target_date"),
-            step["target_epiweek"].alias("target_epiweek"), behind.alias("seasonal_anchor"),
-            F.get("ahead", step["horizon_weeks"] - 1).alias("label"),
-            F.col("pop_by_year")[year].alias("population_at_target"),
-            *[future[c].alias(c) for c in SEASONAL_FEATURES],
-        )
-
     static = [c for c in geos.columns if c not in ("geo", "pop_by_year")]
+    fixed = ["fold_id", "geo", F.col("date").alias("origin_date"), "train_cutoff", "target_start", "target_end",
+             *ORIGIN_FEATURES, *static]
+    # Exploding, filtering and the lookups share one generated stage, so the arrays are read in place.
     rows = carried.select(
-        "fold_id", "geo", F.col("date").alias("origin_date"), "train_cutoff", "target_start", "target_end",
-        *ORIGIN_FEATURES, *static, F.inline(F.transform("steps", lookups)),
-    ).filter(keep)
-    return rows.withColumns(tf.harmonics(F.col("target_epiweek"))).withColumn(
-        "log_pop", F.log(F.col("population_at_target").cast("double"))
-    )
+        *fixed, "history", "ahead", "seasonal", "pop_by_year", "_low", "_high", F.inline("steps")
+    ).filter(F.col("target_date") <= until)
+    year = cal.clamp_year(F.year("target_date"), F.col("_low"), F.col("_high"))
+    future = F.col("seasonal")[cal.month_start(F.col("target_date"))]
+    looked_up = rows.withColumns({
+        "seasonal_anchor": F.get("history", F.size("history") - 1 - F.col("back")),
+        "label": F.get("ahead", F.col("horizon_weeks") - 1),
+        "population_at_target": F.col("pop_by_year")[year],
+        **{c: future[c] for c in SEASONAL_FEATURES},
+        **tf.harmonics(F.col("target_epiweek")),
+    }).drop("history", "ahead", "seasonal", "pop_by_year", "_low", "_high", "back")
+    return looked_up.withColumn("log_pop", F.log(F.col("population_at_target").cast("double")))
 
 
 def build(series: DataFrame, folds: DataFrame, population: DataFrame, climate: DataFrame, ocean: DataFrame,
@@ -136,11 +133,11 @@ def build(series: DataFrame, folds: DataFrame, population: DataFrame, climate: D
     """Training panel of all folds: every origin and horizon whose label is observed by the cut-off."""
     origins = per_fold(origin_series(series, population, climate, ocean), folds)
     origins = origins.join(F.broadcast(folds.drop("train_cutoff")), "fold_id")
-    observed = (F.col("target_date") <= F.col("train_cutoff")) & F.col("label").isNotNull()
-    return expand(
+    panel = expand(
         origins.filter(F.col("date") >= F.lit(min_origin).cast("date")), series, seasonal,
-        geo_dimension(static, population), population, observed,
+        geo_dimension(static, population), population, F.col("train_cutoff"),
     )
+    return panel.filter(F.col("label").isNotNull())
 
 
 def prediction(series: DataFrame, folds: DataFrame, population: DataFrame, climate: DataFrame, ocean: DataFrame,
@@ -149,8 +146,8 @@ def prediction(series: DataFrame, folds: DataFrame, population: DataFrame, clima
     longest = MAX_HORIZON + 1
     origins = per_fold(origin_series(series, population, climate, ocean, longest), folds)
     origins = origins.join(F.broadcast(folds.drop("train_cutoff")), "fold_id")
-    wanted = F.col("target_date").between(F.col("target_start"), F.col("target_end"))
-    return expand(
+    targets = expand(
         origins.filter(F.col("date") == F.col("train_cutoff")), series, seasonal,
-        geo_dimension(static, population), population, wanted, longest,
-    ).drop("label")
+        geo_dimension(static, population), population, F.col("target_end"), longest,
+    )
+    return targets.filter(F.col("target_date") >= F.col("target_start")).drop("label")

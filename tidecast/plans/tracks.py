@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,16 +12,26 @@ from tidecast.functions import calendar as cal
 from tidecast.operators import folds as fo
 from tidecast.plans import backtest, baselines
 
+_SEPARATOR = "|"
 STATISTICAL = [baselines.naive, baselines.seasonal_naive, baselines.climatological]
 
 
 def run_tracks(tracks: dict[tuple[str, str], DataFrame], folds: DataFrame, forecasters=None) -> DataFrame:
-    """Scored forecasts of every (disease, level) series with the same forecasters."""
-    parts = []
-    for (disease, level), series in tracks.items():
-        scored = backtest.score(backtest.run(forecasters or STATISTICAL, series, folds), series, folds)
-        parts.append(scored.withColumns({"disease": F.lit(disease), "level": F.lit(level)}))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Scored forecasts of every (disease, level) series with the same forecasters.
+
+    The series are stacked under a composite geo, so each forecaster is planned and run once for all
+    tracks instead of once per track.
+    """
+    parts = [
+        series.select(F.concat_ws(_SEPARATOR, F.lit(disease), F.lit(level), "geo").alias("geo"), "date", "casos")
+        for (disease, level), series in tracks.items()
+    ]
+    stacked = reduce(DataFrame.unionByName, parts)
+    partitions = int(stacked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stacked = stacked.repartition(partitions, "geo")
+    scored = backtest.score(backtest.run(forecasters or STATISTICAL, stacked, folds), stacked, folds)
+    key = F.split("geo", re.escape(_SEPARATOR), 3)
+    return scored.withColumns({"disease": key[0], "level": key[1], "geo": key[2]})
 
 
 def season_calendar(folds: DataFrame) -> DataFrame:
