@@ -114,9 +114,13 @@ def test_draws_are_uniform_and_repeatable(spark):
     units = spark.range(200).select(F.concat(F.lit("u"), "id").alias("unit"))
     numbered = bs.number_units(units, F.col("unit"))
     assert sorted(r.unit_no for r in numbered.collect()) == list(range(200))
-    draws = bs.replicate_draws(numbered, 100)
-    first = {(r.rep, r.unit_no): r.times for r in draws.collect()}
-    again = {(r.rep, r.unit_no): r.times for r in bs.replicate_draws(bs.number_units(units.repartition(7), F.col("unit")), 100).collect()}
+    moved = bs.number_units(units.repartition(7), F.col("unit"))
+
+    def counted(table):
+        rows = bs.replicate_draws(table, 100).groupBy("rep", "unit_no").count().collect()
+        return {(r.rep, r.unit_no): r["count"] for r in rows}
+
+    first, again = counted(numbered), counted(moved)
     assert first == again and sum(first.values()) == 20000
     per_unit = np.zeros(200)
     for (_, unit), times in first.items():

@@ -39,7 +39,7 @@ def _weighted_sql(keys: str) -> str:
 def _weighted(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
     return inp.round_all(rollup.weighted_mean(
         star.climate(spark, sf_dir), star.population(spark, sf_dir), star.geo_map(spark, sf_dir), by,
-        CLIMATE_COLUMNS, star.EXCLUDED))
+        CLIMATE_COLUMNS, star.EXCLUDED, star.population_years(spark, sf_dir)))
 
 
 @query("a02_population_weighted_mean", _weighted_sql("uf, date"))
@@ -335,7 +335,7 @@ def _lag_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ex.national(inp.state_cases(spark, sf_dir)).select("date", F.log1p("casos").alias("a"))
     climate = rollup.weighted_mean(
         star.climate(spark, sf_dir), star.population(spark, sf_dir), star.geo_map(spark, sf_dir), ["date"],
-        ["temp_med"], star.EXCLUDED)
+        ["temp_med"], star.EXCLUDED, star.population_years(spark, sf_dir))
     return ex.lagged_correlation(counts.join(climate, "date"), "a", "temp_med")
 
 

@@ -70,7 +70,8 @@ def state_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handoff(spark, f"climate:{sf_dir}", lambda: rollup.weighted_mean(
         star.climate(spark, sf_dir), star.population(spark, sf_dir), star.geo_map(spark, sf_dir),
-        ["uf", "date"], CLIMATE_COLUMNS, star.EXCLUDED).withColumnRenamed("uf", "geo"))
+        ["uf", "date"], CLIMATE_COLUMNS, star.EXCLUDED, star.population_years(spark, sf_dir),
+    ).withColumnRenamed("uf", "geo"))
 
 
 # ---- stages handed over as written tables ----

@@ -33,7 +33,8 @@ def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = star.climate(spark, sf_dir).join(
         star.geo_map(spark, sf_dir).filter(F.col("uf") != star.EXCLUDED), "geocode", "left_semi")
-    weighted = rollup.attach_population(kept, star.population(spark, sf_dir), key="geocode", as_name="weight")
+    weighted = rollup.attach_population(kept, star.population(spark, sf_dir), key="geocode", as_name="weight",
+                                        years=star.population_years(spark, sf_dir))
     return weighted.select("geocode", "date", F.coalesce("weight", F.lit(1)).cast("bigint").alias("weight"))
 
 

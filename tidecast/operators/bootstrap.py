@@ -57,16 +57,17 @@ def number_units(units: DataFrame, key: Column) -> DataFrame:
 
 
 def replicate_draws(numbered: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """rep, unit_no, times: how often each unit is drawn in each replicate (with replacement).
+    """rep, unit_no: the units drawn in each replicate, with replacement.
 
-    Every unit emits one draw per replicate, so drawing is spread as the units are; equal draws
-    collapse to a count before they travel to the join.
+    Every unit emits one draw per replicate, so drawing is spread as the units are. Draws are not
+    counted first: few repeat within a task, and the sums per replicate after the join combine on the
+    map side, so the draws travel once, or not at all when the unit table is small enough to broadcast.
     """
     reps = numbered.select("unit_no", "n_units").withColumn(
         "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint")))
     )
     drawn = draw_index(reps, F.col("rep"), F.col("unit_no"), F.col("n_units"), seed)
-    return drawn.groupBy("rep", F.col("draw").alias("unit_no")).agg(F.count("*").alias("times"))
+    return drawn.select("rep", F.col("draw").alias("unit_no"))
 
 
 def _interval(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
@@ -91,10 +92,8 @@ def block_bootstrap(scored: DataFrame, replicates: int = 2000, seed: int = 42) -
     numbered = number_units(sums.select("block").distinct(), F.col("block"))
     draws = replicate_draws(numbered, replicates, seed)
     keyed = sums.join(numbered.select("block", "unit_no"), "block")
-    t = F.col("times")
     per_rep = draws.join(keyed, "unit_no").groupBy("model", "rep").agg(
-        F.try_divide(F.sum(F.col("s") * t), F.sum(F.col("n") * t)).alias("wis"),
-        F.try_divide(F.sum(F.col("s") * t), F.sum(F.col("o") * t)).alias("nwis"),
+        F.try_divide(F.sum("s"), F.sum("n")).alias("wis"), F.try_divide(F.sum("s"), F.sum("o")).alias("nwis"),
     )
     return _interval(per_rep, ["model"], ["wis", "nwis"])
 
@@ -113,7 +112,7 @@ def paired_bootstrap(scored: DataFrame, first: str, second: str, folds: list[int
     numbered = number_units(pairs, F.col("unit"))
     draws = replicate_draws(numbered, replicates, seed)
     means = draws.join(numbered.select("unit_no", "gap"), "unit_no").groupBy("rep").agg(
-        (F.sum(F.col("gap") * F.col("times")) / F.sum("times")).alias("difference")
+        F.avg("gap").alias("difference")
     )
     centre = pairs.agg(F.avg("gap").alias("mean_difference"), F.count("*").alias("units"))
     return centre.join(F.broadcast(_interval(means, [], ["difference"]))).withColumns({

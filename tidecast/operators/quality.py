@@ -74,9 +74,11 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def counters(df: DataFrame, geo: str, uf: str, date: str) -> DataFrame:
-    return df.agg(
-        F.count("*").alias("rows"), F.countDistinct(geo).alias("geos"), F.countDistinct(uf).alias("ufs"),
-        F.min(date).alias("first_date"), F.max(date).alias("last_date"),
+    """Rows, distinct geos and states, first and last date; the distinct counts run on one row per geo."""
+    per_geo = df.groupBy(geo, uf).agg(F.count("*").alias("n"), F.min(date).alias("lo"), F.max(date).alias("hi"))
+    return per_geo.agg(
+        F.sum("n").alias("rows"), F.countDistinct(geo).alias("geos"), F.countDistinct(uf).alias("ufs"),
+        F.min("lo").alias("first_date"), F.max("hi").alias("last_date"),
     )
 
 

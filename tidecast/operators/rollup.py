@@ -60,11 +60,15 @@ def clamp_to(years: DataFrame, year: Column) -> Column:
     return cal.clamp_year(year, low, high)
 
 
-def attach_population(df: DataFrame, population: DataFrame, date: str = "date",
-                      key: str = "geo", as_name: str = "population") -> DataFrame:
-    """Left join of the population of the row's year, clamped to the years that exist."""
+def attach_population(df: DataFrame, population: DataFrame, date: str = "date", key: str = "geo",
+                      as_name: str = "population", years: DataFrame | None = None) -> DataFrame:
+    """Left join of the population of the row's year, clamped to the years that exist.
+
+    ``years`` may name a cheaper table with the same years, so that finding the range does not build
+    the whole population table once more.
+    """
     side = population.select(key, F.col("year").alias("pop_year"), F.col("population").alias(as_name))
-    return df.withColumn("pop_year", clamp_to(population, F.year(date))).join(side, [key, "pop_year"], "left")
+    return df.withColumn("pop_year", clamp_to(population if years is None else years, F.year(date))).join(side, [key, "pop_year"], "left")
 
 
 def add_incidence(series: DataFrame, population: DataFrame) -> DataFrame:
@@ -77,7 +81,7 @@ def add_incidence(series: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def weighted_mean(climate: DataFrame, population: DataFrame, geo_map: DataFrame, by: list[str],
-                  values: list[str], exclude: str | None = None) -> DataFrame:
+                  values: list[str], exclude: str | None = None, years: DataFrame | None = None) -> DataFrame:
     """Population-weighted mean of every value column; a missing weight counts as 1.
 
     A missing value leaves the numerator while its weight stays in the denominator.
@@ -85,7 +89,7 @@ def weighted_mean(climate: DataFrame, population: DataFrame, geo_map: DataFrame,
     mapped = climate.join(geo_map.select("geocode", "uf").distinct(), "geocode")
     if exclude:
         mapped = mapped.filter(F.col("uf") != exclude)
-    weighted = attach_population(mapped, population, key="geocode", as_name="w")
+    weighted = attach_population(mapped, population, key="geocode", as_name="w", years=years)
     weighted = weighted.withColumn("w", F.coalesce("w", F.lit(1)))
     sums = [F.sum(F.col(v) * F.col("w")).alias(v) for v in values]
     grouped = weighted.groupBy(*by).agg(*sums, F.sum("w").alias("w"))

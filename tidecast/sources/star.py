@@ -101,6 +101,11 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def population_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years the population table covers, from one column and without its grouping."""
+    return table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"))
+
+
 def climate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """geocode, date and three weekly measures."""
     return (
