@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.constants import QUANTILE_COLUMNS, QUANTILE_LEVELS
+from tidecast.constants import CHIKUNGUNYA_CITIES, DENGUE_CITIES, QUANTILE_COLUMNS, QUANTILE_LEVELS, UF_CODES
+from tidecast.functions import transforms as tf
 from tidecast.operators import bootstrap as bs
 from tidecast.operators import folds as fo
 from tidecast.operators import joins as jn
@@ -194,3 +195,23 @@ def test_sequence_window_offset(spark):
     assert a.origin_date == b.origin_date and len(a.window) == len(b.window) == 104
     assert b.window[-2].log_inc == pytest.approx(a.window[-1].log_inc)
     assert (sum(a.mask), a.labels[0], len(a.labels)) == (15, 105, 67)
+
+
+def test_code_lookups(spark):
+    row = spark.sql("SELECT 'SP' AS uf, 'chikungunya' AS d, 3541406 AS g").select(
+        tf.uf_code(F.col("uf")).alias("uf"), tf.disease_code(F.col("d")).alias("d"),
+        tf.city_state_code(F.col("g")).alias("g"), tf.uf_code(F.lit("XX")).alias("none")).first()
+    assert (row.uf, row.d, row.g, row.none) == (35, "A92.0", "35", None)
+
+
+def test_target_city_lists_lie_in_known_states():
+    for cities, size in ((DENGUE_CITIES, 15), (CHIKUNGUNYA_CITIES, 10)):
+        assert len(set(cities)) == size and {int(str(c)[:2]) for c in cities} <= set(UF_CODES.values())
+
+
+def test_audit_reads_every_check(spark):
+    a = spark.createDataFrame([(1, D(2024, 1, 7), 1), (2, D(2024, 1, 8), -1)], "geocode INT, date DATE, v INT")
+    b = spark.createDataFrame([(2, D(2024, 1, 7), None), (3, D(2024, 1, 7), 4)], "geocode INT, date DATE, v INT")
+    got = {(r.table, r.check): r.value for r in ql.audit({"a": (a, "date", "v"), "b": (b, "date", "v")}, "a").collect()}
+    assert got[("a", "rows")] == 2 and got[("a", "not_sunday")] == 1 and got[("a", "negative")] == 1
+    assert got[("b", "nulls")] == 1 and got[("b", "geos")] == 2 and got[("b", "missing_geos")] == 1

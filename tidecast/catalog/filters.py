@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidecast.catalog import inputs as inp
 from tidecast.catalog import sql
 from tidecast.catalog.registry import query
-from tidecast.constants import DISEASE_CODES, MAX_HORIZON
+from tidecast.constants import MAX_HORIZON
+from tidecast.functions import transforms as tf
 from tidecast.operators import folds as fo
 from tidecast.operators import joins as jn
 from tidecast.operators import quality as ql
@@ -116,14 +117,13 @@ SELECT CASE l_returnflag WHEN 'R' THEN 'A92.0' ELSE 'A90' END AS disease_code, C
 substr(CAST(l_suppkey AS VARCHAR), 1, 2) AS city_prefix, count(*) AS rows FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 GROUP BY ALL""")
 def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = F.create_map(*[F.lit(x) for pair in DISEASE_CODES.items() for x in pair])
     disease = F.when(F.col("l_returnflag") == "R", "chikungunya").otherwise("dengue")
     lines = star.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey"), disease.alias("d")).agg(
         F.count("*").alias("n"))
     mapped = lines.join(star.table(spark, sf_dir, "supplier"), "s_suppkey")
     return mapped.groupBy(
-        codes[F.col("d")].alias("disease_code"), F.col("s_nationkey").alias("adm_1"),
-        F.substring(F.col("s_suppkey").cast("string"), 1, 2).alias("city_prefix"),
+        tf.disease_code(F.col("d")).alias("disease_code"), F.col("s_nationkey").alias("adm_1"),
+        tf.city_state_code(F.col("s_suppkey")).alias("city_prefix"),
     ).agg(F.sum("n").alias("rows"))
 
 

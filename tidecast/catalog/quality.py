@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,13 +88,6 @@ def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.first_failures(_spoiled(spark, sf_dir))
 
 
-def _check_rows(df: DataFrame, table: str) -> DataFrame:
-    """A one-row table of counts as (table, check, value) rows."""
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("check"), F.col(c).cast("bigint").alias("value")) for c in df.columns])
-    return df.select(F.lit(table).alias("table"), F.inline(rows))
-
-
 _AUDIT = {
     "cases": "SELECT count(*) AS rows, count(DISTINCT geocode) AS geos, CAST(sum((dayofweek(date) <> 0)::INT) AS BIGINT) AS not_sunday, "
              "CAST(sum((casos < 0)::INT) AS BIGINT) AS negative, count(*) - count(casos) AS nulls FROM v_cases",
@@ -115,19 +106,8 @@ UNION ALL SELECT 'climate', 'missing_geos', count(*) FROM (SELECT DISTINCT geoco
 @query("o07_audit_report", f"SELECT * FROM ({_AUDIT_SQL})")
 def o07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every check for every table, stacked as (table, check, value)."""
-    tables = {
+    return ql.audit({
         "cases": (star.cases(spark, sf_dir), "date", "casos"),
         "climate": (star.climate(spark, sf_dir), "date", "temp_med"),
         "access": (star.access(spark, sf_dir), "access_date", "access_count"),
-    }
-    parts = []
-    for name, (df, day, value) in tables.items():
-        counts = df.agg(
-            F.count("*").alias("rows"), F.countDistinct("geocode").alias("geos"), ql.not_sunday(day).alias("not_sunday"),
-            ql.negative_rows(value).alias("negative"), F.count_if(F.col(value).isNull()).alias("nulls"))
-        parts.append(_check_rows(counts, name))
-    cases = tables["cases"][0]
-    for name in ("access", "climate"):
-        missing = ql.set_difference(cases, tables[name][0], "geocode").select(F.col("missing").alias("missing_geos"))
-        parts.append(_check_rows(missing, name))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    }, "cases")

@@ -25,7 +25,6 @@ CALIBRATION_WEEKS = 78
 SEQUENCE_LENGTH = 104
 N_FOLDS = 4
 PROSPECTIVE_FOLDS = (4,)
-FOLD_SEASON = {1: 2023, 2: 2024, 3: 2025, 4: 2026}
 
 # ---- fixed values: geography and disease codes of the published tables ----
 EXCLUDED_UF = "ES"

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidecast.constants import INCIDENCE_SCALE
+from tidecast.constants import DISEASE_CODES, INCIDENCE_SCALE, UF_CODES
 
 
 def incidence(casos: Column, population: Column) -> Column:
@@ -46,3 +46,21 @@ def clean_category(name: Column) -> Column:
 
 def composite_key(*parts: Column) -> Column:
     return F.concat_ws("_", *[p.cast("string") for p in parts])
+
+
+def _lookup(table: dict, key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+
+
+def uf_code(uf: Column) -> Column:
+    """Two-digit state code; an unknown state has none."""
+    return _lookup(UF_CODES, uf)
+
+
+def disease_code(disease: Column) -> Column:
+    return _lookup(DISEASE_CODES, disease)
+
+
+def city_state_code(geocode: Column) -> Column:
+    """State code of a city: the first two digits of its geocode."""
+    return F.substring(geocode.cast("string"), 1, 2)

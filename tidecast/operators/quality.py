@@ -91,6 +91,38 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
+def audit(tables: dict[str, tuple[DataFrame, str, str]], base: str, key: str = "geocode") -> DataFrame:
+    """(table, check, value) rows for several tables, each given as (rows, date column, value column).
+
+    Every table is read once: its checks are counted per key, the per-key counts are joined, and one
+    aggregation over the keys gives the totals and the keys of ``base`` that a table lacks.
+    """
+    checks = ["rows", "not_sunday", "negative", "nulls"]
+    joined = None
+    for name, (df, day, value) in tables.items():
+        per_key = df.groupBy(key).agg(
+            F.count("*").alias(f"{name}.rows"), not_sunday(day).alias(f"{name}.not_sunday"),
+            negative_rows(value).alias(f"{name}.negative"), F.count_if(F.col(value).isNull()).alias(f"{name}.nulls"),
+        )
+        joined = per_key if joined is None else joined.join(per_key, key, "full")
+    totals, labels = [], []
+    for name in tables:
+        here = F.col(f"`{name}.rows`")
+        for check in checks:
+            totals.append(F.coalesce(F.sum(f"`{name}.{check}`"), F.lit(0)).alias(f"{name}.{check}"))
+            labels.append((name, check))
+        totals.append(F.count(here).alias(f"{name}.geos"))
+        labels.append((name, "geos"))
+        if name != base:
+            lacking = F.col(f"`{base}.rows`").isNotNull() & here.isNull()
+            totals.append(F.count_if(lacking).alias(f"{name}.missing_geos"))
+            labels.append((name, "missing_geos"))
+    rows = F.array(*[
+        F.struct(F.lit(t).alias("table"), F.lit(c).alias("check"), F.col(f"`{t}.{c}`").alias("value")) for t, c in labels
+    ])
+    return joined.agg(*totals).select(F.inline(rows))
+
+
 def table_verdicts(tables: DataFrame, keys: list[str]) -> DataFrame:
     """One verdict per output table (``keys`` includes season_year): valid, or the first failed check.
 

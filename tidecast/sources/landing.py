@@ -15,13 +15,11 @@ _CHUNK = 8 << 20
 def land(df: DataFrame, path: str, date_column: str) -> None:
     """Write a raw table as Parquet by year, so that cut-off filters prune whole folders.
 
-    The exchange is on (year, month): all rows of one year never meet in a single writer task.
+    Rebalancing sends a year's rows together but lets Spark split a large year over many writer tasks
+    and merge small ones, so file sizes stay even however the rows are spread.
     """
-    (
-        df.withColumn("year", F.year(date_column))
-        .repartition(F.col("year"), F.month(date_column))
-        .write.mode("overwrite").partitionBy("year").parquet(path)
-    )
+    dated = df.withColumn("year", F.year(date_column))
+    dated.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
