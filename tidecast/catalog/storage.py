@@ -99,7 +99,7 @@ def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s10_build_or_read", "SELECT year, CAST(sum(population) AS BIGINT) AS population, count(*) AS geos FROM v_state_pop GROUP BY 1")
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built on the first call, read on the second; the name carries the fingerprint of the inputs."""
-    files = landing.file_fingerprints(spark, sf_dir, "{lineitem,supplier,nation}*.parquet")
+    files = landing.listing_fingerprints(spark, sf_dir, "{lineitem,supplier,nation}*.parquet")
     key = landing.combined_fingerprint(files).first()["fingerprint"]
 
     def build() -> DataFrame:

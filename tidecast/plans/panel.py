@@ -8,14 +8,15 @@ origin) is exploded last and never shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidecast.constants import AR_LAGS, CLIMATE_COLUMNS, INDEX_LAGS, INDICES, MAX_HORIZON
+from tidecast.constants import AR_LAGS, CLIMATE_COLUMNS, INDEX_LAGS, INDICES, MAX_HORIZON, N_FOLDS
 from tidecast.functions import calendar as cal
 from tidecast.functions import transforms as tf
-from tidecast.operators import folds as fo
 from tidecast.operators import rollup
 from tidecast.operators import windows as wn
 
@@ -34,23 +35,55 @@ FEATURES = ORIGIN_FEATURES + TARGET_FEATURES
 
 
 def origin_series(series: DataFrame, population: DataFrame, climate: DataFrame, ocean: DataFrame,
-                  horizons: int = MAX_HORIZON) -> DataFrame:
-    """geo, date with backward features, the values ahead and the history so far (fold-free)."""
+                  horizons: int = MAX_HORIZON, attach: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """geo, date with backward features, the values ahead and the history so far (fold-free).
+
+    All joins, ``attach`` included, run on narrow rows before the windows: once a row carries its
+    history, it neither moves nor gets sorted again.
+    """
     joined = rollup.add_incidence(series, population).join(climate, ["geo", "date"], "left")
+    joined = attach(joined.withColumn("epiweek", cal.epi_week(F.col("date"))))
+    joined = joined.join(F.broadcast(wn.index_lags(ocean)), "date", "left")
     w = wn.series_window(["geo"])
-    featured = joined.withColumn("epiweek", cal.epi_week(F.col("date"))).withColumns({
+    return joined.withColumns({
         **wn.autoregressive_lags("log_inc", ["geo"]), **wn.rolling("log_inc", ["geo"]),
         **wn.climate_rolling(["geo"]),
         "ahead": wn.leading_values("log_inc", ["geo"], horizons),
         "history": F.collect_list("log_inc").over(w.rowsBetween(W.unboundedPreceding, 0)),
     })
-    return featured.join(F.broadcast(wn.index_lags(ocean)), "date", "left")
 
 
-def per_fold(origins: DataFrame, folds: DataFrame) -> DataFrame:
+def fold_means(df: DataFrame, folds: DataFrame) -> DataFrame:
+    """The fold table as one array per row, and the same-week mean temperature of each fold's training span."""
+    fold = F.struct("fold_id", "train_cutoff", "target_start", "target_end")
+    table = folds.agg(F.array_sort(F.collect_list(fold)).alias("_folds"))
+    w = W.partitionBy("geo", "epiweek")
+    means = [
+        F.avg(F.when(F.col("date") <= F.get("_folds", F.lit(i))["train_cutoff"], F.col("temp_med"))).over(w)
+        for i in range(N_FOLDS)
+    ]
+    return df.join(F.broadcast(table)).withColumn("_means", F.array(*means))
+
+
+def per_fold(origins: DataFrame) -> DataFrame:
     """Origins up to each fold's cut-off, with the anomaly against the fold's own training span."""
-    cut = fo.training(origins, folds)
-    return cut.withColumn("temp_anomaly", wn.anomaly("temp_med", ["fold_id", "geo"]))
+    others = [c for c in origins.columns if c not in ("_folds", "_means")]
+    tagged = origins.select(*others, "_means", F.posexplode("_folds").alias("_i", "_fold"))
+    cut = tagged.filter(F.col("date") <= F.col("_fold.train_cutoff"))
+    departure = F.col("temp_med") - F.get("_means", F.col("_i"))
+    return cut.select(*others, "_fold.*", departure.alias("temp_anomaly"))
+
+
+def carried_origins(series: DataFrame, folds: DataFrame, population: DataFrame, climate: DataFrame,
+                    ocean: DataFrame, seasonal: DataFrame, static: DataFrame, horizons: int) -> DataFrame:
+    """Origin rows of all folds with everything the expansion looks up."""
+
+    def attach(df: DataFrame) -> DataFrame:
+        dated = df.withColumn("origin_month", cal.month_start(F.col("date")))
+        joined = dated.join(seasonal_by_origin_month(seasonal), ["geo", "origin_month"], "left")
+        return fold_means(joined.join(geo_dimension(static, population), "geo", "left"), folds)
+
+    return per_fold(origin_series(series, population, climate, ocean, horizons, attach))
 
 
 def horizon_calendar(weeks: DataFrame, horizons: int = MAX_HORIZON) -> DataFrame:
@@ -96,20 +129,12 @@ def geo_dimension(static: DataFrame, population: DataFrame) -> DataFrame:
     return by_year.join(static, "geo", "left").na.fill(0.0, [c for c in static.columns if c != "geo"])
 
 
-def expand(origins: DataFrame, weeks: DataFrame, seasonal: DataFrame, geos: DataFrame, population: DataFrame,
-           until: Column, horizons: int = MAX_HORIZON) -> DataFrame:
+def expand(origins: DataFrame, weeks: DataFrame, static: list[str], population: DataFrame, until: Column,
+           horizons: int = MAX_HORIZON) -> DataFrame:
     """Explode origins to the horizons whose target lies at or before ``until``, and look up the rest."""
     low = population.select(F.min("year")).scalar()
     high = population.select(F.max("year")).scalar()
-    carried = (
-        origins.withColumn("origin_month", cal.month_start(F.col("date")))
-        .join(F.broadcast(horizon_calendar(weeks, horizons)), "date")
-        .join(seasonal_by_origin_month(seasonal), ["geo", "origin_month"], "left")
-        .join(geos, "geo", "left")
-        .withColumns({"_low": low, "_high": high})
-    )
-
-    static = [c for c in geos.columns if c not in ("geo", "pop_by_year")]
+    carried = origins.join(F.broadcast(horizon_calendar(weeks, horizons)), "date").withColumns({"_low": low, "_high": high})
     fixed = ["fold_id", "geo", F.col("date").alias("origin_date"), "train_cutoff", "target_start", "target_end",
              *ORIGIN_FEATURES, *static]
     # Exploding, filtering and the lookups share one generated stage, so the arrays are read in place.
@@ -131,12 +156,9 @@ def expand(origins: DataFrame, weeks: DataFrame, seasonal: DataFrame, geos: Data
 def build(series: DataFrame, folds: DataFrame, population: DataFrame, climate: DataFrame, ocean: DataFrame,
           seasonal: DataFrame, static: DataFrame, min_origin: str) -> DataFrame:
     """Training panel of all folds: every origin and horizon whose label is observed by the cut-off."""
-    origins = per_fold(origin_series(series, population, climate, ocean), folds)
-    origins = origins.join(F.broadcast(folds.drop("train_cutoff")), "fold_id")
-    panel = expand(
-        origins.filter(F.col("date") >= F.lit(min_origin).cast("date")), series, seasonal,
-        geo_dimension(static, population), population, F.col("train_cutoff"),
-    )
+    origins = carried_origins(series, folds, population, climate, ocean, seasonal, static, MAX_HORIZON)
+    kept = origins.filter(F.col("date") >= F.lit(min_origin).cast("date"))
+    panel = expand(kept, series, _share_columns(static), population, F.col("train_cutoff"))
     return panel.filter(F.col("label").isNotNull())
 
 
@@ -144,10 +166,11 @@ def prediction(series: DataFrame, folds: DataFrame, population: DataFrame, clima
                seasonal: DataFrame, static: DataFrame) -> DataFrame:
     """Features of the real targets: origin at the cut-off, horizons of the target window."""
     longest = MAX_HORIZON + 1
-    origins = per_fold(origin_series(series, population, climate, ocean, longest), folds)
-    origins = origins.join(F.broadcast(folds.drop("train_cutoff")), "fold_id")
-    targets = expand(
-        origins.filter(F.col("date") == F.col("train_cutoff")), series, seasonal,
-        geo_dimension(static, population), population, F.col("target_end"), longest,
-    )
+    origins = carried_origins(series, folds, population, climate, ocean, seasonal, static, longest)
+    kept = origins.filter(F.col("date") == F.col("train_cutoff"))
+    targets = expand(kept, series, _share_columns(static), population, F.col("target_end"), longest)
     return targets.filter(F.col("target_date") >= F.col("target_start")).drop("label")
+
+
+def _share_columns(static: DataFrame) -> list[str]:
+    return [c for c in static.columns if c != "geo"]

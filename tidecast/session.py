@@ -33,10 +33,10 @@ def build_session(app: str = "tidecast", cpus: str = "*", shuffle_partitions: in
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or a local one in local mode only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
-    sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = sc.applicationId
