@@ -48,12 +48,7 @@ def state_series_raw(spark: SparkSession, sf_dir: str, disease: str = "dengue")
 def state_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:
     """The same series as a written table: the raw facts are scanned once, however often it is used."""
     written = handoff(spark, f"series:{disease}:{sf_dir}", lambda: state_series_raw(spark, sf_dir, disease))
-    return by_geo(written)
-
-
-def by_geo(df: DataFrame) -> DataFrame:
-    """Partition by geo once, so that the windows and aggregates per geo that follow add no exchange."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "geo")
+    return rollup.by_geo(written)
 
 
 def city_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:

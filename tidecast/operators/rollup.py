@@ -16,6 +16,17 @@ def sum_to_state(cases: DataFrame, exclude: str | None = None, keys: tuple[str,
     return kept.groupBy(*keys, F.col("uf").alias("geo"), "date").agg(F.sum("casos").alias("casos"))
 
 
+def by_geo(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Partition by geo once, so that the windows and aggregates per geo that follow add no exchange.
+
+    At least four partitions a core, since a few dozen geos fall unevenly on fewer.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
+    return df.repartition(partitions, *keys, "geo")
+
+
 def densify(series: DataFrame, keys: tuple[str, ...] = (), value: str = "casos") -> DataFrame:
     """Every geo on every Sunday between the first and last week of the data, holes filled with zero.
 
@@ -24,8 +35,7 @@ def densify(series: DataFrame, keys: tuple[str, ...] = (), value: str = "casos")
     partitions is set by hand: what follows multiplies rows, so merging these small inputs would
     leave the heavy part to a few tasks.
     """
-    partitions = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    series = series.repartition(partitions, *keys, "geo")
+    series = by_geo(series, keys)
     # Whole rows go into min and max so that both uses of the series read the same shuffle files.
     row = F.struct("date", value)
     span_cols = [F.min(row)["date"].alias("_first"), F.max(row)["date"].alias("_last")]

@@ -54,7 +54,11 @@ def origin_series(series: DataFrame, population: DataFrame, climate: DataFrame,
 
 
 def fold_means(df: DataFrame, folds: DataFrame) -> DataFrame:
-    """The fold table as one array per row, and the same-week mean temperature of each fold's training span."""
+    """The fold table as one array per row, and the same-week mean temperature of each fold's training span.
+
+    Rows are partitioned by geo here, with a fixed count: they are few and narrow, but each becomes
+    hundreds in the expansion, which runs in the same stage.
+    """
     fold = F.struct("fold_id", "train_cutoff", "target_start", "target_end")
     table = folds.agg(F.array_sort(F.collect_list(fold)).alias("_folds"))
     w = W.partitionBy("geo", "epiweek")
@@ -62,7 +66,7 @@ def fold_means(df: DataFrame, folds: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("date") <= F.get("_folds", F.lit(i))["train_cutoff"], F.col("temp_med"))).over(w)
         for i in range(N_FOLDS)
     ]
-    return df.join(F.broadcast(table)).withColumn("_means", F.array(*means))
+    return rollup.by_geo(df.join(F.broadcast(table))).withColumn("_means", F.array(*means))
 
 
 def per_fold(origins: DataFrame) -> DataFrame:

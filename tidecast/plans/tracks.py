@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal
 from tidecast.operators import folds as fo
+from tidecast.operators import rollup
 from tidecast.plans import backtest, baselines
 
 _SEPARATOR = "|"
@@ -27,8 +28,7 @@ def run_tracks(tracks: dict[tuple[str, str], DataFrame], folds: DataFrame, forec
         for (disease, level), series in tracks.items()
     ]
     stacked = reduce(DataFrame.unionByName, parts)
-    partitions = int(stacked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stacked = stacked.repartition(partitions, "geo")
+    stacked = rollup.by_geo(stacked)
     scored = backtest.score(backtest.run(forecasters or STATISTICAL, stacked, folds), stacked, folds)
     key = F.split("geo", re.escape(_SEPARATOR), 3)
     return scored.withColumns({"disease": key[0], "level": key[1], "geo": key[2]})
