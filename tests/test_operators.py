@@ -131,8 +131,6 @@ def test_draws_are_uniform_and_repeatable(spark):
     assert 0.60 < len(first) / 20000 < 0.66 and multiplicity.max() < 10  # 1 - 1/e of the units per replicate
 
 
-
-
 def tables(spark, edit=lambda rows: rows):
     weeks = [D(2023, 10, 8) + dt.timedelta(weeks=i) for i in range(52)]
     rows = [["t", 2024, "A", w, *[100.0 + i + o for o in (-40, -30, -20, -10, 0, 10, 20, 30, 40)]] for i, w in enumerate(weeks)]

@@ -23,8 +23,6 @@ def zeros() -> Column:
     return F.array(*[F.lit(0.0) for _ in QUANTILE_LEVELS])
 
 
-
-
 def on_grid(fitted: DataFrame, calendar: DataFrame) -> DataFrame:
     """Fitted state per (fold, geo) onto every target week of the fold."""
     return fitted.join(F.broadcast(calendar), "fold_id").withColumn("epiweek", cal.epi_week(F.col("date")))
