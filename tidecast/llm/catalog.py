@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tidecast.llm import exact_dedup, mixing, url_filter, warc
+from tidecast.llm import decontaminate, exact_dedup, mixing, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_benchmark_decontamination": decontaminate.query,
     "op5_source_mix": mixing.query,
     "op8_url_filter": url_filter.query,
     "op9_warc_revisits": warc.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op2_benchmark_decontamination": decontaminate.SQL,
     "op5_source_mix": mixing.SQL,
     "op8_url_filter": url_filter.SQL,
     "op9_warc_revisits": warc.SQL,
