@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidecast.llm import decontaminate, exact_dedup, mixing, url_filter, warc
+from tidecast.llm import decontaminate, exact_dedup, language_id, mixing, simhash, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_benchmark_decontamination": decontaminate.query,
+    "op3_language_id": language_id.query,
+    "op4_simhash_golay": simhash.query,
     "op5_source_mix": mixing.query,
     "op8_url_filter": url_filter.query,
     "op9_warc_revisits": warc.query,
