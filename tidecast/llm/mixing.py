@@ -105,7 +105,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, halves: int = HAL
         shown_id(ID).alias("doc_id"), "size", "source_size", "target", (F.col("once") + F.col("again")).alias("taken"),
         F.expr(position_sql("u1", "kind", schedules)).alias("first_position"),
         F.expr(position_sql("u2", "kind", schedules)).alias("second_position"))
-    return out.repartitionByRange(F.col("first_position").asc_nulls_last()).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
+    # the id splits the documents that are not taken, which have no position
+    order = [F.col("first_position").asc_nulls_last(), F.col("doc_id").asc()]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def in_training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
