@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecast.llm import decontaminate, exact_dedup, language_id, mixing, simhash, url_filter, warc
+from tidecast.llm import decontaminate, exact_dedup, language_id, mixing, quality, secrets, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -10,8 +10,11 @@ QUERIES = {
     "op3_language_id": language_id.query,
     "op4_simhash_golay": simhash.query,
     "op5_source_mix": mixing.query,
+    "op6_secret_scan": secrets.query,
+    "op7_toxicity": toxicity.query,
     "op8_url_filter": url_filter.query,
     "op9_warc_revisits": warc.query,
+    "op10_quality": quality.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
