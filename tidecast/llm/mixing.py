@@ -28,7 +28,7 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0
 #: The mix takes HALVES / 2 of all words, and of a source at most REPEATS times its size.
 HALVES, REPEATS = 3, 2
 #: Rows that a bucket holds on average at most.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _BIG = "decimal(38,0)"
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, halves: int = HAL
         F.col("source").isNull().alias("missing"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("draw")), "sizes")
     rows, digits = light.count(), 1
-    while digits < 6 and rows > bucket_rows * 16**digits:
+    while digits < 5 and rows > bucket_rows * 16**digits:
         digits += 1
     key = ["missing", "source", "bucket"]
     light = light.withColumn("bucket", F.substring("draw", 1, digits))
