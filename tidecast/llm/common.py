@@ -55,13 +55,13 @@ def power_of_two(n: float) -> int:
     return max(0, (max(1, int(-(-n // 1))) - 1).bit_length())
 
 
-def bounded_sample(df: DataFrame, key: Column, limit: int, rows: int | None = None) -> DataFrame:
-    """At most ``limit`` rows: those with the smallest hash of ``key``, near ``limit`` of them where there are more.
+def sampled(df: DataFrame, key: Column, limit: int, rows: int | None = None) -> DataFrame:
+    """About ``limit`` rows, a little fewer on average: those with the smallest hashes of ``key``, by a filter that needs no shuffle.
 
-    The share is taken by a filter on the hash, which needs no sort; the limit behind it makes the bound hold.
+    Callers make the bound hold by a limit behind what they derive from the rows, so that texts stay spread over tasks.
     """
     rows = df.count() if rows is None else rows
-    if rows > limit:
-        share = max(1, int(2**31 * limit / rows * 0.97))
-        df = df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(2**31)) < share)
-    return df.limit(limit) if rows > limit else df
+    if rows <= limit:
+        return df
+    share = max(1, int(2**31 * limit / rows * 0.97))
+    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(2**31)) < share)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import bounded_sample, fold_of
+from tidecast.llm.common import fold_of, sampled
 
 #: Labelled documents learned from at most.
 SAMPLE = 20_000
@@ -63,10 +63,10 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     usable = (labels.where(F.col("quality").isNotNull() & (fold_of(FOLDS) != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("_llm_key"))
               .agg(F.max("quality").cast("int").alias("label")))
-    chosen = bounded_sample(usable, F.col("_llm_key"), limit)
+    chosen = sampled(usable, F.col("_llm_key"), limit).limit(limit)
     light = docs.select(F.col("doc_id").cast("long").alias("_llm_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = light.join(F.broadcast(chosen), "_llm_key").select("label", "text").limit(2 * limit)  # bounded by ``limit``
-    table = found.mapInArrow(_featured, "label int, x array<double>").toArrow()
+    found = light.join(F.broadcast(chosen), "_llm_key").select("label", "text")  # bounded by ``limit``
+    table = found.mapInArrow(_featured, "label int, x array<double>").limit(2 * limit).toArrow()
     rows = sorted(zip(table.column("label").to_pylist(), table.column("x").to_pylist()))
     return np.array([x for _, x in rows], np.float64).reshape(-1, len(NAMES)), np.array([y for y, _ in rows], np.float64)
 

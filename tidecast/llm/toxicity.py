@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import bounded_sample, fold_of
+from tidecast.llm.common import fold_of, sampled
 
 #: Documents learned from at most; positives that a word must occur in, and how its share must differ; classifiers.
 POSITIVES, UNLABELLED, SEEN, ERRORS, MODELS = 3000, 6000, 5, 4.0, 3
@@ -51,11 +51,12 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[n
               .agg(F.max("toxic").alias("toxic")))
     counts = usable.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("k")).first()
     prior = (counts["k"] or 0) / max(1, counts["n"])
-    positives = bounded_sample(usable.where("toxic = 1").select("_llm_key"), F.col("_llm_key"), POSITIVES, counts["k"] or 0)
+    positives = sampled(usable.where("toxic = 1").select("_llm_key"), F.col("_llm_key"), POSITIVES, counts["k"] or 0).limit(POSITIVES)
     light = docs.where(fold_of(FOLDS) != HELD_OUT).select(F.col("doc_id").cast("long").alias("_llm_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = light.join(F.broadcast(positives), "_llm_key").select(F.lit(True).alias("positive"), "text")  # bounded by POSITIVES
-    others = bounded_sample(light, F.col("_llm_key"), UNLABELLED).select(F.lit(False).alias("positive"), "text")
-    table = known.limit(2 * POSITIVES).unionByName(others).mapInArrow(_word_sets, "positive boolean, words array<long>").toArrow()
+    others = sampled(light, F.col("_llm_key"), UNLABELLED).select(F.lit(False).alias("positive"), "text")
+    sets = [x.mapInArrow(_word_sets, "positive boolean, words array<long>") for x in (known, others)]
+    table = sets[0].limit(2 * POSITIVES).unionByName(sets[1].limit(UNLABELLED)).toArrow()
     rows = sorted(zip(table.column("positive").to_pylist(), table.column("words").to_pylist()), key=lambda r: (r[0], r[1]))
     sets = {flag: [np.array(w, np.int64) for p, w in rows if p == flag] for flag in (True, False)}
     return sets[True], sets[False], prior
