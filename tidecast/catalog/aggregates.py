@@ -419,14 +419,14 @@ p AS (SELECT geo || '_' || fold_id || '_' || horizon_weeks AS unit, avg(wis) FIL
  - avg(wis) FILTER (model = 'ensemble_vincent') AS gap FROM v_all_scored WHERE model IN ('ensemble_conformal', 'ensemble_vincent')
  GROUP BY geo, fold_id, horizon_weeks),
 k AS (SELECT unit, gap, {_UNITS_NUMBERED.format(k='unit')} FROM p WHERE gap IS NOT NULL),
-d AS (SELECT r.rep, {bs.draw_index_sql('r.rep', 'k.i', 'k.n')} AS i FROM k, (SELECT i AS rep FROM generate_series(0, 399) t(i)) r),
+d AS (SELECT r.rep, {bs.draw_index_sql('r.rep', 'k.i', 'k.n')} AS i FROM k, (SELECT i AS rep FROM generate_series(0, 1999) t(i)) r),
 m AS (SELECT d.rep, avg(gap) AS difference FROM d JOIN k ON k.i = d.i GROUP BY 1)
 SELECT 'ensemble_conformal' AS model_a, 'ensemble_vincent' AS model_b, (SELECT count(*) FROM k) AS units,
 round((SELECT avg(gap) FROM k), 6) AS mean_difference, round(quantile_cont(difference, 0.025), 6) AS difference_low,
 round(quantile_cont(difference, 0.975), 6) AS difference_high FROM m)""")
 def a41(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inp.round_all(bs.paired_bootstrap(
-        inp.all_scored(spark, sf_dir), "ensemble_conformal", "ensemble_vincent", replicates=400))
+        inp.all_scored(spark, sf_dir), "ensemble_conformal", "ensemble_vincent", replicates=2000))
 
 
 @query("a42_nwis_by_horizon_bin", f"""

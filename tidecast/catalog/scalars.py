@@ -262,10 +262,10 @@ _NEEDED = ", ".join(
 )
 
 
-@query("x22_needed_multiple", f"SELECT {_UNIT}, {_NEEDED} FROM v_scored WHERE model <> 'naive'")
+@query("x22_needed_multiple", f"SELECT {_UNIT}, {_NEEDED} FROM v_scored")
 def x22(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("observed_value").cast("double")
-    scored = inp.members_scored(spark, sf_dir).filter(F.col("model") != "naive")
+    scored = inp.members_scored(spark, sf_dir)
     return scored.select(*_UNIT_COLUMNS, *[inp.r6(sc.widening_needed(y, v), f"needed_{v}") for v in INTERVAL_LEVELS])
 
 

@@ -24,10 +24,8 @@ SEASON_LAST_WEEK = 40
 CALIBRATION_WEEKS = 78
 SEQUENCE_LENGTH = 104
 N_FOLDS = 4
-PROSPECTIVE_FOLDS = (4,)
 
 # ---- fixed values: geography and disease codes of the published tables ----
-EXCLUDED_UF = "ES"
 UF_CODES = {
     "RO": 11, "AC": 12, "AM": 13, "RR": 14, "PA": 15, "AP": 16, "TO": 17, "MA": 21, "PI": 22,
     "CE": 23, "RN": 24, "PB": 25, "PE": 26, "AL": 27, "SE": 28, "BA": 29, "MG": 31, "ES": 32,

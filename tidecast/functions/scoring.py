@@ -24,7 +24,7 @@ def pinball(y: Column, q: Column, tau: float) -> Column:
 def interval_score(lower: Column, upper: Column, y: Column, alpha: float) -> Column:
     below = F.greatest(F.lit(0.0), lower - y)
     above = F.greatest(F.lit(0.0), y - upper)
-    return (upper - lower) + (2 / alpha) * below + (2 / alpha) * above
+    return F.when(y.isNotNull(), (upper - lower) + (2 / alpha) * below + (2 / alpha) * above)
 
 
 def wis_from_intervals(y: Column) -> Column:
@@ -52,12 +52,12 @@ def dispersion(y: Column) -> Column:
 
 def overprediction(y: Column) -> Column:
     parts = [F.greatest(F.lit(0.0), F.col(f"lower_{level}") - y) for level in INTERVAL_LEVELS]
-    return reduce(add, parts) / _DENOMINATOR
+    return F.when(y.isNotNull(), reduce(add, parts) / _DENOMINATOR)  # ``greatest`` passes over nulls
 
 
 def underprediction(y: Column) -> Column:
     parts = [F.greatest(F.lit(0.0), y - F.col(f"upper_{level}")) for level in INTERVAL_LEVELS]
-    return reduce(add, parts) / _DENOMINATOR
+    return F.when(y.isNotNull(), reduce(add, parts) / _DENOMINATOR)
 
 
 def covered(y: Column, level: int) -> Column:

@@ -43,7 +43,7 @@ def weights_by_fold(scored: DataFrame, models: list[str], power: float = 1.0) ->
     The table has one row per fold and member, so the window over it stays small.
     """
     means = scored.filter(F.col("model").isin(models)).groupBy("fold_id", "model").agg(F.avg("wis").alias("m"))
-    raw = means.withColumn("raw", F.pow(1 / F.col("m"), F.lit(power)))
+    raw = means.withColumn("raw", F.pow(F.try_divide(F.lit(1.0), F.col("m")), F.lit(power)))
     share = F.col("raw") / F.sum("raw").over(W.partitionBy("fold_id"))
     return raw.select("fold_id", "model", share.alias("weight"))
 

@@ -73,7 +73,7 @@ def incidence_by_category(cases: DataFrame, weights: DataFrame, environment: Dat
     """
     yearly = cases.groupBy("geocode", F.year("date").alias("year")).agg(F.sum("casos").alias("casos"))
     rate = yearly.join(weights, "geocode").join(environment.select("geocode", category), "geocode", "left").select(
-        category, (F.col("casos") / F.col("population") * 1e5).alias("incidence")
+        category, (F.try_divide("casos", "population") * 1e5).alias("incidence")
     )
     medians = os_.exact_quantiles(rate, [category], "incidence", [0.5]).select(
         category, F.col("incidence").alias("median_incidence")

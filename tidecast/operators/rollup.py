@@ -51,7 +51,7 @@ def densify(series: DataFrame, keys: tuple[str, ...] = (), value: str = "casos")
         *keys, "geo", F.col("date").alias("_seen"), F.col(value).alias("_value"),
         F.sequence(start, stop, F.expr("interval 7 days")).alias("_weeks"),
     ).select(*keys, "geo", "_seen", "_value", F.explode("_weeks").alias("date"))
-    amount = F.when(F.col("date") == F.col("_seen"), F.col("_value")).otherwise(F.lit(0))
+    amount = F.when(F.col("date") == F.col("_seen"), F.coalesce("_value", F.lit(0))).otherwise(F.lit(0))
     return filled.select(*keys, "geo", "date", amount.cast("bigint").alias(value))
 
 
@@ -103,7 +103,7 @@ def weighted_mean(climate: DataFrame, population: DataFrame, geo_map: DataFrame,
     weighted = weighted.withColumn("w", F.coalesce("w", F.lit(1)))
     sums = [F.sum(F.col(v) * F.col("w")).alias(v) for v in values]
     grouped = weighted.groupBy(*by).agg(*sums, F.sum("w").alias("w"))
-    return grouped.select(*by, *[(F.col(v) / F.col("w")).alias(v) for v in values])
+    return grouped.select(*by, *[F.try_divide(F.col(v), F.col("w")).alias(v) for v in values])
 
 
 def weighted_seasonal(forecast: DataFrame, weights: DataFrame, geo_map: DataFrame,

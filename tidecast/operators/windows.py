@@ -78,8 +78,13 @@ def trailing_sequence(features: list[str], keys: list[str], length: int, include
 
 
 def leading_values(value: str, keys: list[str], length: int) -> Column:
-    """The next ``length`` values as an array; shorter near the end of the series."""
-    return F.collect_list(value).over(series_window(keys).rowsBetween(1, length))
+    """The next ``length`` values as an array; shorter near the end of the series. Nulls keep their place."""
+    return collected(value, series_window(keys).rowsBetween(1, length))
+
+
+def collected(value: str, frame) -> Column:
+    """The values of a frame as an array that keeps nulls, which ``collect_list`` alone drops."""
+    return F.transform(F.collect_list(F.struct(F.col(value).alias("v"))).over(frame), lambda s: s["v"])
 
 
 def group_total(value: str, keys: list[str]) -> Column:

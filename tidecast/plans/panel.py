@@ -49,7 +49,7 @@ def origin_series(series: DataFrame, population: DataFrame, climate: DataFrame,
         **wn.autoregressive_lags("log_inc", ["geo"]), **wn.rolling("log_inc", ["geo"]),
         **wn.climate_rolling(["geo"]),
         "ahead": wn.leading_values("log_inc", ["geo"], horizons),
-        "history": F.collect_list("log_inc").over(w.rowsBetween(W.unboundedPreceding, 0)),
+        "history": wn.collected("log_inc", w.rowsBetween(W.unboundedPreceding, 0)),
     })
 
 

@@ -92,7 +92,10 @@ def drawn_levels(series: DataFrame, folds: DataFrame, population: DataFrame, cal
     weeks = calendar.withColumn("slot", cal.season_week(F.col("date")))
     drawn = trajectories.join(season_draws(trajectories, draws, seed), [*KEYS, "season_no"])
     grid = rollup.attach_population(drawn.join(F.broadcast(weeks), ["fold_id", "slot"]), population)
-    mu = F.greatest(F.col("incidence") * F.col("population") / INCIDENCE_SCALE, F.lit(1e-6))
+    # a year without a population takes the geo's last one
+    latest = population.groupBy("geo").agg(F.max_by("population", "year").alias("_latest"))
+    grid = grid.join(latest, "geo", "left").withColumn("population", F.coalesce("population", "_latest"))
+    mu = F.when(F.col("population").isNotNull(), F.greatest(F.col("incidence") * F.col("population") / INCIDENCE_SCALE, F.lit(1e-6)))
     return grid.select(*KEYS, "date", "origin_date", "horizon_weeks", "season_no", "times", mu.alias("mu"))
 
 
