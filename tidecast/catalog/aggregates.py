@@ -263,10 +263,10 @@ _CQR_ROWS = " UNION ALL ".join(
 
 
 @query("a28_cqr_order_statistic", f"""
-SELECT model, fold_id, CAST(level AS INTEGER) AS level, n, {sql.r6('score', 'shift')} FROM
+SELECT model, fold_id, CAST(level AS INTEGER) AS level, n, {sql.r6('CASE WHEN n > 200 THEN score ELSE 0 END', 'shift')} FROM
 (SELECT *, row_number() OVER (PARTITION BY model, fold_id, level ORDER BY score) AS rk,
  count(*) OVER (PARTITION BY model, fold_id, level) AS n FROM ({_CQR_ROWS}))
-WHERE n > 200 AND rk = least(ceil((n + 1) * (level / 100.0::DOUBLE)), n)""")
+WHERE rk = least(ceil((n + 1) * (level / 100.0::DOUBLE)), n)""")
 def a28(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("observed_value")
     pairs = F.array(*[

@@ -269,16 +269,17 @@ _ROLL4 = [f"{c}_roll4" for c in CLIMATE_COLUMNS]
 
 @query("w05_rolling_climate", f"SELECT geo, date, {_rounded(_ROLL4)} FROM v_origin")
 def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = inp.state_series(spark, sf_dir).join(inp.state_climate(spark, sf_dir), ["geo", "date"], "left")
-    return inp.round_all(joined.withColumns(wn.climate_rolling(["geo"])).select("geo", "date", *_ROLL4))
+    smooth = inp.state_climate(spark, sf_dir).withColumns(wn.climate_rolling(["geo"])).select("geo", "date", *_ROLL4)
+    return inp.round_all(inp.state_series(spark, sf_dir).select("geo", "date").join(smooth, ["geo", "date"], "left"))
 
 
 @query("w06_temperature_anomaly", "SELECT fold_id, geo, date, round(temp_anomaly, 6) + 0.0 AS temp_anomaly FROM v_origin_fold")
 def w06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = inp.state_series(spark, sf_dir).join(inp.state_climate(spark, sf_dir), ["geo", "date"], "left")
-    cut = fo.training(wn.with_epi_week(joined), star.folds(spark))
+    keys, folds = ["fold_id", "geo", "date"], star.folds(spark)
+    known = fo.training(wn.with_epi_week(inp.state_climate(spark, sf_dir)), folds)
     value = F.round(wn.anomaly("temp_med", ["fold_id", "geo"]), 6) + 0.0
-    return cut.select("fold_id", "geo", "date", value.alias("temp_anomaly"))
+    cut = fo.training(inp.state_series(spark, sf_dir), folds).select(*keys)
+    return cut.join(known.select(*keys, value.alias("temp_anomaly")), keys, "left")
 
 
 _INDEX_NAMES = [f"{i}_lag{k}" for i in INDICES for k in INDEX_LAGS]

@@ -11,6 +11,7 @@ from tidecast.catalog.inputs import r6
 from tidecast.catalog.registry import query
 from tidecast.constants import SEQUENCE_LENGTH
 from tidecast.operators import bootstrap as bs
+from tidecast.operators import folds as fo
 from tidecast.operators import rollup
 from tidecast.operators import scores as so
 from tidecast.plans import backtest, panel, regressor, sequences, trajectories
@@ -77,7 +78,7 @@ _DRAW = bs.draw_index_sql("r.rep", "x.geo_seed", "x.n", 0)
 
 
 @query("m05_trajectory_resampling", _TRAJECTORY_ROWS + f""",
-x AS (SELECT DISTINCT fold_id, geo, n, CAST('0x' || substr(md5(geo), 1, 6) AS BIGINT) AS geo_seed FROM s),
+x AS (SELECT DISTINCT fold_id, geo, n, CAST('0x' || substr(md5(geo), 1, 15) AS BIGINT) % {bs.PRIME} AS geo_seed FROM s),
 d AS (SELECT x.fold_id, x.geo, {_DRAW} AS season_no FROM x, (SELECT i AS rep FROM generate_series(0, 799) t(i)) r),
 m AS (SELECT d.fold_id, d.geo, k.date, k.origin_date, k.horizon_weeks, greatest(c.incidence * p.population / 1e5, 1e-6) AS mu
  FROM d JOIN c ON c.fold_id = d.fold_id AND c.geo = d.geo AND c.season_no = d.season_no
@@ -104,7 +105,7 @@ def m06(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = handoff(spark, f"targets:{sf_dir}", lambda: panel.prediction(
         series, folds, *inp.panel_inputs(spark, sf_dir)), ["fold_id"])
     forecasts = regressor.forecast(
-        inp.training_panel(spark, sf_dir), targets, panel.FEATURES + inp.PANEL_STATIC, [1, 2, 3, 4],
+        inp.training_panel(spark, sf_dir), targets, panel.FEATURES + inp.PANEL_STATIC, fo.fold_ids(folds),
         stage=lambda df: handoff(spark, f"centres:{sf_dir}", lambda: df))
     scored = backtest.score(forecasts, series, folds)
     return scored.groupBy("model", "fold_id").agg(
@@ -128,11 +129,10 @@ f AS (SELECT geo, season, obs_peak_week, total, r, tp, a, sum(y * g) AS yg, sum(
 e AS (SELECT *, least(greatest(coalesce(yg / nullif(gg, 0), total), 0.5 * total), 5 * total) AS ks FROM f)
 SELECT geo, season, obs_peak_week, total, round((yy - 2 * ks * yg + ks * ks * gg) / (total * total), 6) AS relative_sse, r AS growth_rate,
 CAST(tp AS INTEGER) AS peak_week, a AS shape_alpha, round(ks, 4) AS final_size FROM e
-QUALIFY row_number() OVER (PARTITION BY geo, season ORDER BY round(yy - 2 * ks * yg + ks * ks * gg, 4), r, tp, a) = 1)""")
+QUALIFY row_number() OVER (PARTITION BY geo, season ORDER BY round((yy - 2 * ks * yg + ks * ks * gg) / (total * total), 10), r, tp, a) = 1)""")
 def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits = trajectories.season_fits(inp.state_series(spark, sf_dir))
-    relative = F.col("sse") / (F.col("total") * F.col("total"))
-    return fits.withColumns({"relative_sse": r6(relative, "relative_sse"), "final_size": F.round("final_size", 4)}).drop("sse")
+    return fits.withColumns({"relative_sse": r6("relative_sse"), "final_size": F.round("final_size", 4)})
 
 
 def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,12 +308,16 @@ CTES.update({
                 "AS roll_std_4, "
                 "avg(log_inc) OVER (PARTITION BY i.geo ORDER BY i.date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS roll_mean_8, "
                 "max(log_inc) OVER (PARTITION BY i.geo ORDER BY i.date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS roll_max_12, "
-                + ", ".join(f"avg({c}) OVER (PARTITION BY i.geo ORDER BY i.date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) "
-                            f"AS {c}_roll4" for c in ("temp_med", "precip_med", "rel_humid_med"))
-                + " FROM v_inc i LEFT JOIN v_state_climate c USING (geo, date) WINDOW w AS (PARTITION BY i.geo ORDER BY i.date)",
-    "v_origin_fold": "SELECT f.fold_id, f.train_cutoff, f.target_start, f.target_end, o.*, o.temp_med - avg(o.temp_med) OVER "
-                     "(PARTITION BY f.fold_id, o.geo, o.epiweek) AS temp_anomaly FROM v_origin o "
-                     "JOIN v_folds f ON o.date <= f.train_cutoff",
+                "c.temp_med_roll4, c.precip_med_roll4, c.rel_humid_med_roll4"
+                + " FROM v_inc i LEFT JOIN v_climate_smooth c USING (geo, date) WINDOW w AS (PARTITION BY i.geo ORDER BY i.date)",
+    "v_origin_fold": "SELECT f.fold_id, f.train_cutoff, f.target_start, f.target_end, o.*, o.temp_med - m.mean_temp AS temp_anomaly "
+                     "FROM v_origin o JOIN v_folds f ON o.date <= f.train_cutoff LEFT JOIN v_climate_means m "
+                     "ON m.fold_id = f.fold_id AND m.geo = o.geo AND m.epiweek = o.epiweek",
+    "v_climate_smooth": "SELECT *, " + ", ".join(
+        f"avg({c}) OVER (PARTITION BY geo ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS {c}_roll4"
+        for c in ("temp_med", "precip_med", "rel_humid_med")) + " FROM v_state_climate",
+    "v_climate_means": f"SELECT f.fold_id, c.geo, {epi_week('c.date')} AS epiweek, avg(c.temp_med) AS mean_temp "
+                       "FROM v_state_climate c JOIN v_folds f ON c.date <= f.train_cutoff GROUP BY ALL",
     "v_static": "SELECT uf AS geo, " + ", ".join(
         f"coalesce(sum(CASE WHEN {col} = '{v}' THEN w ELSE 0 END)::DOUBLE / nullif(sum(w), 0), 0) AS "
         f"{col}_frac_{v.replace(' ', '_')}"

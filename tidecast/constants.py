@@ -23,7 +23,6 @@ SEASON_FIRST_WEEK = 41
 SEASON_LAST_WEEK = 40
 CALIBRATION_WEEKS = 78
 SEQUENCE_LENGTH = 104
-N_FOLDS = 4
 
 # ---- fixed values: geography and disease codes of the published tables ----
 UF_CODES = {

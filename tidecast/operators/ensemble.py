@@ -105,12 +105,13 @@ def conformal_ensemble(ensemble: DataFrame, name: str = "ensemble_conformal", tu
 def additive_shifts(calib: DataFrame, keys: list[str], score: str = "score", minimum: int = 200) -> DataFrame:
     """keys, quantile_level, shift: finite-sample order statistic of the conformity scores.
 
-    ``calib`` has one row per calibration row and level; groups of at most ``minimum`` rows get no shift.
+    ``calib`` has one row per calibration row and level; groups of at most ``minimum`` rows get a shift of 0.
     """
     picked = os_.exact_quantiles(calib, keys + ["level"], score, [v / 100 for v in INTERVAL_LEVELS],
                                  rank=os_.conformal_rank)
     own_level = F.round(F.col("quantile_level") * 100).cast("int") == F.col("level")
-    return picked.filter(own_level & (F.col("n") > minimum)).select(*keys, "level", "n", F.col(score).alias("shift"))
+    shift = F.when(F.col("n") > minimum, F.col(score)).otherwise(F.lit(0.0))
+    return picked.filter(own_level).select(*keys, "level", "n", shift.alias("shift"))
 
 
 def subsets(models: list[str], minimum: int = 2) -> list[tuple[int, list[str]]]:

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.constants import CALIBRATION_WEEKS, N_FOLDS
+from tidecast.constants import CALIBRATION_WEEKS
 from tidecast.functions import calendar as cal
 
 
+def fold_ids(folds: DataFrame) -> list[int]:
+    """The ids of the fold table, one row per fold."""
+    return [r["fold_id"] for r in folds.select("fold_id").distinct().orderBy("fold_id").collect()]
+
+
 def tag_flags(df: DataFrame, folds: DataFrame, date: str = "date") -> DataFrame:
-    """Add train_i and target_i flags for each fold (the fold table has N_FOLDS rows)."""
-    bounds = folds.groupBy().pivot("fold_id", list(range(1, N_FOLDS + 1))).agg(
+    """Add train_i and target_i flags for each fold of the fold table."""
+    ids = fold_ids(folds)
+    bounds = folds.groupBy().pivot("fold_id", ids).agg(
         F.max("train_cutoff").alias("c"), F.max("target_start").alias("s"), F.max("target_end").alias("e")
     )
     out = df.join(F.broadcast(bounds))
     d = F.col(date)
-    for i in range(1, N_FOLDS + 1):
+    for i in ids:
         out = out.withColumn(f"train_{i}", d <= F.col(f"{i}_c"))
         out = out.withColumn(f"target_{i}", d.between(F.col(f"{i}_s"), F.col(f"{i}_e")))
     return out.drop(*bounds.columns)
@@ -26,7 +34,8 @@ def boundaries(flagged: DataFrame, date: str = "date") -> DataFrame:
     """fold_id, train_cutoff, target_start, target_end and gap length, from one pass over the flags."""
     d = F.col(date)
     aggs = []
-    for i in range(1, N_FOLDS + 1):
+    ids = sorted(int(c[len("train_"):]) for c in flagged.columns if re.fullmatch(r"train_\d+", c))
+    for i in ids:
         target = F.when(F.col(f"target_{i}"), d)
         aggs.append(
             F.struct(
@@ -37,7 +46,7 @@ def boundaries(flagged: DataFrame, date: str = "date") -> DataFrame:
             ).alias(f"f{i}")
         )
     one = flagged.agg(*aggs)
-    rows = one.select(F.inline(F.array(*[F.col(f"f{i}") for i in range(1, N_FOLDS + 1)])))
+    rows = one.select(F.inline(F.array(*[F.col(f"f{i}") for i in ids])))
     gap = F.floor(F.datediff("target_start", "train_cutoff") / 7) - 1
     return rows.withColumn("gap_weeks", gap.cast("int"))
 

@@ -30,6 +30,7 @@ def rolling(value: str, keys: list[str]) -> dict[str, Column]:
 
 
 def climate_rolling(keys: list[str], columns: list[str] = CLIMATE_COLUMNS) -> dict[str, Column]:
+    """Means of the last four rows. To be taken over the whole climate table, which may begin before the cases."""
     frame = series_window(keys).rowsBetween(-3, 0)
     return {f"{c}_roll4": F.avg(c).over(frame) for c in columns}
 

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidecast.constants import AR_LAGS, CLIMATE_COLUMNS, INDEX_LAGS, INDICES, MAX_HORIZON, N_FOLDS
+from tidecast.constants import AR_LAGS, CLIMATE_COLUMNS, INDEX_LAGS, INDICES, MAX_HORIZON
 from tidecast.functions import calendar as cal
 from tidecast.functions import transforms as tf
+from tidecast.operators import folds as fo
 from tidecast.operators import rollup
 from tidecast.operators import windows as wn
 
@@ -32,49 +33,54 @@ TARGET_FEATURES = (
     + SEASONAL_FEATURES
 )
 FEATURES = ORIGIN_FEATURES + TARGET_FEATURES
+#: Weeks an anchor can lie back at most: years of 53 weeks are at most seven apart.
+ANCHOR_WEEKS = 7 * 53
 
 
 def origin_series(series: DataFrame, population: DataFrame, climate: DataFrame, ocean: DataFrame,
                   horizons: int = MAX_HORIZON, attach: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """geo, date with backward features, the values ahead and the history so far (fold-free).
+    """geo, date with backward features, the values ahead and the last ``ANCHOR_WEEKS`` values (fold-free).
 
-    All joins, ``attach`` included, run on narrow rows before the windows: once a row carries its
+    Climate is smoothed over its own history, then looked up. All joins, ``attach`` included, run on narrow rows before the windows: once a row carries its
     history, it neither moves nor gets sorted again.
     """
-    joined = rollup.add_incidence(series, population).join(climate, ["geo", "date"], "left")
+    smooth = climate.withColumns(wn.climate_rolling(["geo"])).drop("precip_med", "rel_humid_med")
+    joined = rollup.add_incidence(series, population).join(smooth, ["geo", "date"], "left")
     joined = attach(joined.withColumn("epiweek", cal.epi_week(F.col("date"))))
     joined = joined.join(F.broadcast(wn.index_lags(ocean)), "date", "left")
     w = wn.series_window(["geo"])
     return joined.withColumns({
         **wn.autoregressive_lags("log_inc", ["geo"]), **wn.rolling("log_inc", ["geo"]),
-        **wn.climate_rolling(["geo"]),
         "ahead": wn.leading_values("log_inc", ["geo"], horizons),
-        "history": wn.collected("log_inc", w.rowsBetween(W.unboundedPreceding, 0)),
+        "history": wn.collected("log_inc", w.rowsBetween(1 - ANCHOR_WEEKS, 0)),
     })
 
 
-def fold_means(df: DataFrame, folds: DataFrame) -> DataFrame:
-    """The fold table as one array per row, and the same-week mean temperature of each fold's training span.
+def fold_means(climate: DataFrame, folds: DataFrame) -> DataFrame:
+    """geo, epiweek, map fold -> mean temperature of that week over all climate rows up to the fold's cut-off."""
+    cut = fo.training(wn.with_epi_week(climate), folds)
+    means = cut.groupBy("geo", "epiweek", "fold_id").agg(F.avg("temp_med").alias("m"))
+    entries = F.collect_list(F.struct("fold_id", "m"))
+    return means.groupBy("geo", "epiweek").agg(F.map_from_entries(entries).alias("_means"))
+
+
+def with_folds(df: DataFrame, folds: DataFrame) -> DataFrame:
+    """The fold table as one array per row.
 
     Rows are partitioned by geo here, with a fixed count: they are few and narrow, but each becomes
     hundreds in the expansion, which runs in the same stage.
     """
     fold = F.struct("fold_id", "train_cutoff", "target_start", "target_end")
     table = folds.agg(F.array_sort(F.collect_list(fold)).alias("_folds"))
-    w = W.partitionBy("geo", "epiweek")
-    means = [
-        F.avg(F.when(F.col("date") <= F.get("_folds", F.lit(i))["train_cutoff"], F.col("temp_med"))).over(w)
-        for i in range(N_FOLDS)
-    ]
-    return rollup.by_geo(df.join(F.broadcast(table))).withColumn("_means", F.array(*means))
+    return rollup.by_geo(df.join(F.broadcast(table)))
 
 
 def per_fold(origins: DataFrame) -> DataFrame:
     """Origins up to each fold's cut-off, with the anomaly against the fold's own training span."""
     others = [c for c in origins.columns if c not in ("_folds", "_means")]
-    tagged = origins.select(*others, "_means", F.posexplode("_folds").alias("_i", "_fold"))
+    tagged = origins.select(*others, "_means", F.explode("_folds").alias("_fold"))
     cut = tagged.filter(F.col("date") <= F.col("_fold.train_cutoff"))
-    departure = F.col("temp_med") - F.get("_means", F.col("_i"))
+    departure = F.col("temp_med") - F.col("_means")[F.col("_fold.fold_id")]
     return cut.select(*others, "_fold.*", departure.alias("temp_anomaly"))
 
 
@@ -85,7 +91,8 @@ def carried_origins(series: DataFrame, folds: DataFrame, population: DataFrame,
     def attach(df: DataFrame) -> DataFrame:
         dated = df.withColumn("origin_month", cal.month_start(F.col("date")))
         joined = dated.join(seasonal_by_origin_month(seasonal), ["geo", "origin_month"], "left")
-        return fold_means(joined.join(geo_dimension(static, population), "geo", "left"), folds)
+        joined = joined.join(fold_means(climate, folds), ["geo", "epiweek"], "left")
+        return with_folds(joined.join(geo_dimension(static, population), "geo", "left"), folds)
 
     return per_fold(origin_series(series, population, climate, ocean, horizons, attach))
 

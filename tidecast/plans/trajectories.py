@@ -73,7 +73,7 @@ def curves(series: DataFrame, folds: DataFrame, value: str = "incidence") -> Dat
 def season_draws(trajectories: DataFrame, draws: int = 800, seed: int = 0) -> DataFrame:
     """fold_id, geo, season_no, times: how often each past season is drawn, the same for all its weeks."""
     geos = trajectories.select(*KEYS, "n_seasons").distinct()
-    geo_seed = F.conv(F.substring(F.md5("geo"), 1, 6), 16, 10).cast("bigint")
+    geo_seed = F.conv(F.substring(F.md5("geo"), 1, 15), 16, 10).cast("bigint") % bs.PRIME
     reps = geos.withColumns({
         "rep": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))), "geo_seed": geo_seed,
     })
@@ -130,7 +130,7 @@ def with_count_noise(levels: DataFrame, dispersions: DataFrame, seed: int = 0) -
     entry = F.struct("season_no", "mu", "times")
     units = levels.groupBy(*_UNIT).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
     keyed = units.join(F.broadcast(dispersions), "fold_id").withColumn(
-        "_key", F.conv(F.substring(F.md5(F.concat_ws("|", *KEYS, "date")), 1, 8), 16, 10).cast("bigint")
+        "_key", F.conv(F.substring(F.md5(F.concat_ws("|", *KEYS, "date")), 1, 15), 16, 10).cast("bigint")
     )
     q = _noisy_quantiles(seed)(F.col("_s.mu"), F.col("_s.times"), F.col("dispersion"), F.col("_key"))
     return keyed.select(F.lit("mechanistic_traj").alias("model"), *_UNIT, q.alias("q"))
@@ -172,7 +172,9 @@ def fit_growth(curve_rows: DataFrame, keys: list[str], value: str) -> DataFrame:
         best = F.coalesce(F.try_divide(s["yg"], s["gg"]), F.col("total"))
         k = F.least(F.greatest(best, 0.5 * F.col("total")), 5 * F.col("total"))
         sse = s["yy"] - 2 * k * s["yg"] + k * k * s["gg"]
-        return F.struct(F.round(sse, 4).alias("sse"), r.alias("growth_rate"), tp.alias("peak_week"),
+        # relative to the total, so that the choice doesn't depend on the scale of the curve
+        relative = F.round(sse / (F.col("total") * F.col("total")), 10)
+        return F.struct(relative.alias("relative_sse"), r.alias("growth_rate"), tp.alias("peak_week"),
                         a.alias("shape_alpha"), k.alias("final_size"))
 
     grid = F.flatten(F.transform(literal(GROWTH_RATES), lambda r: F.flatten(F.transform(
