@@ -53,7 +53,7 @@ def state_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> D
 
 def city_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:
     """Dense series of the target cities under the generic geo column."""
-    cities = star.weekly_counts(spark, sf_dir, disease).join(star.target_cities(spark, sf_dir), "geocode", "left_semi")
+    cities = star.weekly_counts(spark, sf_dir, disease).join(star.target_cities(spark, sf_dir, disease), "geocode", "left_semi")
     return rollup.densify(cities.select(F.col("geocode").cast("string").alias("geo"), "date", "casos"))
 
 

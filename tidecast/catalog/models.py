@@ -89,7 +89,8 @@ def m09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m10_backtest_driver", f"""
 SELECT model, fold_id, min(origin_date) AS origin_date, min(date) AS first_date, max(date) AS last_date,
-       count(*) AS rows, count(DISTINCT geo) AS geos FROM v_members GROUP BY ALL""")
+       count(*) AS rows, count(DISTINCT geo) AS geos, {", ".join(f"round(avg(q[{i + 1}]), 6) AS {c}" for i, c in enumerate(QUANTILE_COLUMNS))}
+FROM v_members GROUP BY ALL""")
 def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = star.folds(spark)
     population, geo_map = inp.state_population(spark, sf_dir), star.geo_map(spark, sf_dir)
@@ -99,6 +100,7 @@ def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecasts.groupBy("model", "fold_id").agg(
         F.min("origin_date").alias("origin_date"), F.min("date").alias("first_date"),
         F.max("date").alias("last_date"), F.count("*").alias("rows"), F.countDistinct("geo").alias("geos"),
+        *[F.round(F.avg(F.col("q")[i]), 6).alias(c) for i, c in enumerate(QUANTILE_COLUMNS)],
     )
 
 

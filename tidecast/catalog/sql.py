@@ -86,6 +86,7 @@ CTES.update({
     "v_cases_chik": "SELECT l.geocode, g.uf, l.date, CAST(sum(l_quantity) AS BIGINT) AS casos "
                     "FROM v_lines l JOIN v_geo g USING (geocode) WHERE l_returnflag = 'R' GROUP BY ALL",
     "v_cities": "SELECT s_suppkey AS geocode FROM supplier ORDER BY s_suppkey LIMIT 15",
+    "v_cities_chik": "SELECT s_suppkey AS geocode FROM supplier ORDER BY s_suppkey LIMIT 10 OFFSET 5",
     "v_state": "SELECT uf AS geo, date, CAST(sum(casos) AS BIGINT) AS casos FROM v_cases "
                "WHERE uf <> 'NATION_7' GROUP BY ALL",
     "v_state_chik": "SELECT uf AS geo, date, CAST(sum(casos) AS BIGINT) AS casos FROM v_cases_chik "
@@ -376,7 +377,7 @@ def _track(disease: str, level: str, state: str) -> str:
     return f"SELECT '{disease}' AS disease, '{level}' AS level, * FROM v_{disease}_{level}_scored"
 
 
-CTES["v_city_state_chik"] = CTES["v_city_state"].replace("v_cases", "v_cases_chik")
+CTES["v_city_state_chik"] = CTES["v_city_state"].replace("v_cases", "v_cases_chik").replace("v_cities", "v_cities_chik")
 CTES["v_city_series_chik"] = CTES["v_city_series"].replace("v_city_state", "v_city_state_chik")
 CTES["v_tracks"] = " UNION ALL ".join([
     _track("dengue", "state", "v_series"), _track("dengue", "city", "v_city_series"),

@@ -248,12 +248,11 @@ def m16_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'last_season' AS model, g.fold_id, g.geo, g.date, s.casos::DOUBLE AS pred FROM v_grid g
 JOIN v_train s ON s.fold_id = g.fold_id AND s.geo = g.geo AND s.date = g.date - 728""")
 def d01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's own forecaster: any function (series, folds) -> quantile rows runs in the backtest driver."""
-    def last_season(series: DataFrame, folds: DataFrame) -> DataFrame:
-        grid = fo.fold_calendar(folds)
-        past = fo.training(series, folds).withColumn("date", F.date_add("date", 728))
-        joined = past.select("fold_id", "geo", "date", "casos").join(F.broadcast(grid), ["fold_id", "date"])
+    """A user's own model: any function (history, grid) -> quantile rows runs guarded in the backtest driver."""
+    def last_season(history: DataFrame, grid: DataFrame) -> DataFrame:
+        past = history.select("fold_id", "geo", F.date_add("date", 728).alias("date"), "casos")
+        joined = past.join(grid, ["fold_id", "geo", "date"])
         return baselines.forecast_columns(joined, "last_season", F.array_repeat(F.col("casos").cast("double"), 9))
 
-    forecasts = backtest.run([last_season], inp.state_series(spark, sf_dir), star.folds(spark))
+    forecasts = backtest.run([backtest.guarded(last_season)], inp.state_series(spark, sf_dir), star.folds(spark))
     return forecasts.select("model", "fold_id", "geo", "date", F.col("q")[4].alias("pred"))

@@ -38,6 +38,17 @@ def gap_rows(df: DataFrame, folds: DataFrame, date: str = "date") -> DataFrame:
     return joined.groupBy("fold_id").agg(F.sum(inside.cast("bigint")).alias("gap_rows"))
 
 
+def require_history(history: DataFrame, folds: DataFrame) -> DataFrame:
+    """fold_id of every fold with a history; fails on rows after the cut-off or in the weeks before the target."""
+    leaks = require_no_leakage(leakage(history))
+    gaps = gap_rows(history, folds)
+    fail = F.raise_error(F.concat(F.lit("rows in the gap of fold "), F.col("fold_id").cast("string")))
+    checked = leaks.join(gaps, "fold_id").select(
+        "fold_id", "rows_after_cutoff", F.when(F.col("gap_rows") > 0, fail.cast("bigint")).otherwise(F.col("gap_rows")).alias("gap_rows"))
+    # the counts are used, so that the optimiser can't drop the checks with them
+    return checked.filter(F.col("rows_after_cutoff") + F.col("gap_rows") == 0).select("fold_id")
+
+
 def not_sunday(date: str = "date") -> Column:
     return F.sum((~cal.is_sunday(F.col(date))).cast("bigint"))
 

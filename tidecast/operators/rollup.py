@@ -55,6 +55,15 @@ def densify(series: DataFrame, keys: tuple[str, ...] = (), value: str = "casos")
     return filled.select(*keys, "geo", "date", amount.cast("bigint").alias(value))
 
 
+def include_geos(series: DataFrame, geos: DataFrame, value: str = "casos") -> DataFrame:
+    """The dense series with a row of zeros a week for every geo of ``geos`` that it lacks."""
+    missing = geos.select("geo").distinct().join(series.select("geo").distinct(), "geo", "left_anti")
+    span = series.agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
+    weeks = F.explode(F.sequence("_first", "_last", F.expr("interval 7 days"))).alias("date")
+    zeros = missing.join(F.broadcast(span)).select("geo", weeks).withColumn(value, F.lit(0).cast("bigint"))
+    return by_geo(series.select("geo", "date", value).unionByName(zeros))
+
+
 def state_population(population: DataFrame, geo_map: DataFrame) -> DataFrame:
     """geo, year, population."""
     return (

@@ -6,16 +6,43 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidecast.functions import quantiles as qt
 from tidecast.operators import folds as fo
+from tidecast.operators import quality, rollup
 from tidecast.operators import scores as so
 
 Forecaster = Callable[[DataFrame, DataFrame], DataFrame]
+Model = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def run(forecasters: list[Forecaster], series: DataFrame, folds: DataFrame) -> DataFrame:
-    """Forecasts of several models, stacked by name. A forecaster maps (series, folds) to quantile rows."""
+def guarded(model: Model) -> Forecaster:
+    """A forecaster from a model that must not see the future: it maps (history, grid) to quantile rows.
+
+    ``history`` has the rows of every fold up to its cut-off (fold_id, geo, date, casos, ...), ``grid`` the target
+    weeks of every geo and fold (fold_id, geo, date, origin_date, horizon_weeks). The forecasts fail if a fold's
+    history reaches past its cut-off or into the weeks between cut-off and target.
+    """
+
+    def forecaster(series: DataFrame, folds: DataFrame) -> DataFrame:
+        history = fo.training(series, folds)
+        clean = quality.require_history(history, folds)
+        grid = fo.target_grid(series.select("geo").distinct(), folds)
+        return model(history, grid).join(F.broadcast(clean), "fold_id")
+
+    return forecaster
+
+
+def run(forecasters: list[Forecaster], series: DataFrame, folds: DataFrame, geos: DataFrame | None = None) -> DataFrame:
+    """Forecasts of several models, stacked by name.
+
+    A forecaster maps (series, folds) to quantile rows. The ones of this package cut their training spans themselves;
+    others are best written as a model (history, grid) and passed through ``guarded``. ``geos`` (geo) names geos that
+    must get a forecast: those without a row in the dense ``series`` enter it as zeros.
+    """
+    if geos is not None:
+        series = rollup.include_geos(series, geos)
     parts = [f(series, folds) for f in forecasters]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

@@ -44,7 +44,10 @@ def _weekly_vectors(samples: DataFrame, key: str, lo: int, hi: int) -> DataFrame
 
 def hierarchical(series: DataFrame, folds: DataFrame, population: DataFrame, geo_map: DataFrame,
                  calendar: DataFrame | None = None, kappa: float | None = None, window: int = 2) -> DataFrame:
-    """Blend of a geo's and its region's incidence quantiles, back in counts of the target year."""
+    """Blend of a geo's and its region's incidence quantiles, back in counts of the target year.
+
+    Every geo of the series gets rows; one without a population gets zeros.
+    """
     calendar = fo.fold_calendar(folds) if calendar is None else calendar
     usable = rollup.add_incidence(series, population).filter(F.col("population") > 0)
     train = fo.training(usable, folds).join(region_of(geo_map), "geo", "left").withColumn(
@@ -52,8 +55,9 @@ def hierarchical(series: DataFrame, folds: DataFrame, population: DataFrame, geo
     ).select(*KEYS, "region", "epiweek", "casos", "incidence")
     own = _weekly_vectors(train, "geo", -window, window)
     regional = _weekly_vectors(train.filter(F.col("region").isNotNull()), "region", -window, window)
+    every = fo.training(series, folds).select(*KEYS).distinct()
     fitted = (
-        own.join(shrinkage_weights(train, kappa), KEYS).join(region_of(geo_map), "geo", "left")
+        every.join(own, KEYS, "left").join(shrinkage_weights(train, kappa), KEYS, "left").join(region_of(geo_map), "geo", "left")
         .join(regional, ["fold_id", "region"], "left")
     )
     week = F.col("epiweek")

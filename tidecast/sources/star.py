@@ -77,7 +77,7 @@ def flagged_cases(spark: SparkSession, sf_dir: str, disease: str = "dengue") ->
     """Cases with the train_i, target_i and target_city flags of the published layout."""
     flagged = tag_flags(cases(spark, sf_dir, disease), folds(spark))
     return flagged.join(
-        target_cities(spark, sf_dir).withColumn("target_city", F.lit(True)), "geocode", "left"
+        target_cities(spark, sf_dir, disease).withColumn("target_city", F.lit(True)), "geocode", "left"
     ).withColumn("target_city", F.coalesce("target_city", F.lit(False)))
 
 
@@ -187,6 +187,12 @@ def access(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def target_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 15 target cities: the smallest supplier keys (a top-k list, as upstream's list is fixed)."""
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("geocode")).orderBy("geocode").limit(15)
+#: Target cities of each disease, as (first, count) in order of their keys; the lists overlap, as published ones do.
+CITIES = {"dengue": (0, 15), "chikungunya": (5, 10)}
+
+
+def target_cities(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:
+    """The target cities of a disease: a fixed list, so a top-k by design. Operators take any table (geocode) instead."""
+    first, count = CITIES[disease]
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("geocode"))
+    return keys.orderBy("geocode").offset(first).limit(count)
