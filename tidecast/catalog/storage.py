@@ -13,6 +13,7 @@ from tidecast.constants import CLIMATE_COLUMNS, QUANTILE_COLUMNS
 from tidecast.functions import calendar as cal
 from tidecast.operators import folds as fo
 from tidecast.plans import backtest, baselines, output, tracks
+from tidecast.plans.hierarchical import hierarchical
 from tidecast.session import new_path, scratch_dir
 from tidecast.sources import landing, readers, star
 
@@ -154,40 +155,58 @@ def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.build_tables(tagged)
 
 
+_TABLE = "date DATE, " + ", ".join(f"{c} DOUBLE" for c in QUANTILE_COLUMNS) + ", track STRING, season_year INT, geo STRING"
+
+
+def _written(spark: SparkSession, tables: DataFrame, label: str, fmt: str) -> DataFrame:
+    """The valid tables as they stand in the files."""
+    path = new_path(spark, label)
+    output.write_valid(tables, path, fmt)
+    reader = spark.read.schema(_TABLE)
+    rows = reader.csv(path, header=True) if fmt == "csv" else reader.parquet(path)
+    return inp.round_all(rows)
+
+
+def _season_rows(track: str, view: str, where: str = "true") -> str:
+    """The rows of the full-season tables of one model view."""
+    return (f"SELECT '{track}' AS track, CAST({_SEASON} AS INTEGER) AS season_year, geo, date, {sql.spread()} "
+            f"FROM {view} JOIN v_folds f USING (fold_id) WHERE {where}")
+
+
 @query("k02_valid_season_sink", f"""
-SELECT 'dengue' AS track, CAST({_SEASON} AS INTEGER) AS season_year, geo, count(*) AS rows FROM v_ensembles_scored e
-JOIN v_folds f USING (fold_id) WHERE model = 'ensemble_vincent' GROUP BY ALL HAVING count(*) = 52""")
+SELECT 'dengue' AS track, CAST({_SEASON} AS INTEGER) AS season_year, geo, date, {", ".join(sql.r6(c, c) for c in QUANTILE_COLUMNS)}
+FROM v_ensembles_scored e JOIN v_folds f USING (fold_id) WHERE model = 'ensemble_vincent'
+QUALIFY count(*) OVER (PARTITION BY fold_id, geo) = 52""")
 def k02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "season")
-    output.write_valid(_published(spark, sf_dir), path)
-    schema = "date DATE, " + ", ".join(f"{c} DOUBLE" for c in QUANTILE_COLUMNS) + ", track STRING, season_year INT, geo STRING"
-    written = spark.read.csv(path, header=True, schema=schema)
-    return written.groupBy("track", "season_year", "geo").agg(F.count("*").alias("rows"))
+    return _written(spark, _published(spark, sf_dir), "season", "csv")
 
 
-def _city_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = tracks.full_season(inp.city_series(spark, sf_dir), star.folds(spark))
-    wide = full.select("season_year", "geo", "date", *[F.col("q")[i].alias(c) for i, c in enumerate(QUANTILE_COLUMNS)])
-    return output.build_tables(wide.withColumn("track", F.lit("dengue_cities")))
+@query("k03_city_sink", _season_rows("dengue_cities", "v_dengue_city_clim"))
+def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cities = {"dengue_cities": (inp.city_series(spark, sf_dir), baselines.climatological)}
+    return _written(spark, output.build_tables(tracks.season_tables(cities, star.folds(spark))), "city", "parquet")
 
 
-@query("k03_city_sink", f"""
-SELECT 'dengue_cities' AS track, CAST({_SEASON} AS INTEGER) AS season_year, geo, count(*) AS rows FROM
-(SELECT DISTINCT geo FROM v_city_series) CROSS JOIN v_folds f CROSS JOIN generate_series(1, 52) GROUP BY ALL""")
-def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "city")
-    output.write_valid(_city_tables(spark, sf_dir), path, "parquet")
-    written = spark.read.schema(
-        "date DATE, pred DOUBLE, track STRING, season_year INT, geo STRING").parquet(path)
-    return written.groupBy("track", "season_year", "geo").agg(F.count("*").alias("rows"))
+@query("k04_best_of_tracks", " UNION ALL ".join([
+    _season_rows("d_state", "v_dengue_state_clim"), _season_rows("d_city", "v_dengue_city_snaive"),
+    _season_rows("c_state", "v_chikungunya_state_naive"), _season_rows("c_city", "v_chikungunya_city_clim")]))
+def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-season tables of all tracks, each from the model chosen for it, validated and written together."""
+    best = {
+        "d_state": (inp.state_series(spark, sf_dir), baselines.climatological),
+        "d_city": (inp.city_series(spark, sf_dir), baselines.seasonal_naive),
+        "c_state": (inp.state_series(spark, sf_dir, "chikungunya"), baselines.naive),
+        "c_city": (inp.city_series(spark, sf_dir, "chikungunya"), baselines.climatological),
+    }
+    return _written(spark, output.build_tables(tracks.season_tables(best, star.folds(spark))), "tracks", "parquet")
 
 
-@query("k04_best_of_tracks", """
+@query("k04_scores_of_chosen", """
 SELECT track, model, fold_id, count(*) AS rows FROM v_tracks JOIN (VALUES ('dengue', 'state', 'climatological_quantile', 'd_state'),
 ('dengue', 'city', 'seasonal_naive', 'd_city'), ('chikungunya', 'state', 'naive', 'c_state'),
 ('chikungunya', 'city', 'climatological_quantile', 'c_city')) t(disease, level, model, track) USING (disease, level, model)
 GROUP BY ALL""")
-def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
+def k04_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = spark.createDataFrame([
         ("dengue", "state", "climatological_quantile", "d_state"), ("dengue", "city", "seasonal_naive", "d_city"),
         ("chikungunya", "state", "naive", "c_state"), ("chikungunya", "city", "climatological_quantile", "c_city"),
@@ -196,19 +215,12 @@ def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("track", "model", "fold_id").agg(F.count("*").alias("rows"))
 
 
-@query("k05_full_season_sink", f"""
-SELECT CAST({_SEASON} AS INTEGER) AS season_year, count(*) AS rows, count(DISTINCT geo) AS geos FROM
-(SELECT DISTINCT geo FROM v_series) CROSS JOIN v_folds f CROSS JOIN generate_series(1, 52) WHERE fold_id = 4 GROUP BY 1""")
+@query("k05_full_season_sink", _season_rows("dengue", "v_clim", "fold_id = 4"))
 def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All weeks of the season that is only partly observed."""
     folds = star.folds(spark).filter("fold_id = 4")
-    full = tracks.full_season(inp.state_series(spark, sf_dir), folds)
-    wide = full.select("season_year", "geo", "date", *[F.col("q")[i].alias(c) for i, c in enumerate(QUANTILE_COLUMNS)])
-    path = new_path(spark, "full")
-    output.write_valid(output.build_tables(wide.withColumn("track", F.lit("dengue"))), path, "parquet")
-    written = spark.read.parquet(path)
-    return written.groupBy(F.col("season_year").cast("int").alias("season_year")).agg(
-        F.count("*").alias("rows"), F.countDistinct("geo").alias("geos"))
+    states = {"dengue": (inp.state_series(spark, sf_dir), baselines.climatological)}
+    return _written(spark, output.build_tables(tracks.season_tables(states, folds)), "full", "parquet")
 
 
 @query("k06_fitted_state", f"SELECT fold_id, geo, target_week, {sql.spread()} FROM v_pools")
@@ -230,6 +242,22 @@ def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inp.rounded_quantiles(full.select("geo", "season_year", "date", "horizon_weeks", "q"))
 
 
+_MEDIANS = ", ".join(f"quantile_cont(q[{i + 1}], 0.5) AS {c}" for i, c in enumerate(QUANTILE_COLUMNS))
+_SEASON_ENSEMBLE = sql.sorted_wide(
+    f"SELECT fold_id, geo, date, horizon_weeks, {_MEDIANS} FROM v_members WHERE model IN ({sql.MEMBER_LIST}) GROUP BY ALL",
+    "fold_id, geo, date, horizon_weeks")
+
+
+@query("m11_full_season_ensemble", f"""
+SELECT geo, CAST({_SEASON} AS INTEGER) AS season_year, date, horizon_weeks, {", ".join(sql.r6(c, c) for c in QUANTILE_COLUMNS)}
+FROM ({_SEASON_ENSEMBLE}) JOIN v_folds f USING (fold_id)""")
+def m11_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    population, geo_map = inp.state_population(spark, sf_dir), star.geo_map(spark, sf_dir)
+    members = [baselines.climatological, baselines.seasonal_naive, lambda s, f, c: hierarchical(s, f, population, geo_map, c)]
+    wide = tracks.full_season_ensemble(inp.state_series(spark, sf_dir), star.folds(spark), members)
+    return inp.round_all(wide.select("geo", "season_year", "date", "horizon_weeks", *QUANTILE_COLUMNS))
+
+
 @query("m16_track_runner", f"""
 SELECT disease, level, model, fold_id, count(*) AS rows, {sql.r6('avg(wis)', 'mean_wis')} FROM v_tracks GROUP BY ALL""")
 def m16(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,11 @@ def _carry() -> list[Column]:
     return [F.max(c).alias(c) for c in CARRIED]
 
 
-def median_ensemble(members: DataFrame, models: list[str], name: str = "ensemble_vincent",
+def median_ensemble(members: DataFrame, models: list[str] | None, name: str = "ensemble_vincent",
                     unit: list[str] = UNIT) -> DataFrame:
-    """Median of each quantile over the members."""
-    combined = members.filter(F.col("model").isin(models)).groupBy(*unit).agg(
+    """Median of each quantile over the members (``models`` of them, or all)."""
+    chosen = members if models is None else members.filter(F.col("model").isin(models))
+    combined = chosen.groupBy(*unit).agg(
         *_carry(), *[F.percentile(c, 0.5).alias(c) for c in QUANTILE_COLUMNS]
     )
     return qt.rearrange(combined).withColumn("model", F.lit(name))

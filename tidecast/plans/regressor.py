@@ -22,6 +22,9 @@ from tidecast.operators import order_stats as os_
 from tidecast.operators.scores import horizon_bin
 
 _MISSING = -1000.0
+#: Boosting by default: rounds, depth, learning rate and histogram bins. More rounds at a lower rate fit closer, at a
+#: cost of ``depth`` jobs a round and fold; both are arguments.
+ROUNDS, DEPTH, STEP, BINS = 20, 5, 0.25, 32
 
 
 def with_block(panel: DataFrame) -> DataFrame:
@@ -34,10 +37,10 @@ def _vectorised(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(filled)
 
 
-def fit_fold(proper: DataFrame, features: list[str], rounds: int = 3, depth: int = 4, seed: int = 42):
+def fit_fold(proper: DataFrame, features: list[str], rounds: int = ROUNDS, depth: int = DEPTH, seed: int = 42):
     """One distributed boosting fit on a fold's proper block."""
     trees = GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed,
-                         stepSize=0.5, maxBins=24)
+                         stepSize=STEP, maxBins=BINS)
     return trees.fit(_vectorised(proper, features).select("features", "label"))
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.constants import QUANTILE_COLUMNS
 from tidecast.functions import calendar as cal
+from tidecast.functions import quantiles as qt
+from tidecast.operators import ensemble, rollup
 from tidecast.operators import folds as fo
-from tidecast.operators import rollup
 from tidecast.plans import backtest, baselines
 
 _SEPARATOR = "|"
@@ -53,6 +56,24 @@ def full_season(series: DataFrame, folds: DataFrame, forecaster=baselines.climat
     return with_season_year(forecaster(series, folds, season_calendar(folds)), folds)
 
 
+def full_season_ensemble(series: DataFrame, folds: DataFrame, forecasters: list, name: str = "ensemble_vincent") -> DataFrame:
+    """Median ensemble of several models for all season weeks, also those that are not yet observed; wide columns."""
+    calendar = season_calendar(folds)
+    stacked = reduce(DataFrame.unionByName, [f(series, folds, calendar) for f in forecasters])
+    members = qt.to_wide(stacked).withColumn("observed_value", F.lit(None).cast("double"))
+    return with_season_year(ensemble.median_ensemble(members, None, name), folds)
+
+
+def season_tables(tracks: dict[str, tuple[DataFrame, Callable]], folds: DataFrame) -> DataFrame:
+    """track, season_year, geo, date and wide quantiles: the full season of every track from the model chosen for it."""
+    parts = [
+        full_season(series, folds, forecaster).select(
+            F.lit(track).alias("track"), "season_year", "geo", "date", *[F.col("q")[i].alias(c) for i, c in enumerate(QUANTILE_COLUMNS)])
+        for track, (series, forecaster) in tracks.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def observed_folds(series: DataFrame, folds: DataFrame) -> DataFrame:
     """Observed weeks per fold, which tells complete from partial folds."""
     return fo.target_window(series, folds).groupBy("fold_id").agg(F.countDistinct("date").alias("weeks"))
