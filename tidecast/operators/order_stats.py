@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidecast.constants import QUANTILE_LEVELS
 
@@ -37,9 +38,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: list[flo
     """keys, quantile_level, n, value at that level: exact, for a few groups too big for one task.
 
     Values are first collapsed to (value, count), which removes ties. Then every group is cut into
-    buckets of equal width on a log scale; bucket counts give the rank at which each bucket starts, and
-    only the buckets that hold a wanted rank are ranked value by value. The broadcast tables hold one
-    row per group (bounds) or per group and level (wanted), so they do not grow with the data.
+    buckets of equal width on a log scale; bucket counts give the rank at which each bucket starts. The
+    buckets that hold a wanted rank are cut once more, into cells of equal width between their own
+    extremes, so values that crowd in one bucket part again, and only the cells that hold a wanted rank
+    are ranked value by value. The broadcast tables hold one row per group (bounds) or per group and
+    level (wanted), so they do not grow with the data.
     """
     v = F.col(value).cast("double")
     log_v = F.signum("_v") * F.log1p(F.abs("_v"))
@@ -52,25 +55,34 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: list[flo
         *keys, F.floor(share * buckets).cast("int").alias("_bucket"), "_v", "_n"
     )
 
-    w = W.partitionBy(*keys)
-    before = w.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size")).withColumns({
-        "_start": F.coalesce(F.sum("_size").over(before), F.lit(0)),
-        "n": F.sum("_size").over(w),
-    })
+    def wanted_parts(starts: DataFrame, ranks: Column, *more: str) -> DataFrame:
+        """The parts (_start, _size) that hold one of the ranks, with those ranks."""
+
+        def inside(x: Column) -> Column:
+            return (F.ceil(x["rank"]) >= F.col("_start")) & (F.floor(x["rank"]) < F.col("_start") + F.col("_size"))
+
+        held = starts.select(*keys, "_bucket", *more, "_start", "n", F.filter(ranks, inside).alias("_wanted"))
+        return held.filter(F.size("_wanted") > 0)
 
     def ranked_level(level: Column) -> Column:
         return F.struct(level.alias("quantile_level"), rank(level, F.col("n")).cast("double").alias("rank"))
 
-    def inside(x: Column) -> Column:
-        return (F.ceil(x["rank"]) >= F.col("_start")) & (F.floor(x["rank"]) < F.col("_start") + F.col("_size"))
-
-    ranks = F.transform(F.array(*[F.lit(float(x)) for x in levels]), ranked_level)
-    wanted = starts.select(
-        *keys, "_bucket", "_start", "n", F.filter(ranks, inside).alias("_wanted")
-    ).filter(F.size("_wanted") > 0)
-    upto = W.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = _attach(placed, wanted, keys + ["_bucket"]).withColumn(
+    w = W.partitionBy(*keys)
+    size = F.sum("_n").alias("_size")
+    starts = placed.groupBy(*keys, "_bucket").agg(size, F.min("_v").alias("_least"), F.max("_v").alias("_most")).withColumns({
+        "_start": _before(w.orderBy("_bucket")), "n": F.sum("_size").over(w),
+    })
+    crowded = wanted_parts(starts, F.transform(F.array(*[F.lit(float(x)) for x in levels]), ranked_level), "_least", "_most")
+    part = F.coalesce(F.try_divide(F.col("_v") - F.col("_least"), F.col("_most") - F.col("_least")), F.lit(0.0))
+    cells = _attach(placed, crowded, keys + ["_bucket"]).withColumn("_cell", F.floor(part * buckets).cast("int"))
+
+    one = [F.first(c).alias(c) for c in ("_start", "n", "_wanted")]
+    cell_starts = cells.groupBy(*keys, "_bucket", "_cell").agg(size, *one).withColumn(
+        "_start", F.col("_start") + _before(W.partitionBy(*keys, "_bucket").orderBy("_cell")))
+    wanted = wanted_parts(cell_starts, F.col("_wanted"), "_cell")
+    upto = W.partitionBy(*keys, "_bucket", "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    narrow = cells.select(*keys, "_bucket", "_cell", "_v", "_n")
+    ranked = _attach(narrow, wanted, keys + ["_bucket", "_cell"]).withColumn(
         "_last", F.col("_start") + F.sum("_n").over(upto)
     )
     hit = ranked.select(*keys, "n", "_v", "_n", "_last", F.inline("_wanted")).filter(
@@ -83,6 +95,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: list[flo
     )
 
 
+def _before(ordered: WindowSpec) -> Column:
+    """Rows in the parts before this one."""
+    return F.coalesce(F.sum("_size").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
 def _attach(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return big.join(F.broadcast(small), keys) if keys else big.join(F.broadcast(small))
 
