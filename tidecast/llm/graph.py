@@ -11,15 +11,19 @@ from tidecast.llm.common import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b; two different longs); root is one node of the component.
 
-    Each round points a node at its smallest neighbour, follows pointers twice and contracts the edges by them, so
-    edges die out in a number of rounds logarithmic in the longest shortest path. Each round is a written table. Hubs
-    cost a row per task in the aggregation, and in the joins they meet plain exchanges, which Spark splits.
+    Each round ranks the nodes anew by a hash, points a node at the lowest of itself and its neighbours, follows
+    pointers twice and contracts the edges by them. Under random ranks only a share of a component's nodes can be
+    roots, so the expected number of rounds is logarithmic in its size, in whatever order its ids lie along a chain.
+    Each round is a written table. Hubs cost a row per task in the aggregation, and in the joins they meet plain
+    exchanges, which Spark splits.
     """
     level, steps = edges.select("a", "b"), []
     while True:
         both = level.unionByName(level.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pointer = written(both.groupBy("a").agg(F.min("b").alias("low"))
-                          .select(F.col("a").alias("node"), F.least("a", "low").alias("root")), "pointers")
+        ranked = both.select("a", F.struct(F.xxhash64("b", F.lit(len(steps))).alias("rank"), F.col("b").alias("id")).alias("other"))
+        own = F.struct(F.xxhash64("a", F.lit(len(steps))).alias("rank"), F.col("a").alias("id"))
+        pointer = written(ranked.groupBy("a").agg(F.min("other").alias("low"))
+                          .select(F.col("a").alias("node"), F.least(own, "low")["id"].alias("root")), "pointers")
         for _ in range(2):
             next_one = pointer.select(F.col("node").alias("root"), F.col("root").alias("further"))
             pointer = pointer.join(next_one, "root").select("node", F.col("further").alias("root"))
