@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.common import written
 
 
+def _ranked(node: str, turn: int | None) -> Column:
+    rank = F.col(node) if turn is None else F.xxhash64(node, F.lit(turn))
+    return F.struct(rank.alias("rank"), F.col(node).alias("id"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b; two different longs); root is one node of the component.
 
-    Each round ranks the nodes anew by a hash, points a node at the lowest of itself and its neighbours, follows
-    pointers twice and contracts the edges by them. Under random ranks only a share of a component's nodes can be
-    roots, so the expected number of rounds is logarithmic in its size, in whatever order its ids lie along a chain.
+    Each round ranks the nodes, points a node at the lowest of itself and its neighbours, follows pointers twice and
+    contracts the edges by them. Nodes rank by id, under which a star is done in two rounds; after two such rounds that
+    each left over half of the edges, one round ranks them by a hash, new each time, under which only a share of a
+    chain's nodes can be roots, in whatever order the ids lie along it. So long chains too shrink by a factor.
     Each round is a written table. Hubs cost a row per task in the aggregation, and in the joins they meet plain
     exchanges, which Spark splits.
     """
-    level, steps = edges.select("a", "b"), []
+    level, steps, slow = edges.select("a", "b"), [], 0
+    left = level.count()
     while True:
+        turn, slow = (len(steps), 0) if slow == 2 else (None, slow)
         both = level.unionByName(level.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ranked = both.select("a", F.struct(F.xxhash64("b", F.lit(len(steps))).alias("rank"), F.col("b").alias("id")).alias("other"))
-        own = F.struct(F.xxhash64("a", F.lit(len(steps))).alias("rank"), F.col("a").alias("id"))
-        pointer = written(ranked.groupBy("a").agg(F.min("other").alias("low"))
-                          .select(F.col("a").alias("node"), F.least(own, "low")["id"].alias("root")), "pointers")
+        pointer = written(both.select("a", _ranked("b", turn).alias("other")).groupBy("a").agg(F.min("other").alias("low"))
+                          .select(F.col("a").alias("node"), F.least(_ranked("a", turn), "low")["id"].alias("root")), "pointers")
         for _ in range(2):
             next_one = pointer.select(F.col("node").alias("root"), F.col("root").alias("further"))
             pointer = pointer.join(next_one, "root").select("node", F.col("further").alias("root"))
@@ -33,8 +39,11 @@ def components(edges: DataFrame) -> DataFrame:
         at_b = pointer.select(F.col("node").alias("b"), F.col("root").alias("y"))
         level = written(level.join(at_a, "a").join(at_b, "b").where("x <> y")
                         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        if level.isEmpty():
+        before, left = left, level.count()
+        if not left:
             break
+        if turn is None:
+            slow = slow + 1 if 2 * left > before else 0
     found = steps[0]
     for step in steps[1:]:
         further = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
