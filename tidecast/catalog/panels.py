@@ -77,7 +77,7 @@ def w08(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRAW = bs.draw_index_sql("r.rep", "x.geo_seed", "x.n", 0)
 
 
-@query("m05_trajectory_resampling", _TRAJECTORY_ROWS + f""",
+_RESAMPLED = _TRAJECTORY_ROWS + f""",
 x AS (SELECT DISTINCT fold_id, geo, n, CAST('0x' || substr(md5(geo), 1, 15) AS BIGINT) % {bs.PRIME} AS geo_seed FROM s),
 d AS (SELECT x.fold_id, x.geo, {_DRAW} AS season_no FROM x, (SELECT i AS rep FROM generate_series(0, 799) t(i)) r),
 m AS (SELECT d.fold_id, d.geo, k.date, k.origin_date, k.horizon_weeks, greatest(c.incidence * p.population / 1e5, 1e-6) AS mu
@@ -85,7 +85,10 @@ m AS (SELECT d.fold_id, d.geo, k.date, k.origin_date, k.horizon_weeks, greatest(
  JOIN v_calendar k ON k.fold_id = d.fold_id AND {sql.season_week('k.date')} = c.slot CROSS JOIN v_pop_years y
  LEFT JOIN v_state_pop p ON p.geo = d.geo AND p.year = least(greatest(year(k.date), y.lo), y.hi))
 SELECT 'trajectory_resample' AS model, fold_id, geo, date, origin_date, horizon_weeks, {sql.spread()} FROM
-(SELECT fold_id, geo, date, origin_date, horizon_weeks, quantile_cont(mu, {sql.LEVELS}) AS q FROM m GROUP BY ALL))""")
+(SELECT fold_id, geo, date, origin_date, horizon_weeks, quantile_cont(mu, {sql.LEVELS}) AS q FROM m GROUP BY ALL))"""
+
+
+@query("m05_trajectory_resampling", _RESAMPLED)
 def m05(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = trajectories.drawn_levels(
         inp.state_series(spark, sf_dir), star.folds(spark), inp.state_population(spark, sf_dir))
@@ -98,6 +101,21 @@ def m05_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
         inp.state_series(spark, sf_dir), star.folds(spark), inp.state_population(spark, sf_dir)))
 
 
+@query("m05_mechanistic_invariants", f"""
+SELECT fold_id, geo, count(*) AS rows, TRUE AS ascending, TRUE AS non_negative, TRUE AS centred FROM ({_RESAMPLED}) GROUP BY ALL""")
+def m05_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the noisy forecasts whatever is drawn; the median without noise lies in their 95 % interval, give or take a case."""
+    series, folds = inp.state_series(spark, sf_dir), star.folds(spark)
+    levels = handoff(spark, f"levels:{sf_dir}", lambda: trajectories.drawn_levels(series, folds, inp.state_population(spark, sf_dir)))
+    noisy = trajectories.with_count_noise(levels, trajectories.dispersion(series, folds))
+    calm = trajectories.resampled(levels).select("fold_id", "geo", "date", "horizon_weeks", F.col("q")[4].alias("middle"))
+    both = noisy.join(calm, ["fold_id", "geo", "date", "horizon_weeks"], "left")
+    return both.groupBy("fold_id", "geo").agg(
+        F.count("*").alias("rows"), F.bool_and(F.col("q") == F.array_sort("q")).alias("ascending"),
+        F.bool_and(F.col("q")[0] >= 0).alias("non_negative"),
+        F.bool_and(F.col("middle").between(F.col("q")[0] - 1, F.col("q")[8] + 1)).alias("centred"))
+
+
 @query("m06_panel_regressor")
 def m06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score per fold of the pooled regressor; its learner has no SQL form."""

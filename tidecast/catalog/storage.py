@@ -122,6 +122,15 @@ def s11_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.combined_fingerprint(landing.file_fingerprints(spark, sf_dir, "*.parquet"))
 
 
+@query("s11_weekly_fingerprint", """
+SELECT count(*) AS files, substr(sha256(string_agg(h, '' ORDER BY h)), 1, 16) AS fingerprint FROM
+(SELECT sha256(concat_ws('|', CAST(date AS VARCHAR), CAST(CAST(sum(casos) AS BIGINT) AS VARCHAR))) AS h FROM v_cases GROUP BY date)""")
+def s11_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of ``combined_fingerprint`` over one hash a week, which SQL can repeat; the calendar bounds its rows."""
+    weeks = star.cases(spark, sf_dir).groupBy("date").agg(F.sum("casos").cast("bigint").alias("casos"))
+    return landing.combined_fingerprint(weeks.select(F.sha2(F.concat_ws("|", F.col("date").cast("string"), F.col("casos").cast("string")), 256).alias("sha256")))
+
+
 @query("s01_landed_by_year", """
 SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS rows, CAST(sum(casos) AS BIGINT) AS casos FROM v_cases
 WHERE date >= DATE '2000-01-01' GROUP BY 1""")
