@@ -19,12 +19,9 @@ def sum_to_state(cases: DataFrame, exclude: str | None = None, keys: tuple[str,
 def by_geo(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Partition by geo once, so that the windows and aggregates per geo that follow add no exchange.
 
-    At least four partitions a core, since a few dozen geos fall unevenly on fewer.
+    Into ``spark.sql.shuffle.partitions`` parts whatever the size of the cluster: set it to a few times the cores.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
-    return df.repartition(partitions, *keys, "geo")
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "geo")
 
 
 def densify(series: DataFrame, keys: tuple[str, ...] = (), value: str = "casos") -> DataFrame:
