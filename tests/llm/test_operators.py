@@ -168,6 +168,15 @@ def test_simhash_components_against_brute_force(spark, docs, empty, sf_dir):
     assert simhash.judge(empty).count() == 0
 
 
+def test_one_stays_of_each_component_where_smallest_ids_are_missing_or_repeated(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(6)]
+    ids = [None, None, None, 7, 7, 7]
+    table = spark.createDataFrame([*zip(ids, texts), (9, texts[0]), (8, texts[3])], "doc_id long, text string")
+    assert len({_fingerprint(t) for t in texts}) == 6 == len(set(_components(list(range(6)), np.array([_fingerprint(t) for t in texts], np.uint64))))
+    kept = simhash.one_of_each(table, simhash.judge(table)).collect()
+    assert sorted((r.text, r.doc_id or 0) for r in kept) == sorted((t, i or 0) for t, i in zip(texts, ids))
+
+
 def test_forest_spans_the_links_and_components_contract_a_long_path(spark):
     rng = np.random.default_rng(2)
     prints = np.unique(rng.integers(0, 2**10, 300, dtype=np.uint64) << np.uint64(3))

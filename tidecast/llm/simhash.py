@@ -184,7 +184,11 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def judge(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id (smallest id reachable), text_sha256."""
+    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id (smallest id reachable), text_sha256, root.
+
+    Unrelated components can share their smallest id, where it is missing or repeated; root is one fingerprint of a
+    component and tells them apart.
+    """
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"the keys find links of at most {DISTANCE} bits")
     prints = written(docs.select(row_id().alias(ID), digest_of().alias("digest"), text_of().alias("text"))
@@ -192,21 +196,21 @@ def judge(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> Data
     distinct = written(prints.groupBy("print").agg(F.min(ID).alias("low")), "distinct")
     roots = components(written(links(distinct, distance), "links")).withColumnRenamed("node", "print")
     lowest = written(roots.join(distinct, "print").groupBy("root").agg(F.min("low").alias("lowest")), "lowest")
-    linked = roots.join(lowest, "root").select("print", "lowest")
-    named = written(distinct.join(linked, "print", "left").select("print", F.coalesce("lowest", "low").alias("component")), "components")
+    linked = roots.join(lowest, "root").select("print", "root", "lowest")
+    named = written(distinct.join(linked, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.coalesce("lowest", "low").alias("component")), "components")
     return prints.join(named, "print").select(
         shown_id(ID).alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
-        shown_id("component").alias("component_id"), F.lower(F.hex("digest")).alias("text_sha256"))
+        shown_id("component").alias("component_id"), F.lower(F.hex("digest")).alias("text_sha256"), "root")
 
 
 def one_of_each(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one per component: the smallest id, of its texts the one with the smallest SHA-256."""
-    stay = (decisions.where("doc_id <=> component_id").groupBy(row_id().alias("_llm_stay")).agg(F.min("text_sha256").alias("sha"))
-            .select("_llm_stay", F.unhex("sha").alias("_llm_sha")))
+    stay = (decisions.groupBy("root").agg(F.min(F.struct(row_id().alias("id"), "text_sha256")).alias("low"))
+            .select(F.col("low.id").alias("_llm_stay"), F.unhex("low.text_sha256").alias("_llm_sha")))
     keyed = docs.select("*", row_id().alias(ID), digest_of().alias("_llm_digest"))
     kept = keyed.join(stay, (keyed[ID] == stay["_llm_stay"]) & (keyed["_llm_digest"] == stay["_llm_sha"]), "left_semi")
     return kept.dropDuplicates([ID, "_llm_digest"]).drop(ID, "_llm_digest")
 
 
 def query(spark, sf_dir):
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_sha256")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_sha256", "root")
