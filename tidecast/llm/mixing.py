@@ -9,7 +9,8 @@ Running token counts need no large window: documents fall into buckets by the fi
 bucket totals are summed first, and only a bucket is ordered row by row, so a hot source is spread over all buckets.
 
 Defined cases: a null text has no words and is never taken; a null source is a source of its own, last in order;
-a null id hashes like an empty one; rows with equal ids follow each other by size. Empty tables give empty results.
+a null id hashes like an empty one; rows with equal ids follow each other by size, those of equal size by the text's
+SHA-256. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ID, NULL_ID, row_id, shown_id, text_of, written
+from tidecast.llm.common import ID, NULL_ID, digest_of, row_id, shown_id, text_of, written
 
 #: Base weights by rank of the source in code-point order, repeating, and their schedules as (time, factor) knots:
 #: the first class fades out, the second stays, the third comes in.
@@ -73,12 +74,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, halves: int = HALVES) -> DataFram
 def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, halves: int = HALVES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source), range-sorted by first position.
 
-    Columns: doc_id, size, source_size, target, taken, first_position, second_position (null where not taken).
+    Columns: doc_id, size, source_size, target, taken, first_position, second_position (null where not taken), and
+    source and digest (the text's SHA-256), by which ``in_training_order`` finds the row again.
     """
     light = written(docs.select(
         row_id().alias(ID), F.regexp_count(text_of(), F.lit(_WORD)).cast("long").alias("size"),
         F.col("source").isNull().alias("missing"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("draw")), "sizes")
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("draw"), digest_of().alias("digest")), "sizes")
     rows, digits = light.count(), 1
     while digits < 5 and rows > bucket_rows * 16**digits:
         digits += 1
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, halves: int = HAL
     preceding = Window.partitionBy("missing", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (buckets.withColumn("start", F.coalesce(F.sum("bucket_size").over(preceding), F.lit(0)))
               .join(targets(sizes, weights, halves), ["missing", "source"]).drop("bucket_size"))
-    inside = Window.partitionBy(*key).orderBy("draw", ID, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("draw", ID, "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = (light.join(written(starts, "starts"), key)
               .withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
               .withColumn("goal", F.floor("target").cast("long")))
@@ -104,7 +106,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, halves: int = HAL
     out = taken.select(
         shown_id(ID).alias("doc_id"), "size", "source_size", "target", (F.col("once") + F.col("again")).alias("taken"),
         F.expr(position_sql("u1", "kind", schedules)).alias("first_position"),
-        F.expr(position_sql("u2", "kind", schedules)).alias("second_position"))
+        F.expr(position_sql("u2", "kind", schedules)).alias("second_position"),
+        F.when(~F.col("missing"), F.col("source")).alias("source"), "digest")
     # the id splits the documents that are not taken, which have no position
     order = [F.col("first_position").asc_nulls_last(), F.col("doc_id").asc()]
     return out.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -113,16 +116,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, halves: int = HAL
 def in_training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs`` once per time the mix takes them, with all their columns, position and words taken, range-sorted.
 
-    Rows are matched by id and size, so repeated ids are matched where their sizes differ; equal ones share a row's turns.
+    Rows are matched by id, source and digest of the text; of rows equal in these, the k-th gets the k-th row's turns, so
+    that each turn meets one row. Rows and turns are dealt out together, once; a key's rows are as many as its copies.
     """
-    turns = mixed.select(row_id().alias("_llm_turn"), F.col("size").alias("_llm_size"), F.explode(F.array(
-        F.struct(F.col("first_position").alias("at"), F.least("taken", "size").alias("words")),
-        F.struct(F.col("second_position").alias("at"), F.greatest(F.col("taken") - F.col("size"), F.lit(0)).alias("words")),
-    )).alias("_llm_at")).where("_llm_at.at is not null").dropDuplicates(["_llm_turn", "_llm_size", "_llm_at"])
-    keyed = docs.select("*", row_id().alias(ID), F.regexp_count(text_of(), F.lit(_WORD)).cast("long").alias("_llm_words"))
-    joined = keyed.join(turns, (keyed[ID] == turns["_llm_turn"]) & (keyed["_llm_words"] == turns["_llm_size"]))
-    out = joined.select(*[joined[c] for c in map(_quoted, docs.columns)],
-                        F.col("_llm_at.at").alias("mix_position"), F.col("_llm_at.words").alias("mix_words"))
+    source = F.col("source").cast("string")
+    turns = mixed.where("taken > 0").select(
+        row_id().alias(ID), source.alias("_llm_source"), F.col("digest").alias("_llm_digest"), F.lit(0).alias("_llm_side"),
+        F.col("first_position").alias("_llm_first"), F.array(
+            F.struct(F.col("first_position").alias("at"), F.least("taken", "size").alias("words")),
+            F.struct(F.col("second_position").alias("at"), F.greatest(F.col("taken") - F.col("size"), F.lit(0)).alias("words")),
+        ).alias("_llm_turns"))
+    rows = docs.select(row_id().alias(ID), source.alias("_llm_source"), digest_of().alias("_llm_digest"), F.lit(1).alias("_llm_side"),
+                       F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("_llm_row"))
+    same = [ID, "_llm_source", "_llm_digest"]
+    met = (turns.unionByName(rows, allowMissingColumns=True)
+           .withColumn("_llm_copy", F.row_number().over(Window.partitionBy(*same, "_llm_side").orderBy("_llm_first")))
+           .withColumn("_llm_turns", F.lag("_llm_turns").over(Window.partitionBy(*same).orderBy("_llm_copy", "_llm_side")))
+           .where("_llm_side = 1").select("_llm_row", F.explode("_llm_turns").alias("_llm_at")).where("_llm_at.at is not null"))
+    out = met.select("_llm_row.*", F.col("_llm_at.at").alias("mix_position"), F.col("_llm_at.words").alias("mix_words"))
     return out.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
 
 
@@ -131,7 +142,7 @@ def _quoted(name: str) -> str:
 
 
 def query(spark, sf_dir):
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source", "digest")
 
 
 SQL = f"""
