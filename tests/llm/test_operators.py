@@ -1,5 +1,6 @@
 """The training-data operators on small inputs with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import hashlib
 import re
 import sys
 from pathlib import Path
@@ -17,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 import check  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tidecast.llm import catalog, decontaminate, exact_dedup, graph, language_id, mixing, quality, secrets, simhash, toxicity, url_filter, warc  # noqa: E402
+from tidecast.llm import catalog, decontaminate, exact_dedup, graph, language_id, mixing, quality, secrets, similar, simhash, toxicity, url_filter, warc  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, keep_id string, digest string, `a.b` int"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
@@ -177,6 +178,37 @@ def test_one_stays_of_each_component_where_smallest_ids_are_missing_or_repeated(
     assert sorted((r.text, r.doc_id or 0) for r in kept) == sorted((t, i or 0) for t, i in zip(texts, ids))
 
 
+def test_similar_texts_against_brute_force(spark, docs, empty, sf_dir):
+    rng = np.random.default_rng(6)
+    texts = ["", None, "a b", "A  b"]
+    for k in range(12):
+        base = [f"b{k}w{i}" for i in range(200)]
+        for changes in (0, 1, 2, 3, 4, 5, 6, 8, 12):
+            copy = list(base)
+            for at in rng.choice(200, changes, replace=False):
+                copy[at] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(copy))
+    planted = spark.createDataFrame([(None if i % 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for table in (planted, docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")):
+        own = sorted({r.text or "" for r in table.collect()})
+        sets = []
+        for t in own:
+            words = t.lower().split()
+            sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+        group = list(range(len(own)))
+        for i in range(len(own)):
+            for j in range(i):
+                if group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    group = [group[j] if g == group[i] else g for g in group]
+        expected = {frozenset(hashlib.sha256(own[i].encode()).hexdigest() for i in range(len(own)) if group[i] == g) for g in group}
+        found = {}
+        for r in similar.judge(table).collect():
+            found.setdefault(r.root, set()).add(r.text_sha256)
+        assert {frozenset(x) for x in found.values()} == expected
+        assert corpus_pipeline.near(spark, table, sf_dir).count() == len(expected)
+    assert similar.judge(empty).count() == 0
+
+
 def test_forest_spans_the_links_and_components_contract_a_long_path(spark):
     rng = np.random.default_rng(2)
     prints = np.unique(rng.integers(0, 2**10, 300, dtype=np.uint64) << np.uint64(3))
