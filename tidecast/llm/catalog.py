@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecast.llm import decontaminate, exact_dedup, language_id, mixing, quality, secrets, simhash, toxicity, url_filter, warc
+from tidecast.llm import decontaminate, exact_dedup, language_id, mixing, quality, secrets, simhash, substrings, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_warc_revisits": warc.query,
     "op10_quality": quality.query,
+    "op12_substring_dedup": substrings.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_source_mix": mixing.SQL,
     "op8_url_filter": url_filter.SQL,
     "op9_warc_revisits": warc.SQL,
+    "op12_substring_dedup": substrings.SQL,
 }

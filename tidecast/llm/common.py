@@ -12,6 +12,9 @@ NULL_ID = -(2**63)
 
 ID = "_llm_id"
 
+#: Rows of a few numbers or digests each that are broadcast at most.
+BROADCAST_ROWS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +53,11 @@ def fold_of(folds: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
+def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``bound`` rows; joined by shuffle beyond it."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def power_of_two(n: float) -> int:
     """The exponent of the least power of two that is not below n."""
     return max(0, (max(1, int(-(-n // 1))) - 1).bit_length())
