@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidecast.llm import decontaminate, exact_dedup, language_id, mixing, quality, secrets, simhash, substrings, toxicity, url_filter, warc
+from tidecast.llm import (
+    collocations, decontaminate, exact_dedup, language_id, mixing, quality, secrets, simhash, spelling, substrings, toxicity, url_filter, warc,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,7 +17,9 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_warc_revisits": warc.query,
     "op10_quality": quality.query,
+    "op11_collocations": collocations.query,
     "op12_substring_dedup": substrings.query,
+    "op13_spelling_variants": spelling.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
@@ -23,5 +27,7 @@ ORACLES = {
     "op5_source_mix": mixing.SQL,
     "op8_url_filter": url_filter.SQL,
     "op9_warc_revisits": warc.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_substring_dedup": substrings.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
