@@ -41,7 +41,7 @@ WINDOW = 20
 #: Words of the runs among which a minimiser is chosen.
 GRAM = 3
 #: Packed bytes that a bucket is given on average, bytes of text that are packed at a time.
-BUCKET_BYTES, CHUNK_BYTES = 32 << 20, 8 << 20
+BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 3 << 20
 #: One text in so many is sampled to find minimisers with more than a quarter of a bucket, and how many of them are split at most.
 SAMPLE, SPLIT = 64, 100_000
 #: Windows of a super-k-mer at most; a longer run of windows with one minimiser is sent in several.
