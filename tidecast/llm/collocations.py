@@ -42,7 +42,7 @@ LEAST, SHARE, TOP = 30, 80, 2000
 #: Bytes of phrases that a partition merges on average, entries a task's trie holds, entries of a container before it bursts.
 BUCKET_BYTES, HELD, BURST = 32 << 20, 400_000, 4096
 #: Bytes of text counted at a time; one text in so many is sampled; three-word phrases that are split at most.
-CHUNK_BYTES, SAMPLE, SPLIT = 2 << 20, 64, 100_000
+CHUNK_BYTES, SAMPLE, SPLIT = 4 << 20, 64, 100_000
 
 #: Word numbers have 21 bits; 0 stands for the end of a piece.
 _BITS = 21
@@ -57,6 +57,10 @@ _ENDS = b".,;:!?\n\v\f\r"
 _TABLE = bytes(46 if c in _ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+class Container(dict):
+    """Remaining words, packed in one number, and their count."""
+
+
 class HatTrie:
     """Counts of rows of four word numbers: under a first word a container, or once it has burst one container a next word."""
 
@@ -70,40 +74,42 @@ class HatTrie:
             self._into(self.root, key, mine, LONGEST - 1)
             self.sizes[key] += self.size - before
 
-    def _into(self, parent: dict, key: int, rest: np.ndarray, left: int) -> None:
+    def _into(self, parent: dict, key: int, rest: list[int], left: int) -> None:
         child = parent.get(key)
         if child is None:
-            child = parent[key] = Counter()
-        if type(child) is Counter:
+            child = parent[key] = Container()
+        if type(child) is Container:
             self.size -= len(child)
-            child.update(rest.tolist())
+            for k in rest:
+                child[k] = child.get(k, 0) + 1
             self.size += len(child)
             if left > 1 and len(child) > self.burst:
+                shift = _BITS * (left - 1)
                 node = parent[key] = {}
                 for k, n in child.items():
-                    node.setdefault(k >> _BITS * (left - 1), Counter())[k & (1 << _BITS * (left - 1)) - 1] = n
+                    node.setdefault(k >> shift, Container())[k & (1 << shift) - 1] = n
         else:
-            for k, mine in _groups(rest >> _BITS * (left - 1), rest & (1 << _BITS * (left - 1)) - 1):
+            packed, shift = np.array(rest, np.int64), _BITS * (left - 1)
+            for k, mine in _groups(packed >> shift, packed & (1 << shift) - 1):
                 self._into(child, k, mine, left - 1)
 
     def take(self, keys: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Remove the subtrees under these first words: (first, rest, count) of their entries."""
-        firsts, rests, counts = [], [], []
+        rests, counts, sizes = [], [], []
 
         def gather(child: dict, prefix: int, left: int) -> None:
-            if type(child) is Counter:
-                rests.append(np.fromiter(child.keys(), np.int64, len(child)) | prefix)
-                counts.append(np.fromiter(child.values(), np.int64, len(child)))
+            if type(child) is Container:
+                rests.extend([k | prefix for k in child] if prefix else child)
+                counts.extend(child.values())
                 return
             for k, below in child.items():
                 gather(below, prefix | k << _BITS * (left - 1), left - 1)
 
         for key in keys:
-            at = len(rests)
             gather(self.root.pop(key), 0, LONGEST - 1)
-            firsts.append(np.full(sum(map(len, rests[at:])), key, np.int64))
-            self.size -= self.sizes.pop(key)
-        return np.concatenate(firsts), np.concatenate(rests), np.concatenate(counts)
+            sizes.append(self.sizes.pop(key))
+        self.size -= sum(sizes)
+        return np.repeat(np.array(keys, np.int64), sizes), np.array(rests, np.int64), np.array(counts, np.int64)
 
     def largest(self, entries: int) -> list[int]:
         """First words whose subtrees hold so many entries, the largest first."""
@@ -116,12 +122,13 @@ class HatTrie:
         return chosen
 
 
-def _groups(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _groups(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, list[int]]]:
     order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
+    keys, values = keys[order], values[order].tolist()
     cuts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
-        yield int(keys[a]), values[a:b]
+    bounds = [*cuts.tolist(), len(values)]
+    for key, a, b in zip(keys[cuts].tolist(), bounds, bounds[1:]):
+        yield key, values[a:b]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
