@@ -13,7 +13,7 @@ NULL_ID = -(2**63)
 ID = "_llm_id"
 
 #: Rows of a few numbers or digests each that are broadcast at most.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,22 @@ def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without those of ``gone`` (id, digest) and with one each of ``repeated`` (id, digest).
+
+    Texts are shuffled only where they are repeated, as long as ``gone`` and ``repeated`` are few enough to broadcast.
+    """
+    def named(df: DataFrame) -> DataFrame:
+        return few(df.select(F.col("id").alias("_llm_at"), F.col("digest").alias("_llm_sha")))
+
+    keyed = docs.select("*", row_id().alias(ID), digest_of().alias("_llm_digest"))
+    same = (F.col(ID) == F.col("_llm_at")) & (F.col("_llm_digest") == F.col("_llm_sha"))
+    left = keyed.join(named(gone), same, "left_anti")
+    if repeated.limit(1).count():
+        left = left.join(named(repeated), same, "left_anti").unionAll(left.join(named(repeated), same, "left_semi").dropDuplicates([ID, "_llm_digest"]))
+    return left.drop(ID, "_llm_digest")
+
+
 def power_of_two(n: float) -> int:
     """The exponent of the least power of two that is not below n."""
     return max(0, (max(1, int(-(-n // 1))) - 1).bit_length())

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ID, digest_of, row_id, shown_id, text_of, written
+from tidecast.llm.common import ID, digest_of, row_id, shown_id, text_of, without, written
 from tidecast.llm.graph import components
 
 WORDS, SEED, DISTANCE = 4, 42, 4
@@ -205,11 +205,12 @@ def judge(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> Data
 
 def one_of_each(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one per component: the smallest id, of its texts the one with the smallest SHA-256."""
-    stay = (decisions.groupBy("root").agg(F.min(F.struct(row_id().alias("id"), "text_sha256")).alias("low"))
-            .select(F.col("low.id").alias("_llm_stay"), F.unhex("low.text_sha256").alias("_llm_sha")))
-    keyed = docs.select("*", row_id().alias(ID), digest_of().alias("_llm_digest"))
-    kept = keyed.join(stay, (keyed[ID] == stay["_llm_stay"]) & (keyed["_llm_digest"] == stay["_llm_sha"]), "left_semi")
-    return kept.dropDuplicates([ID, "_llm_digest"]).drop(ID, "_llm_digest")
+    low = F.min(F.struct("id", "digest"))
+    rows = decisions.groupBy("root", row_id().alias("id"), F.unhex("text_sha256").alias("digest")).agg(F.count("*").alias("times"))
+    rows = written(rows, "members")
+    stay = rows.groupBy("root").agg(low.alias("low")).select(F.col("low.id").alias("id"), F.col("low.digest").alias("digest"), F.lit(True).alias("kept"))
+    rows = written(rows.join(stay, ["id", "digest"], "left").where("kept is null or times > 1"), "changes")
+    return without(docs, rows.where("kept is null"), rows.where("kept"))
 
 
 def query(spark, sf_dir):
