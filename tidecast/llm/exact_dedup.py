@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ID, digest_of, power_of_two, row_id, shown_id, text_of, written
+from tidecast.llm.common import ID, digest_of, few, power_of_two, row_id, shown_id, text_of, without, written
 
 #: Documents a block holds at most, and fingerprints an owner is given on average at most.
 BLOCK_ROWS, OWNER_ROWS = 1 << 17, 1 << 22
@@ -140,7 +140,7 @@ def decide(docs: DataFrame, **sizes: int) -> DataFrame:
     marks = written(marked(docs, **sizes), "marks")
     suspects = marks.where("suspect").select(ID, "digest")
     texts = docs.select(row_id().alias(ID), digest_of().alias("digest"), text_of().alias("text"))
-    verified = (texts.join(suspects, [ID, "digest"], "left_semi").groupBy("digest")
+    verified = (texts.join(few(suspects.distinct()), [ID, "digest"], "left_semi").groupBy("digest")
                 .agg(F.min("text").alias("low"), F.max("text").alias("high"), F.max(ID).alias("keep"),
                      F.count("*").alias("group_size"))
                 .select("digest", "group_size", F.when(F.col("low") == F.col("high"), F.col("keep"))
@@ -159,10 +159,9 @@ def decide(docs: DataFrame, **sizes: int) -> DataFrame:
 
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``decisions`` keep, with all their columns, whatever they are called."""
-    stay = decisions.where("kept").select(row_id().alias("_llm_stay"), F.unhex("text_sha256").alias("_llm_sha"))
-    keyed = docs.select("*", row_id().alias(ID), digest_of().alias("_llm_digest"))
-    kept = keyed.join(stay, (keyed[ID] == stay["_llm_stay"]) & (keyed["_llm_digest"] == stay["_llm_sha"]), "left_semi")
-    return kept.dropDuplicates([ID, "_llm_digest"]).drop(ID, "_llm_digest")
+    rows = decisions.groupBy(row_id().alias("id"), F.unhex("text_sha256").alias("digest")).agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    rows = written(rows.where("not kept or times > 1"), "changes")
+    return without(docs, rows.where("not kept"), rows.where("kept"))
 
 
 def query(spark, sf_dir):
