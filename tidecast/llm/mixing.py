@@ -5,12 +5,12 @@ integral is the source's cumulative token demand. Documents of a source stand in
 at the source's token c is trained where the demand reaches c, so demand is inverted to give its position. Tokens
 beyond the source's size go round again (each document at most twice). Range-sorting by position is the mix.
 
-Running token counts need no large window: documents fall into buckets by the first digits of an MD5 of their id,
+Running token counts need no large window: documents fall into buckets by the first digits of an MD5 of id, source and text,
 bucket totals are summed first, and only a bucket is ordered row by row, so a hot source is spread over all buckets.
 
 Defined cases: a null text has no words and is never taken; a null source is a source of its own, last in order;
-a null id hashes like an empty one; rows with equal ids follow each other by size, those of equal size by the text's
-SHA-256. Empty tables give empty results.
+a null id hashes like an empty one; rows with equal hashes follow each other by id, size and the text's SHA-256; a very
+long text is one number, its size; columns of any name may come along, but for names that begin with _llm_. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -80,9 +80,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, halves: int = HAL
     light = written(docs.select(
         row_id().alias(ID), F.regexp_count(text_of(), F.lit(_WORD)).cast("long").alias("size"),
         F.col("source").isNull().alias("missing"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("draw"), digest_of().alias("digest")), "sizes")
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), digest_of().alias("digest")).select(
+        ID, "size", "missing", "source", F.md5(F.concat_ws("|", "id", "source", F.lower(F.hex("digest"))).cast("binary")).alias("draw"), "digest"), "sizes")
     rows, digits = light.count(), 1
-    while digits < 5 and rows > bucket_rows * 16**digits:
+    while digits < 32 and rows > bucket_rows * 16**digits:
         digits += 1
     key = ["missing", "source", "bucket"]
     light = light.withColumn("bucket", F.substring("draw", 1, digits))
@@ -129,7 +130,7 @@ def in_training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     rows = docs.select(row_id().alias(ID), source.alias("_llm_source"), digest_of().alias("_llm_digest"), F.lit(1).alias("_llm_side"),
                        F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("_llm_row"))
     same = [ID, "_llm_source", "_llm_digest"]
-    met = (turns.unionByName(rows, allowMissingColumns=True)
+    met = (turns.unionByName(rows, allowMissingColumns=True).repartition(*same)  # one exchange for both windows
            .withColumn("_llm_copy", F.row_number().over(Window.partitionBy(*same, "_llm_side").orderBy("_llm_first")))
            .withColumn("_llm_turns", F.lag("_llm_turns").over(Window.partitionBy(*same).orderBy("_llm_copy", "_llm_side")))
            .where("_llm_side = 1").select("_llm_row", F.explode("_llm_turns").alias("_llm_at")).where("_llm_at.at is not null"))
@@ -147,7 +148,8 @@ def query(spark, sf_dir):
 
 SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(doc_id, {NULL_ID}) AS i, source IS NULL AS missing, coalesce(source, '') AS s,
-             len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw
+             len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+             md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || sha256(coalesce(text, ''))) AS draw
            FROM documents),
 src AS (SELECT missing, s, CAST(sum(size) AS HUGEINT) AS source_size, (row_number() OVER (ORDER BY missing, s) - 1) % 3 AS kind FROM d GROUP BY 1, 2),
 w AS (SELECT *, CAST([3, 1, 2][kind + 1] AS HUGEINT) AS weight FROM src),
