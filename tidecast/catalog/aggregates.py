@@ -21,7 +21,7 @@ from tidecast.operators import quality as ql
 from tidecast.operators import rollup
 from tidecast.operators import scores as so
 from tidecast.plans import baselines, trajectories
-from tidecast.plans.hierarchical import shrinkage_weights
+from tidecast.plans.hierarchical import shrinkage_weights, volumes
 from tidecast.plans.sequences import standardisation
 from tidecast.sources import star
 
@@ -121,9 +121,7 @@ def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a12_residual_pool_quantiles", f"SELECT fold_id, geo, {sql.spread()} FROM v_resid_q")
 def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    residuals = baselines.seasonal_residuals(inp.state_series(spark, sf_dir), star.folds(spark))
-    pooled = residuals.groupBy("fold_id", "geo").agg(os_.quantile_vector(F.col("residual")).alias("q"))
-    return inp.rounded_quantiles(pooled)
+    return inp.rounded_quantiles(baselines.residual_pools(inp.state_series(spark, sf_dir), star.folds(spark)).select("fold_id", "geo", "q"))
 
 
 @query("a13_circular_window_quantiles",
@@ -456,9 +454,8 @@ def a44(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a45_shrinkage_weight", f"SELECT fold_id, geo, {sql.r6('weight', 'weight')} FROM v_shrink")
 def a45(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usable = rollup.add_incidence(inp.state_series(spark, sf_dir), inp.state_population(spark, sf_dir))
-    train = fo.training(usable.filter("population > 0"), star.folds(spark))
-    return inp.round_all(shrinkage_weights(train))
+    usable = rollup.add_incidence(inp.state_series(spark, sf_dir), inp.state_population(spark, sf_dir)).filter("population > 0")
+    return inp.round_all(shrinkage_weights(volumes(usable, fo.Nested(star.folds(spark)))))
 
 
 @query("a46_standardisation", """

@@ -146,14 +146,17 @@ def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_range.groupBy("fold_id", "geo", "season").agg(F.count("*").alias("weeks"))
 
 
+_PROJECTED = [c for c in panel.ORIGIN_FEATURES if c != "temp_anomaly"]  # the anomaly depends on the fold
+_PLACES = {c: 9 if c in ("temp_med_roll4", "precip_med_roll4") else 6 for c in [*_PROJECTED, *inp.PANEL_STATIC]}
+
+
 @query("f16_feature_projection", f"""
-SELECT geo, date, {sql.r6('lag_1', 'lag_1')}, {sql.r6('lag_52', 'lag_52')}, {sql.r6('koppen_frac_K1', 'koppen_frac_K1')}
-FROM v_origin JOIN v_static USING (geo)""")
+SELECT geo, date, {', '.join(f'round({c}, {d}) + 0.0 AS {c}' for c, d in _PLACES.items())}
+FROM v_origin JOIN v_static USING (geo) LEFT JOIN v_ocean_lags USING (date)""")
 def f16(spark: SparkSession, sf_dir: str) -> DataFrame:
     population, climate, ocean, _, static = inp.panel_inputs(spark, sf_dir)
     origins = panel.origin_series(inp.state_series(spark, sf_dir), population, climate, ocean)
-    chosen = [c for c in panel.ORIGIN_FEATURES if c in ("lag_1", "lag_52")]
-    return inp.round_all(origins.join(static, "geo").select("geo", "date", *chosen, "koppen_frac_K1"))
+    return origins.join(static, "geo").select("geo", "date", *[(F.round(c, d) + 0.0).alias(c) for c, d in _PLACES.items()])
 
 
 @query("f17_positive_pairs", """

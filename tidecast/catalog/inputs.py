@@ -21,6 +21,11 @@ ENSEMBLES = ["ensemble_vincent", "ensemble_invwis", "ensemble_conformal"]
 SEASONAL_VALUES = ["temp_med", "umid_med", "precip_tot"]
 
 
+def shared(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+    """A stage that queries share, written once for the present content of the input folder."""
+    return handoff(spark, f"{name}:{sf_dir}", build, partition_by, sf_dir)
+
+
 def r6(c: Column | str, name: str | None = None, digits: int = 6) -> Column:
     rounded = F.round(F.col(c) if isinstance(c, str) else c, digits)
     return rounded.alias(name or c)
@@ -47,7 +52,7 @@ def state_series_raw(spark: SparkSession, sf_dir: str, disease: str = "dengue")
 
 def state_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:
     """The same series as a written table: the raw facts are scanned once, however often it is used."""
-    written = handoff(spark, f"series:{disease}:{sf_dir}", lambda: state_series_raw(spark, sf_dir, disease))
+    written = shared(spark, sf_dir, f"series:{disease}", lambda: state_series_raw(spark, sf_dir, disease))
     return rollup.by_geo(written)
 
 
@@ -58,12 +63,12 @@ def city_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> Da
 
 
 def state_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return handoff(spark, f"population:{sf_dir}", lambda: rollup.state_population(
+    return shared(spark, sf_dir, "population", lambda: rollup.state_population(
         star.population(spark, sf_dir), star.geo_map(spark, sf_dir)))
 
 
 def state_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return handoff(spark, f"climate:{sf_dir}", lambda: rollup.weighted_mean(
+    return shared(spark, sf_dir, "climate", lambda: rollup.weighted_mean(
         star.climate(spark, sf_dir), star.population(spark, sf_dir), star.geo_map(spark, sf_dir),
         ["uf", "date"], CLIMATE_COLUMNS, star.EXCLUDED, star.population_years(spark, sf_dir),
     ).withColumnRenamed("uf", "geo"))
@@ -85,14 +90,14 @@ def members_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
         return backtest.score(backtest.run(forecasters, series, folds), series, folds)
 
-    return handoff(spark, f"members:{sf_dir}", build, ["fold_id"])
+    return shared(spark, sf_dir, "members", build, ["fold_id"])
 
 
 def ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, weighted and recalibrated ensemble, stacked (not yet scored)."""
     scored = members_scored(spark, sf_dir)
     # written, because calibration reads it several times before it is widened
-    vincent = handoff(spark, f"vincent:{sf_dir}", lambda: en.median_ensemble(scored, MEMBERS), ["fold_id"])
+    vincent = shared(spark, sf_dir, "vincent", lambda: en.median_ensemble(scored, MEMBERS), ["fold_id"])
     weighted = en.weighted_ensemble(scored, en.inverse_score_weights(scored, MEMBERS))
     return vincent.unionByName(weighted).unionByName(en.conformal_ensemble(vincent))
 
@@ -105,7 +110,7 @@ def all_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         combined = so.attach_scores(ensembles(spark, sf_dir))
         return members.unionByName(combined, allowMissingColumns=True)
 
-    return handoff(spark, f"scored:{sf_dir}", build, ["fold_id"])
+    return shared(spark, sf_dir, "scored", build, ["fold_id"])
 
 
 def static_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,16 +128,21 @@ def state_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored statistical forecasts of both diseases on state and city level, written once."""
+    """Scored forecasts of all members and their ensemble for both diseases on state and city level, written once."""
 
     def build() -> DataFrame:
-        series = {}
-        for disease in star.DISEASES:
-            series[(disease, "state")] = state_series(spark, sf_dir, disease)
-            series[(disease, "city")] = city_series(spark, sf_dir, disease)
-        return tracks.run_tracks(series, star.folds(spark))
+        geo_map = star.geo_map(spark, sf_dir)
+        city = F.col("geocode").cast("string")
+        population = {"state": state_population(spark, sf_dir),
+                      "city": star.population(spark, sf_dir).select(city.alias("geo"), "year", "population")}
+        region = {"state": geo_map.select("uf", "macroregion"), "city": geo_map.select(city.alias("uf"), "macroregion")}
+        series = {("dengue", "state"): state_series(spark, sf_dir), ("dengue", "city"): city_series(spark, sf_dir),
+                  ("chikungunya", "state"): state_series(spark, sf_dir, "chikungunya"),
+                  ("chikungunya", "city"): city_series(spark, sf_dir, "chikungunya")}
+        members = tracks.members({k: population[k[1]] for k in series}, {k: region[k[1]] for k in series})
+        return tracks.run_tracks(series, star.folds(spark), members, MEMBERS)
 
-    return handoff(spark, f"tracks:{sf_dir}", build, ["disease", "level"])
+    return shared(spark, sf_dir, "tracks", build, ["disease", "level"])
 
 
 MIN_ORIGIN = "1996-01-07"
@@ -148,7 +158,7 @@ def panel_inputs(spark: SparkSession, sf_dir: str) -> tuple:
 
 def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel of all folds, written once: model fits pass over it many times."""
-    return handoff(spark, f"panel:{sf_dir}", lambda: panel.build(
+    return shared(spark, sf_dir, "panel", lambda: panel.build(
         state_series(spark, sf_dir), star.folds(spark), *panel_inputs(spark, sf_dir), MIN_ORIGIN), ["fold_id"])
 
 

@@ -82,26 +82,25 @@ def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("pairs"), F.count("label").alias("labels"), F.sum("label").alias("label_sum"))
 
 
-@query("j08_static_zero_fill", """
-SELECT n_name AS geo, round(coalesce(koppen_frac_K1, 0), 6) AS koppen_frac_K1,
-round(coalesce(biome_frac_biome_2, 0), 6) AS biome_frac_biome_2 FROM nation LEFT JOIN v_static ON geo = n_name""")
+@query("j08_static_zero_fill", f"""
+SELECT n_name AS geo, {', '.join(f'round(coalesce({c}, 0), 6) AS {c}' for c in inp.PANEL_STATIC)}
+FROM nation LEFT JOIN v_static ON geo = n_name""")
 def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    static = inp.static_shares(spark, sf_dir).select("geo", "koppen_frac_K1", "biome_frac_biome_2")
     geos = star.table(spark, sf_dir, "nation").select(F.col("n_name").alias("geo"))
-    joined = geos.join(static, "geo", "left")
-    return inp.round_all(joined.na.fill(0.0, ["koppen_frac_K1", "biome_frac_biome_2"]))
+    joined = geos.join(inp.static_shares(spark, sf_dir), "geo", "left")
+    return inp.round_all(joined.na.fill(0.0, inp.PANEL_STATIC).select("geo", *inp.PANEL_STATIC))
 
 
 @query("j09_as_of_join", """
-SELECT o.geo, o.origin_month, o.target_month, round(i.seasonal_temp, 9) AS temp_med, round(i.seasonal_humid, 9) AS umid_med
-FROM (SELECT geo, m AS origin_month, CAST(m + to_months(CAST(k AS INTEGER)) AS DATE) AS target_month FROM
+SELECT o.geo, o.origin_month, o.target_month, round(i.seasonal_temp, 9) AS temp_med, round(i.seasonal_humid, 9) AS umid_med,
+round(i.seasonal_precip, 9) AS precip_tot FROM (SELECT geo, m AS origin_month, CAST(m + to_months(CAST(k AS INTEGER)) AS DATE) AS target_month FROM
  (SELECT DISTINCT geo, CAST(date_trunc('month', date) AS DATE) AS m FROM v_series), generate_series(1, 6) t(k)) o
 LEFT JOIN v_issued i USING (geo, origin_month, target_month)""")
 def j09(spark: SparkSession, sf_dir: str) -> DataFrame:
     origins = inp.state_series(spark, sf_dir).select("geo", cal.month_start(F.col("date")).alias("origin_month")).distinct()
     wanted = origins.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(6)))).select(
         "geo", "origin_month", F.add_months("origin_month", F.col("_k")).alias("target_month"))
-    values = ["temp_med", "umid_med"]
+    values = inp.SEASONAL_VALUES
     seasonal = inp.state_seasonal(spark, sf_dir).select("geo", "target_month", "reference_month", *values)
     joined = jn.as_of(wanted, seasonal, ["geo", "target_month"], "origin_month", "reference_month", values)
     return inp.round_all(joined.select("geo", "origin_month", "target_month", *values), 9)
@@ -190,7 +189,7 @@ def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT fold_id, geo, h, count(*) AS n, CAST(sum(diff) AS BIGINT) AS total, min(diff) AS low, max(diff) AS high
 FROM v_diffs GROUP BY ALL""")
 def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = baselines.step_differences(inp.state_series(spark, sf_dir), star.folds(spark))
+    steps = fo.training(baselines.step_differences(inp.state_series(spark, sf_dir)), star.folds(spark))
     return steps.groupBy("fold_id", "geo", "h").agg(
         F.count("*").alias("n"), F.sum("diff").alias("total"), F.min("diff").alias("low"), F.max("diff").alias("high"))
 
@@ -312,12 +311,13 @@ def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("w11_label_array", """
-SELECT geo, date, CAST(coalesce(sum(casos) OVER w, 0) AS BIGINT) AS label_sum, CAST(count(*) OVER w AS INTEGER) AS valid
+SELECT geo, date, coalesce(array_to_string(list(casos) OVER w, ','), '') AS labels, CAST(count(*) OVER w AS INTEGER) AS valid
 FROM v_series WINDOW w AS (PARTITION BY geo ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 67 FOLLOWING)""")
 def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label array of every week, position by position."""
     rows = inp.state_series(spark, sf_dir).select("geo", "date", wn.leading_values("casos", ["geo"], 67).alias("labels"))
-    total = F.aggregate("labels", F.lit(0).cast("bigint"), lambda s, v: s + v)
-    return rows.select("geo", "date", total.alias("label_sum"), F.size("labels").alias("valid"))
+    shown = F.array_join(F.transform("labels", lambda v: v.cast("string")), ",", "null")
+    return rows.select("geo", "date", shown.alias("labels"), F.size("labels").alias("valid"))
 
 
 @query("w12_model_ranks", """

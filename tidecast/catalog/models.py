@@ -87,21 +87,22 @@ def m09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ensemble_scored(spark, sf_dir, "ensemble_conformal")
 
 
-@query("m10_backtest_driver", f"""
-SELECT model, fold_id, min(origin_date) AS origin_date, min(date) AS first_date, max(date) AS last_date,
-       count(*) AS rows, count(DISTINCT geo) AS geos, {", ".join(f"round(avg(q[{i + 1}]), 6) AS {c}" for i, c in enumerate(QUANTILE_COLUMNS))}
-FROM v_members GROUP BY ALL""")
+@query("m10_backtest_driver", f"SELECT {_KEYS}, {sql.spread()} FROM v_members")
 def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = star.folds(spark)
     population, geo_map = inp.state_population(spark, sf_dir), star.geo_map(spark, sf_dir)
     forecasters = [baselines.naive, baselines.seasonal_naive, baselines.climatological,
                    lambda s, f: hierarchical(s, f, population, geo_map)]
-    forecasts = backtest.run(forecasters, inp.state_series(spark, sf_dir), folds)
-    return forecasts.groupBy("model", "fold_id").agg(
-        F.min("origin_date").alias("origin_date"), F.min("date").alias("first_date"),
-        F.max("date").alias("last_date"), F.count("*").alias("rows"), F.countDistinct("geo").alias("geos"),
-        *[F.round(F.avg(F.col("q")[i]), 6).alias(c) for i, c in enumerate(QUANTILE_COLUMNS)],
-    )
+    return _forecast(backtest.run(forecasters, inp.state_series(spark, sf_dir), folds))
+
+
+@query("m10_causality", "SELECT model, fold_id, count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM v_members GROUP BY ALL")
+def m10_causality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts that change with values after their fold's cut-off: none, for each built-in model."""
+    population, geo_map = inp.state_population(spark, sf_dir), star.geo_map(spark, sf_dir)
+    forecasters = [baselines.naive, baselines.seasonal_naive, baselines.climatological,
+                   lambda s, f: hierarchical(s, f, population, geo_map)]
+    return backtest.causality(forecasters, inp.state_series(spark, sf_dir), star.folds(spark))
 
 
 @query("m12_scoring_driver", f"""

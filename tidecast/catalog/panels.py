@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidecast.catalog import inputs as inp
 from tidecast.catalog import sql
-from tidecast.catalog.inputs import r6
+from tidecast.catalog.inputs import r6, shared
 from tidecast.catalog.registry import query
 from tidecast.constants import SEQUENCE_LENGTH
 from tidecast.operators import bootstrap as bs
@@ -106,7 +106,7 @@ SELECT fold_id, geo, count(*) AS rows, TRUE AS ascending, TRUE AS non_negative,
 def m05_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds of the noisy forecasts whatever is drawn; the median without noise lies in their 95 % interval, give or take a case."""
     series, folds = inp.state_series(spark, sf_dir), star.folds(spark)
-    levels = handoff(spark, f"levels:{sf_dir}", lambda: trajectories.drawn_levels(series, folds, inp.state_population(spark, sf_dir)))
+    levels = shared(spark, sf_dir, "levels", lambda: trajectories.drawn_levels(series, folds, inp.state_population(spark, sf_dir)))
     noisy = trajectories.with_count_noise(levels, trajectories.dispersion(series, folds))
     calm = trajectories.resampled(levels).select("fold_id", "geo", "date", "horizon_weeks", F.col("q")[4].alias("middle"))
     both = noisy.join(calm, ["fold_id", "geo", "date", "horizon_weeks"], "left")
@@ -116,16 +116,39 @@ def m05_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.bool_and(F.col("middle").between(F.col("q")[0] - 1, F.col("q")[8] + 1)).alias("centred"))
 
 
+def _regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds, series = star.folds(spark), inp.state_series(spark, sf_dir)
+
+    def build() -> DataFrame:
+        targets = panel.prediction(series, folds, *inp.panel_inputs(spark, sf_dir))
+        return regressor.forecast(inp.training_panel(spark, sf_dir), targets, panel.FEATURES + inp.PANEL_STATIC)
+
+    return shared(spark, sf_dir, "regressor", build)
+
+
 @query("m06_panel_regressor")
 def m06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score per fold of the pooled regressor; its learner has no SQL form."""
+    """Forecasts of the pooled regressor, row by row; its learner has no SQL form."""
+    return inp.rounded_quantiles(_regressor(spark, sf_dir))
+
+
+@query("m06_regressor_invariants", """
+SELECT fold_id, geo, date, origin_date, horizon_weeks, TRUE AS ascending, TRUE AS non_negative, TRUE AS within FROM v_grid""")
+def m06_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every forecast row: one per target week, in order, not negative, and no more than ten times the geo's past peak."""
     folds, series = star.folds(spark), inp.state_series(spark, sf_dir)
-    targets = handoff(spark, f"targets:{sf_dir}", lambda: panel.prediction(
-        series, folds, *inp.panel_inputs(spark, sf_dir)), ["fold_id"])
-    forecasts = regressor.forecast(
-        inp.training_panel(spark, sf_dir), targets, panel.FEATURES + inp.PANEL_STATIC, fo.fold_ids(folds),
-        stage=lambda df: handoff(spark, f"centres:{sf_dir}", lambda: df))
-    scored = backtest.score(forecasts, series, folds)
+    peaks = fo.training(series, folds).groupBy("fold_id", "geo").agg(F.max("casos").alias("peak"))
+    joined = _regressor(spark, sf_dir).join(peaks, ["fold_id", "geo"])
+    return joined.select(
+        "fold_id", "geo", "date", "origin_date", "horizon_weeks", (F.col("q") == F.array_sort("q")).alias("ascending"),
+        (F.col("q")[0] >= 0).alias("non_negative"), (F.col("q")[4] <= 10 * F.col("peak")).alias("within"))
+
+
+@query("m06_regressor_scores")
+def m06_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score per fold of the pooled regressor."""
+    folds, series = star.folds(spark), inp.state_series(spark, sf_dir)
+    scored = backtest.score(_regressor(spark, sf_dir), series, folds)
     return scored.groupBy("model", "fold_id").agg(
         F.count("*").alias("rows"), r6(F.avg("wis"), "mean_wis"), r6(so.ratio_of_sums(), "normalized_wis"),
         r6(F.avg(F.col("coverage_90").cast("double")), "coverage_90"))
@@ -158,36 +181,47 @@ def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.weekly_frame(series, inp.state_climate(spark, sf_dir))
 
 
-_SEQ = f"""(WITH t AS (SELECT f.fold_id, f.train_cutoff, i.geo, i.date, i.casos, i.population, i.log_inc, c.temp_med,
- {sql.epi_week('i.date')} AS w FROM v_inc i JOIN v_folds f ON i.date <= f.train_cutoff LEFT JOIN v_state_climate c USING (geo, date)),
-z AS (SELECT fold_id, avg(log_inc) AS ml, stddev_samp(log_inc) AS sl, avg(temp_med) AS mt, stddev_samp(temp_med) AS st
- FROM t GROUP BY 1),
-x AS (SELECT t.*, (log_inc - ml) / sl AS zl, (temp_med - mt) / st AS zt, sin(2 * pi() * w / 52) AS s1,
+_NUMERIC = {"log_inc": "zl", "temp_med": "zt", "precip_med": "zp", "rel_humid_med": "zh"}
+_WAVES = {"sin1": "s1", "cos1": "c1"}
+_FEATURES = {**_NUMERIC, **_WAVES}
+_SEQ = f"""(WITH t AS (SELECT f.fold_id, f.train_cutoff, i.geo, i.date, i.casos, i.population, i.log_inc, c.temp_med, c.precip_med,
+ c.rel_humid_med, {sql.epi_week('i.date')} AS w FROM v_inc i JOIN v_folds f ON i.date <= f.train_cutoff LEFT JOIN v_state_climate c USING (geo, date)),
+z AS (SELECT fold_id, {', '.join(f'avg({c}) AS m_{z}, coalesce(nullif(stddev_samp({c}), 0), 1) AS d_{z}' for c, z in _NUMERIC.items())} FROM t GROUP BY 1),
+x AS (SELECT t.*, {', '.join(f'({c} - m_{z}) / d_{z} AS {z}' for c, z in _NUMERIC.items())}, sin(2 * pi() * w / 52) AS s1, cos(2 * pi() * w / 52) AS c1,
  row_number() OVER (PARTITION BY fold_id, geo ORDER BY date) AS rn FROM t JOIN z USING (fold_id))
-SELECT fold_id, geo, date AS origin_date, train_cutoff, rn, casos, population,
- count(*) OVER p AS window_rows, sum(zl) OVER p AS zl_sum, sum(zt) OVER p AS zt_sum, sum(s1) OVER p AS s1_sum,
- coalesce(sum(casos) OVER n, 0) AS label_sum, count(*) OVER n AS mask_sum, coalesce(sum(population) OVER n, 0) AS pop_ahead
+SELECT fold_id, geo, date AS origin_date, train_cutoff, rn, population, count(*) OVER p AS window_rows,
+ {', '.join(f'sum({z}) OVER p AS sum_{z}, sum({z} * rn) OVER p AS weighted_{z}' for z in _FEATURES.values())},
+ list(casos) OVER n AS labels, list(population) OVER n AS ahead
  FROM x WINDOW p AS (PARTITION BY fold_id, geo ORDER BY date ROWS BETWEEN {SEQUENCE_LENGTH} PRECEDING AND 1 PRECEDING),
  n AS (PARTITION BY fold_id, geo ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 67 FOLLOWING))"""
 
 
-def _total(name: str, field: str | None = None):
-    value = F.col(name) if field is None else F.col(f"{name}.{field}")
-    start = F.lit(0.0) if field else F.lit(0).cast("bigint")
-    return F.aggregate(value, start, lambda s, v: s + F.coalesce(v, F.lit(0)))
+def _by_place(z: str) -> str:
+    """Sum of place times value over the window, places from 1."""
+    return f"coalesce(weighted_{z}, 0) - (rn - {SEQUENCE_LENGTH + 1}) * coalesce(sum_{z}, 0)"
+
+
+def _filled(name: str, rest: str) -> str:
+    """A list of the values ahead, with ``rest`` behind the last one, as text."""
+    return f"array_to_string(list_transform(range(1, 68), lambda h: CASE WHEN h <= coalesce(len(labels), 0) THEN {name} ELSE {rest} END), ',')"
 
 
 @query("m15_sequence_dataset", f"""
 SELECT fold_id, geo, origin_date, CASE WHEN origin_date < train_cutoff - 546 THEN 'proper' ELSE 'calib' END AS block,
-CAST(window_rows AS INTEGER) AS window_rows, round(zl_sum, 6) AS log_inc_sum, round(coalesce(zt_sum, 0), 6) AS temp_sum,
-round(s1_sum, 6) + 0.0 AS sin1_sum, CAST(label_sum AS BIGINT) AS label_sum, CAST(mask_sum AS BIGINT) AS mask_sum,
-CAST(pop_ahead + (67 - mask_sum) * population AS BIGINT) AS population_sum
+CAST(window_rows AS INTEGER) AS window_rows, {', '.join(f'round({_by_place(z)}, 4) + 0.0 AS {c}' for c, z in _FEATURES.items())},
+{_filled('labels[h]', '0')} AS labels, {_filled('1', '0')} AS mask, {_filled('ahead[h]', 'population')} AS populations
 FROM {_SEQ} WHERE rn > {SEQUENCE_LENGTH} AND origin_date >= DATE '{inp.MIN_ORIGIN}'""")
 def m15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest row per sample of the sequence dataset."""
+    """Every sample of the sequence dataset: labels, mask and populations horizon by horizon, features summed by place."""
     samples = sequences.sequence_dataset(_weekly(spark, sf_dir), star.folds(spark), inp.MIN_ORIGIN)
+
+    def by_place(feature: str):
+        terms = F.transform(F.col(f"window.{feature}"), lambda v, i: F.coalesce(v, F.lit(0.0)) * (i + 1))
+        return (F.round(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v), 4) + 0.0).alias(feature)
+
+    def shown(name: str):
+        return F.array_join(F.transform(name, lambda v: v.cast("string")), ",", "null").alias(name)
+
     return samples.select(
         "fold_id", "geo", "origin_date", "block", F.size("window").alias("window_rows"),
-        F.round(_total("window", "log_inc"), 6).alias("log_inc_sum"), F.round(_total("window", "temp_med"), 6).alias("temp_sum"),
-        (F.round(_total("window", "sin1"), 6) + 0.0).alias("sin1_sum"), _total("labels").alias("label_sum"),
-        _total("mask").alias("mask_sum"), _total("populations").alias("population_sum"))
+        *[by_place(c) for c in _FEATURES], shown("labels"), shown("mask"), shown("populations"))

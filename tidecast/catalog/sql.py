@@ -357,24 +357,27 @@ CTES.update({
 })
 
 
+CTES["v_city_pop"] = "SELECT CAST(geocode AS VARCHAR) AS geo, year, population FROM v_pop"
+CTES["v_city_region"] = "SELECT CAST(geocode AS VARCHAR) AS geo, max(macroregion) AS region FROM v_geo GROUP BY 1"
+
+
 def _track(disease: str, level: str, state: str) -> str:
-    """Scored statistical forecasts of one series, with every model written against that series."""
-    series, train, grid = f"v_{disease}_{level}", f"v_{disease}_{level}_train", f"v_{disease}_{level}_grid"
+    """Scored statistical forecasts and their ensemble for one series, with every model written against that series."""
+    series = f"v_{disease}_{level}"
     CTES[series] = f"SELECT * FROM {state}"
-    CTES[train] = CTES["v_train"].replace("v_series", series)
-    CTES[grid] = CTES["v_grid"].replace("v_series", series)
-    names = {"v_series": series, "v_train": train, "v_grid": grid}
-    for view in ("v_pools", "v_clim", "v_numbered", "v_diffs", "v_diff_q", "v_last", "v_naive", "v_week_median",
-                 "v_resid", "v_resid_q", "v_usual", "v_snaive"):
-        names[view] = f"v_{disease}_{level}_{view[2:]}"
+    names = {"v_series": series}
+    if level == "city":
+        names |= {"v_state_pop": "v_city_pop", "v_region": "v_city_region"}
+    for view in ("v_train", "v_grid", "v_pools", "v_clim", "v_numbered", "v_diffs", "v_diff_q", "v_last", "v_naive", "v_week_median",
+                 "v_resid", "v_resid_q", "v_usual", "v_snaive", "v_inc", "v_hier_train", "v_hier_own", "v_hier_region", "v_volume",
+                 "v_shrink", "v_hier", "v_members", "v_scored", "v_vincent"):
         body = CTES[view]
         for old in sorted(names, key=len, reverse=True):
             body = re.sub(rf"\b{old}\b", names[old], body)
+        names[view] = f"v_{disease}_{level}_{view[2:]}"
         CTES[names[view]] = body
-    members = " UNION ALL ".join(f"SELECT * FROM {names[v]}" for v in ("v_naive", "v_snaive", "v_clim"))
-    CTES[f"v_{disease}_{level}_members"] = members
-    CTES[f"v_{disease}_{level}_scored"] = scored_view(f"v_{disease}_{level}_members", series)
-    return f"SELECT '{disease}' AS disease, '{level}' AS level, * FROM v_{disease}_{level}_scored"
+    CTES[f"v_{disease}_{level}_all"] = f"SELECT * FROM {names['v_scored']} UNION ALL BY NAME {rescore(names['v_vincent'])}"
+    return f"SELECT '{disease}' AS disease, '{level}' AS level, * FROM v_{disease}_{level}_all"
 
 
 CTES["v_city_state_chik"] = CTES["v_city_state"].replace("v_cases", "v_cases_chik").replace("v_cities", "v_cities_chik")

@@ -12,7 +12,7 @@ from tidecast.catalog.registry import query
 from tidecast.constants import CLIMATE_COLUMNS, QUANTILE_COLUMNS
 from tidecast.functions import calendar as cal
 from tidecast.operators import folds as fo
-from tidecast.plans import backtest, baselines, output, tracks
+from tidecast.plans import backtest, baselines, output, refresh, tracks
 from tidecast.plans.hierarchical import hierarchical
 from tidecast.session import new_path, scratch_dir
 from tidecast.sources import landing, readers, star
@@ -154,6 +154,21 @@ def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(board_path, header=True, schema=board.schema)
 
 
+@query("k01_incremental_refresh", """
+SELECT model, fold_id, count(*) AS rows, round(avg(wis), 6) AS mean_wis, fold_id = 3 AS refreshed FROM v_scored
+WHERE model IN ('naive', 'climatological_quantile') GROUP BY ALL""")
+def k01_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored backtest whose third fold began with another cut-off: bringing it up to date forecasts that fold alone."""
+    folds, series = star.folds(spark), inp.state_series(spark, sf_dir)
+    models = {"naive": baselines.naive, "climatological_quantile": baselines.climatological}
+    earlier = F.when(F.col("fold_id") == 3, F.date_sub("train_cutoff", 28)).otherwise(F.col("train_cutoff"))
+    path = new_path(spark, "refresh")
+    refresh.refresh(path, models, series, folds.withColumn("train_cutoff", earlier))
+    stored, again = refresh.refresh(path, models, series, folds)
+    done = F.concat_ws("|", "model", "fold_id").isin([f"{m}|{f}" for m, f in again])
+    return stored.groupBy("model", "fold_id").agg(F.count("*").alias("rows"), r6(F.avg("wis"), "mean_wis")).withColumn("refreshed", done)
+
+
 _SEASON = f"{sql.season_year('f.target_start')} + 1"
 
 
@@ -267,11 +282,26 @@ def m11_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inp.round_all(wide.select("geo", "season_year", "date", "horizon_weeks", *QUANTILE_COLUMNS))
 
 
+_TRACK_KEYS = "disease, level, model, fold_id, geo, date, horizon_weeks"
+
+
 @query("m16_track_runner", f"""
-SELECT disease, level, model, fold_id, count(*) AS rows, {sql.r6('avg(wis)', 'mean_wis')} FROM v_tracks GROUP BY ALL""")
+SELECT {_TRACK_KEYS}, observed_value, {', '.join(sql.r6(c, c) for c in QUANTILE_COLUMNS)}, {sql.r6('wis', 'wis')} FROM v_tracks""")
 def m16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inp.tracks_scored(spark, sf_dir).groupBy("disease", "level", "model", "fold_id").agg(
-        F.count("*").alias("rows"), r6(F.avg("wis"), "mean_wis"))
+    """All members that SQL can express, and their ensemble, on all four tracks, row by row."""
+    kept = inp.tracks_scored(spark, sf_dir).filter(F.col("model") != "mechanistic_traj")
+    return inp.round_all(kept.select(*_TRACK_KEYS.split(", "), "observed_value", *QUANTILE_COLUMNS, "wis"))
+
+
+@query("m16_track_members", f"""
+SELECT disease, level, fold_id, geo, count(*) AS rows, TRUE AS ascending, TRUE AS non_negative FROM v_tracks
+WHERE model = 'climatological_quantile' GROUP BY ALL""")
+def m16_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the season trajectories of every track, whatever is drawn."""
+    noisy = inp.tracks_scored(spark, sf_dir).filter(F.col("model") == "mechanistic_traj")
+    q = F.array(*[F.col(c) for c in QUANTILE_COLUMNS])
+    return noisy.groupBy("disease", "level", "fold_id", "geo").agg(
+        F.count("*").alias("rows"), F.bool_and(q == F.array_sort(q)).alias("ascending"), F.bool_and(q[0] >= 0).alias("non_negative"))
 
 
 @query("m16_observed_folds", """

@@ -31,13 +31,6 @@ UF_CODES = {
     "RJ": 33, "SP": 35, "PR": 41, "SC": 42, "RS": 43, "MS": 50, "MT": 51, "GO": 52, "DF": 53,
 }
 DISEASE_CODES = {"dengue": "A90", "chikungunya": "A92.0", "zika": "A92.5"}
-DENGUE_CITIES = [
-    1200203, 1200401, 1716109, 2302503, 2931350, 2933307, 3119401, 3541406,
-    3549805, 4103701, 4104808, 4113700, 5102637, 5201405, 5215231,
-]
-CHIKUNGUNYA_CITIES = [
-    1716109, 1721000, 2211001, 2931350, 3119401, 3143302, 4104808, 4219507, 5102637, 5103403,
-]
 
 METRIC_COLUMNS = [
     "wis", "dispersion", "overprediction", "underprediction", "ae_median",

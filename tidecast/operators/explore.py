@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal
 from tidecast.operators import order_stats as os_
+from tidecast.session import staged
 
 
 def national(series: DataFrame) -> DataFrame:
@@ -69,20 +70,22 @@ def log_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
 def incidence_by_category(cases: DataFrame, weights: DataFrame, environment: DataFrame, category: str) -> DataFrame:
     """Municipality-year incidence per category, capped at the overall 99th percentile.
 
-    Both the cap and the medians range over all municipalities, so they use the distributed selection.
+    Both the cap and the medians range over all municipalities, so they use the distributed selection, both in one pass
+    over the rates, which are built once.
     """
     yearly = cases.groupBy("geocode", F.year("date").alias("year")).agg(F.sum("casos").alias("casos"))
     rate = yearly.join(weights, "geocode").join(environment.select("geocode", category), "geocode", "left").select(
         category, (F.try_divide("casos", "population") * 1e5).alias("incidence")
     )
-    medians = os_.exact_quantiles(rate, [category], "incidence", [0.5]).select(
-        category, F.col("incidence").alias("median_incidence")
-    )
-    cap = os_.exact_quantiles(rate, [], "incidence", [0.99]).select(F.col("incidence").alias("cap"))
+    sets = [os_.QuantileSet([category], [0.5]), os_.QuantileSet([], [0.99])]
+    rate = staged(rate, "rates")
+    middle, highest = os_.exact_quantile_sets(rate, "incidence", sets)
+    medians = middle.select(F.col(category).alias("_category"), F.col("incidence").alias("median_incidence"))
+    cap = highest.select(F.col("incidence").alias("cap"))
     capped = rate.join(F.broadcast(cap)).groupBy(category).agg(
         F.avg(F.least("incidence", "cap")).alias("mean_capped"), F.count("*").alias("municipality_years")
     )
-    return capped.join(medians, category)
+    return capped.join(medians, capped[category].eqNullSafe(medians["_category"])).drop("_category")
 
 
 def season_curve(series: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,50 @@ def training(df: DataFrame, folds: DataFrame, date: str = "date") -> DataFrame:
     return df.join(F.broadcast(folds.select("fold_id", "train_cutoff")), F.col(date) <= F.col("train_cutoff"))
 
 
+def cutoffs(folds: DataFrame) -> list[tuple[int, dt.date]]:
+    """(fold_id, train_cutoff) in order of the cut-off, one row per fold."""
+    rows = folds.select("fold_id", "train_cutoff").distinct().orderBy("train_cutoff", "fold_id").collect()
+    return [(r["fold_id"], r["train_cutoff"]) for r in rows]
+
+
+class Nested:
+    """Training spans of all folds at once. Cut-offs are nested: the rows up to one are those up to the one before and the
+    span between the two. So a row belongs to one span, is aggregated once, and a fold's state is the sum of the spans up
+    to its own, in place of a copy of each row for each fold."""
+
+    def __init__(self, folds: DataFrame):
+        self.bounds = cutoffs(folds)
+        self.ids = [i for i, _ in self.bounds]
+
+    def span(self, date: Column) -> Column:
+        """Number of the first fold, in order of cut-off, that may see the date; as many as there are folds if none may."""
+        ends = F.array(*[F.lit(d) for _, d in self.bounds])
+        return F.size(F.filter(ends, lambda e: e < date))
+
+    def trained(self, df: DataFrame, date: str = "date") -> DataFrame:
+        """The rows that any fold may see, with their span."""
+        return df.withColumn("_span", self.span(F.col(date))).filter(F.col("_span") < len(self.ids))
+
+    def until(self, fold: int) -> Column:
+        """Whether a row's span is among those of the fold."""
+        return F.col("_span") <= self.ids.index(fold)
+
+    def counts(self, spans: DataFrame, keys: list[str], value: str) -> DataFrame:
+        """keys, value and how often it occurs up to each fold's cut-off (n_1, n_2, ...): a histogram, merged span by span."""
+        return spans.groupBy(*keys, value).agg(*[F.sum(self.until(i).cast("bigint")).alias(f"n_{i}") for i in self.ids])
+
+    def rows(self, **columns: str) -> Column:
+        """One row per fold from columns numbered by fold: name="m" gives the values of m_1, m_2, ... as name."""
+        return F.inline(F.array(*[
+            F.struct(F.lit(i).alias("fold_id"), *[F.col(f"{c}_{i}").alias(name) for name, c in columns.items()]) for i in self.ids]))
+
+
+def seen(df: DataFrame, folds: DataFrame, date: str = "date") -> DataFrame:
+    """The rows that at least one fold may train on: those up to the last cut-off."""
+    last = folds.agg(F.max("train_cutoff").alias("_last"))
+    return df.join(F.broadcast(last), F.col(date) <= F.col("_last")).drop("_last")
+
+
 def issued(df: DataFrame, folds: DataFrame, month: str = "reference_month") -> DataFrame:
     """Forecasts issued in or before the month of each fold's cut-off."""
     return df.join(

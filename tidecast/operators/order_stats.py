@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from tidecast.constants import QUANTILE_LEVELS
+from tidecast.session import staged
 
 
-def quantile_vector(value: Column, levels: list[float] = QUANTILE_LEVELS) -> Column:
-    """Exact linear-interpolation quantiles; for groups whose size the calendar bounds."""
-    return F.percentile(value, levels)
+def quantile_vector(value: Column, levels: list[float] = QUANTILE_LEVELS, weight: Column | int = 1) -> Column:
+    """Exact linear-interpolation quantiles, a row counting ``weight`` times; for groups whose size the calendar bounds."""
+    return F.percentile(value, levels, weight)
 
 
 def circular_week_pool(df: DataFrame, lo: int = -3, hi: int = 1, week: str = "epiweek") -> DataFrame:
@@ -33,75 +35,89 @@ def conformal_rank(level: Column, n: Column) -> Column:
     return F.least(F.ceil((n + 1) * level).cast("bigint"), n) - 1
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: list[float],
-                    rank: Callable[[Column, Column], Column] = linear_rank, buckets: int = 65536) -> DataFrame:
-    """keys, quantile_level, n, value at that level: exact, for a few groups too big for one task.
-
-    Values are first collapsed to (value, count), which removes ties. Then every group is cut into
-    buckets of equal width on a log scale; bucket counts give the rank at which each bucket starts. The
-    buckets that hold a wanted rank are cut once more, into cells of equal width between their own
-    extremes, so values that crowd in one bucket part again, and only the cells that hold a wanted rank
-    are ranked value by value. The broadcast tables hold one row per group (bounds) or per group and
-    level (wanted), so they do not grow with the data.
+class QuantileSet(NamedTuple):
+    """Levels wanted of every group of ``keys``, rows counting as often as the column ``weight`` says (once without one)."""
+
+    keys: list[str]
+    levels: list[float]
+    weight: str | None = None
+    name: str = ""
+
+
+def exact_quantile_sets(df: DataFrame, value: str, sets: list[QuantileSet], rank: Callable[[Column, Column], Column] = linear_rank,
+                        parts: int | None = None) -> list[DataFrame]:
+    """Exact quantiles for groups of any size and number; one table for each distinct list of keys, in order of appearance.
+
+    A table has the keys, set (the set's name), quantile_level, n (total weight) and the value at that level.
+
+    Values are collapsed to (value, weight), range-partitioned by the keys that all sets have and the value, and written
+    once for all sets. A group is cut only where a range ends, so that a big one spreads over many segments and many small
+    ones share a range. Segment totals give the rank at which each segment starts; segments that hold a wanted rank are
+    ranked value by value. Segments meet their rows by keys and range, never by a broadcast of all groups.
     """
+    weights = {s.weight: f"_w{i}" for i, s in enumerate({s.weight: s for s in sets}.values())}
+    every = list(dict.fromkeys(k for s in sets for k in s.keys))
+    common = [k for k in every if all(k in s.keys for s in sets)]
     v = F.col(value).cast("double")
-    log_v = F.signum("_v") * F.log1p(F.abs("_v"))
-    counted = df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
-    # The count travels with the bounds so that every use of `counted` reads the same shuffle files.
-    edge = F.struct(log_v.alias("u"), F.col("_n"))
-    bounds = counted.groupBy(*keys).agg(F.min(edge)["u"].alias("_lo"), F.max(edge)["u"].alias("_hi"))
-    share = F.coalesce(F.try_divide(log_v - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    placed = _attach(counted, bounds, keys).select(
-        *keys, F.floor(share * buckets).cast("int").alias("_bucket"), "_v", "_n"
-    )
-
-    def wanted_parts(starts: DataFrame, ranks: Column, *more: str) -> DataFrame:
-        """The parts (_start, _size) that hold one of the ranks, with those ranks."""
-
-        def inside(x: Column) -> Column:
-            return (F.ceil(x["rank"]) >= F.col("_start")) & (F.floor(x["rank"]) < F.col("_start") + F.col("_size"))
-
-        held = starts.select(*keys, "_bucket", *more, "_start", "n", F.filter(ranks, inside).alias("_wanted"))
-        return held.filter(F.size("_wanted") > 0)
-
-    def ranked_level(level: Column) -> Column:
-        return F.struct(level.alias("quantile_level"), rank(level, F.col("n")).cast("double").alias("rank"))
-
-    w = W.partitionBy(*keys)
-    size = F.sum("_n").alias("_size")
-    starts = placed.groupBy(*keys, "_bucket").agg(size, F.min("_v").alias("_least"), F.max("_v").alias("_most")).withColumns({
-        "_start": _before(w.orderBy("_bucket")), "n": F.sum("_size").over(w),
-    })
-    crowded = wanted_parts(starts, F.transform(F.array(*[F.lit(float(x)) for x in levels]), ranked_level), "_least", "_most")
-    part = F.coalesce(F.try_divide(F.col("_v") - F.col("_least"), F.col("_most") - F.col("_least")), F.lit(0.0))
-    cells = _attach(placed, crowded, keys + ["_bucket"]).withColumn("_cell", F.floor(part * buckets).cast("int"))
-
-    one = [F.first(c).alias(c) for c in ("_start", "n", "_wanted")]
-    cell_starts = cells.groupBy(*keys, "_bucket", "_cell").agg(size, *one).withColumn(
-        "_start", F.col("_start") + _before(W.partitionBy(*keys, "_bucket").orderBy("_cell")))
-    wanted = wanted_parts(cell_starts, F.col("_wanted"), "_cell")
-    upto = W.partitionBy(*keys, "_bucket", "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    narrow = cells.select(*keys, "_bucket", "_cell", "_v", "_n")
-    ranked = _attach(narrow, wanted, keys + ["_bucket", "_cell"]).withColumn(
-        "_last", F.col("_start") + F.sum("_n").over(upto)
-    )
-    hit = ranked.select(*keys, "n", "_v", "_n", "_last", F.inline("_wanted")).filter(
-        (F.ceil("rank") >= F.col("_last") - F.col("_n")) & (F.floor("rank") < F.col("_last"))
-    )
+    total = {name: F.sum(F.lit(1) if w is None else F.col(w)).cast("bigint").alias(name) for w, name in weights.items()}
+    counted = df.filter(v.isNotNull()).groupBy(*every, v.alias("_v")).agg(*total.values())
+    order = [*common, "_v"]
+    ranged = counted.repartitionByRange(parts, *order) if parts else counted.repartitionByRange(*order)
+    table = staged(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    tables = []
+    for keys in dict.fromkeys(tuple(s.keys) for s in sets):
+        mine = [s for s in sets if tuple(s.keys) == keys]
+        tables.append(_ranked(table, list(keys), mine, weights, rank).withColumnRenamed("_value", value))
+    return tables
+
+
+def _ranked(table: DataFrame, keys: list[str], sets: list[QuantileSet], weights: dict[str | None, str],
+            rank: Callable[[Column, Column], Column]) -> DataFrame:
+    used = list(dict.fromkeys(weights[s.weight] for s in sets))
+    sizes = table.groupBy(*keys, "_range").agg(*[F.sum(w).alias(w) for w in used])
+    group = W.partitionBy(*keys)
+    before = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.withColumns({f"_start{w}": F.coalesce(F.sum(w).over(before), F.lit(0)) for w in used}
+                               | {f"_n{w}": F.sum(w).over(group) for w in used})
+
+    def wanted(s: QuantileSet) -> Column:
+        w = weights[s.weight]
+        n, start = F.col(f"_n{w}"), F.col(f"_start{w}")
+        ranks = F.transform(F.array(*[F.lit(float(x)) for x in s.levels]), lambda x: F.struct(
+            F.lit(s.name).alias("set"), F.lit(used.index(w)).alias("of"), x.alias("quantile_level"),
+            n.alias("n"), rank(x, n).cast("double").alias("rank")))
+        inside = F.filter(ranks, lambda x: (F.ceil(x["rank"]) >= start) & (F.floor(x["rank"]) < start + F.col(w)))
+        return F.when(n > 0, inside).otherwise(F.slice(ranks, 1, 0))
+
+    held = starts.withColumn("_wanted", F.concat(*[wanted(s) for s in sets])).filter(F.size("_wanted") > 0)
+    held = held.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_at"),
+                       *[f"_start{w}" for w in used], "_wanted")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_range") == F.col("_at"))
+    upto = W.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    met = table.join(held, same).withColumns({f"_last{w}": F.col(f"_start{w}") + F.sum(w).over(upto) for w in used})
+    last = F.array(*[F.col(f"_last{w}") for w in used])
+    size = F.array(*[F.col(w) for w in used])
+
+    def inside(x: Column) -> Column:
+        end, n = F.get(last, x["of"]), F.get(size, x["of"])
+        return (F.ceil(x["rank"]) >= end - n) & (F.floor(x["rank"]) < end)
+
+    hit = met.select(*keys, "_v", F.inline(F.filter("_wanted", inside)))
     low, high = F.min("_v"), F.max("_v")
     fraction = F.max("rank") - F.floor(F.max("rank"))
-    return hit.groupBy(*keys, "quantile_level").agg(
-        F.max("n").alias("n"), (low + (high - low) * fraction).alias(value)
-    )
+    return hit.groupBy(*keys, "set", "quantile_level").agg(F.max("n").alias("n"), (low + (high - low) * fraction).alias("_value"))
 
 
-def _before(ordered: WindowSpec) -> Column:
-    """Rows in the parts before this one."""
-    return F.coalesce(F.sum("_size").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: list[float],
+                    rank: Callable[[Column, Column], Column] = linear_rank, parts: int | None = None) -> DataFrame:
+    """keys, quantile_level, n, value at that level: exact, whatever the size and number of the groups."""
+    return exact_quantile_sets(df, value, [QuantileSet(keys, levels)], rank, parts)[0].drop("set")
 
 
-def _attach(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    return big.join(F.broadcast(small), keys) if keys else big.join(F.broadcast(small))
+def vectors(quantiles: DataFrame, keys: list[str], value: str, name: str = "q") -> DataFrame:
+    """One row per group with its quantiles as an array in order of level."""
+    pairs = F.array_sort(F.collect_list(F.struct("quantile_level", value)))
+    return quantiles.groupBy(*keys).agg(F.transform(pairs, lambda x: x[value]).alias(name))
 
 
 def array_median(values: Column) -> Column:

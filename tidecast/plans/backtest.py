@@ -37,16 +37,39 @@ def guarded(model: Model) -> Forecaster:
 def run(forecasters: list[Forecaster], series: DataFrame, folds: DataFrame, geos: DataFrame | None = None) -> DataFrame:
     """Forecasts of several models, stacked by name.
 
-    A forecaster maps (series, folds) to quantile rows. The ones of this package cut their training spans themselves;
-    others are best written as a model (history, grid) and passed through ``guarded``. ``geos`` (geo) names geos that
-    must get a forecast: those without a row in the dense ``series`` enter it as zeros.
+    A forecaster maps (series, folds) to quantile rows and is handed the rows up to the last cut-off only: no model, not
+    even one of this package, can read a week that no fold may train on, whatever its windows span. How it cuts the folds
+    apart inside that is its own affair; ``causality`` proves that it does. Models that don't want to cut are written as
+    (history, grid) and passed through ``guarded``. ``geos`` (geo) names geos that must get a forecast: those without a row
+    in the dense ``series`` enter it as zeros.
     """
     if geos is not None:
         series = rollup.include_geos(series, geos)
-    parts = [f(series, folds) for f in forecasters]
+    known = fo.seen(series, folds)
+    parts = [f(known, folds) for f in forecasters]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def causality(forecasters: list[Forecaster], series: DataFrame, folds: DataFrame) -> DataFrame:
+    """model, fold_id, rows, changed: the forecasts of each fold that change when every later value does (0 for a causal model).
+
+    For each fold the values after its cut-off are replaced, and only that fold is forecast; its rows are compared with
+    those of all folds forecast together, quantile by quantile.
+    """
+    unit = ["model", "fold_id", "geo", "date"]
+    parts = []
+    for f in forecasters:
+        together = f(series, folds).select(*unit, F.col("q").alias("_q"))
+        for one, cutoff in fo.cutoffs(folds):
+            value = F.when(F.col("date") > F.lit(cutoff), F.col("casos") * 3 + 1000).otherwise(F.col("casos"))
+            alone = f(series.withColumn("casos", value), folds.filter(F.col("fold_id") == one)).select(*unit, "q")
+            parts.append(together.filter(F.col("fold_id") == one).join(alone, unit, "full_outer"))
+    same = F.forall(F.arrays_zip("q", "_q"), lambda x: F.abs(x["q"] - x["_q"]) <= 1e-9 * (1 + F.abs(x["_q"])))
+    stacked = reduce(DataFrame.unionByName, parts)
+    return stacked.groupBy("model", "fold_id").agg(
+        F.count("*").alias("rows"), F.sum(F.when(same, 0).otherwise(1)).cast("bigint").alias("changed"))
+
+
 def score(forecasts: DataFrame, series: DataFrame, folds: DataFrame) -> DataFrame:
     """Wide rows with observation and scores; weeks without an observation drop out."""
     observed = fo.target_window(series, folds).select("fold_id", "geo", "date", "casos")

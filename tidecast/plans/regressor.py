@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +13,11 @@ from tidecast.operators import ensemble as en
 from tidecast.operators import folds as fo
 from tidecast.operators import order_stats as os_
 from tidecast.operators.scores import horizon_bin
+from tidecast.plans import boosting
+from tidecast.session import staged
 
-_MISSING = -1000.0
-#: Boosting by default: rounds, depth, learning rate and histogram bins. More rounds at a lower rate fit closer, at a
-#: cost of ``depth`` jobs a round and fold; both are arguments.
+#: Boosting by default: rounds, depth, learning rate and histogram bins (bin 0 is for missing values). More rounds at a
+#: lower rate fit closer, at a cost of ``depth`` passes a round, whatever the number of folds; all are arguments.
 ROUNDS, DEPTH, STEP, BINS = 20, 5, 0.25, 32
 
 
@@ -31,23 +25,6 @@ def with_block(panel: DataFrame) -> DataFrame:
     return panel.withColumn("block", fo.calibration_block(F.col("origin_date"), F.col("train_cutoff")))
 
 
-def _vectorised(df: DataFrame, features: list[str]) -> DataFrame:
-    # Missing values become one value below all others, which a tree can split off.
-    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(_MISSING)) for c in features})
-    return VectorAssembler(inputCols=features, outputCol="features").transform(filled)
-
-
-def fit_fold(proper: DataFrame, features: list[str], rounds: int = ROUNDS, depth: int = DEPTH, seed: int = 42):
-    """One distributed boosting fit on a fold's proper block."""
-    trees = GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed,
-                         stepSize=STEP, maxBins=BINS)
-    return trees.fit(_vectorised(proper, features).select("features", "label"))
-
-
-def predict_fold(model, df: DataFrame, features: list[str]) -> DataFrame:
-    return model.transform(_vectorised(df, features)).withColumnRenamed("prediction", "centre").drop("features")
-
-
 def residual_quantiles(scored_panel: DataFrame) -> DataFrame:
     """fold_id, horizon_bin, nine residual quantiles of the proper block, by distributed selection."""
     residuals = scored_panel.filter(F.col("block") == "proper").select(
@@ -100,28 +77,21 @@ def to_counts(targets: DataFrame, shifts: DataFrame) -> DataFrame:
     )
 
 
-def forecast(panel: DataFrame, targets: DataFrame, features: list[str], fold_ids: list[int],
-             stage: Callable[[DataFrame], DataFrame] = lambda df: df, **options) -> DataFrame:
-    """Fit each fold on its proper block, calibrate on the rest and forecast the targets.
+def forecast(panel: DataFrame, targets: DataFrame, features: list[str], rounds: int = ROUNDS, depth: int = DEPTH,
+             step: float = STEP, bins: int = BINS) -> DataFrame:
+    """Boost all folds at once on their proper blocks, calibrate each on the rest and forecast the targets.
 
-    Folds are separate fits because their training data differ. The four fits run side by side, so one
-    fit's many small jobs fill the gaps of another's.
-    ``panel`` should be a written table, partitioned by fold_id, as each fit passes over it many times;
-    ``stage`` may write the fitted centres, which the quantile selection reads several times.
+    Bins are cut at quantiles of the fold's own proper block, so that no later row shapes an earlier fold's features.
     """
     tagged = with_block(panel)
-    needed = ["fold_id", "geo", "origin_date", "horizon_weeks", "block", "label", "centre"]
-
-    def one_fold(fold_id: int) -> tuple[DataFrame, DataFrame]:
-        mine = tagged.filter(F.col("fold_id") == fold_id)
-        model = fit_fold(mine.filter(F.col("block") == "proper"), features, **options)
-        fitted = predict_fold(model, mine, features).select(*needed)
-        return fitted, predict_fold(model, targets.filter(F.col("fold_id") == fold_id), features)
-
-    with ThreadPoolExecutor(len(fold_ids)) as pool:
-        results = list(pool.map(inheritable_thread_target(one_fold), fold_ids))
-    fitted_panel = stage(reduce(DataFrame.unionByName, [a for a, _ in results]))
-    fitted_targets = reduce(DataFrame.unionByName, [b for _, b in results])
+    proper = tagged.filter(F.col("block") == "proper")
+    cuts = boosting.edges(proper, "fold_id", features, bins)
+    needed = ["fold_id", "geo", "origin_date", "horizon_weeks", "block", "label"]
+    rows = staged(boosting.coded(tagged, "fold_id", features, cuts, needed), "binned")
+    forest = boosting.fit(rows.filter(F.col("block") == "proper"), "fold_id", len(features), bins + 1, rounds, depth, step)
+    fitted_panel = staged(boosting.predicted(rows, forest, "fold_id", len(features)), "fitted")
+    kept = ["fold_id", "geo", "origin_date", "target_date", "horizon_weeks", "population_at_target"]
+    fitted_targets = boosting.predicted(boosting.coded(targets, "fold_id", features, cuts, kept), forest, "fold_id", len(features))
     residual_q = residual_quantiles(fitted_panel)
     calibration = log_quantiles(fitted_panel.filter(F.col("block") == "calib"), residual_q)
     return to_counts(log_quantiles(fitted_targets, residual_q), conformal_shifts(calibration))

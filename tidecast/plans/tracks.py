@@ -6,33 +6,59 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.constants import QUANTILE_COLUMNS
 from tidecast.functions import calendar as cal
 from tidecast.functions import quantiles as qt
-from tidecast.operators import ensemble, rollup
+from tidecast.operators import ensemble, rollup, scores
 from tidecast.operators import folds as fo
-from tidecast.plans import backtest, baselines
+from tidecast.plans import backtest, baselines, trajectories
+from tidecast.plans.hierarchical import hierarchical
+from tidecast.session import staged
 
 _SEPARATOR = "|"
+Tracks = dict[tuple[str, str], DataFrame]
 STATISTICAL = [baselines.naive, baselines.seasonal_naive, baselines.climatological]
 
 
-def run_tracks(tracks: dict[tuple[str, str], DataFrame], folds: DataFrame, forecasters=None) -> DataFrame:
-    """Scored forecasts of every (disease, level) series with the same forecasters.
+def track_of(geo: str = "geo") -> Column:
+    """disease and level of a stacked geo, as one text."""
+    return F.substring_index(geo, _SEPARATOR, 2)
+
+
+def stacked(tables: Tracks, columns: list[str]) -> DataFrame:
+    """One table of all tracks; the columns named get the track before them, so that joins by them stay within a track."""
+    parts = []
+    for (disease, level), df in tables.items():
+        keyed = {c: F.concat_ws(_SEPARATOR, F.lit(disease), F.lit(level), F.col(c)) for c in columns}
+        parts.append(df.withColumns(keyed))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def members(populations: Tracks, regions: Tracks) -> list:
+    """All statistical forecasters and the season trajectories for stacked series.
+
+    ``populations`` (geo, year, population) and ``regions`` (uf, macroregion: the region of a geo) carry the track in their
+    keys like the series; medians over geos (shrinkage, dispersion) are taken within a track.
+    """
+    population, geo_map = stacked(populations, ["geo"]), stacked(regions, ["uf", "macroregion"])
+    return [*STATISTICAL, lambda s, f: hierarchical(s, f, population, geo_map, pool=track_of()),
+            lambda s, f: trajectories.mechanistic(s, f, population, pool=track_of())]
+
+
+def run_tracks(tracks: Tracks, folds: DataFrame, forecasters=None, combined: list[str] | None = None) -> DataFrame:
+    """Scored forecasts of every (disease, level) series with the same forecasters, and the median ensemble of ``combined``.
 
     The series are stacked under a composite geo, so each forecaster is planned and run once for all
     tracks instead of once per track.
     """
-    parts = [
-        series.select(F.concat_ws(_SEPARATOR, F.lit(disease), F.lit(level), "geo").alias("geo"), "date", "casos")
-        for (disease, level), series in tracks.items()
-    ]
-    stacked = reduce(DataFrame.unionByName, parts)
-    stacked = rollup.by_geo(stacked)
-    scored = backtest.score(backtest.run(forecasters or STATISTICAL, stacked, folds), stacked, folds)
+    series = rollup.by_geo(stacked({k: df.select("geo", "date", "casos") for k, df in tracks.items()}, ["geo"]))
+    scored = backtest.score(backtest.run(forecasters or STATISTICAL, series, folds), series, folds)
+    if combined:
+        scored = staged(scored, "tracks")
+        scored = scored.unionByName(scores.attach_scores(ensemble.median_ensemble(scored, combined)), allowMissingColumns=True)
     key = F.split("geo", re.escape(_SEPARATOR), 3)
     return scored.withColumns({"disease": key[0], "level": key[1], "geo": key[2]})
 

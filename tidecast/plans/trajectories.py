@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast.constants import INCIDENCE_SCALE, QUANTILE_LEVELS, SEASON_SLOTS
 from tidecast.functions import calendar as cal
+from tidecast.functions import counts
 from tidecast.operators import bootstrap as bs
 from tidecast.operators import folds as fo
 from tidecast.operators import order_stats as os_
@@ -42,15 +43,18 @@ def complete_seasons(series: DataFrame, folds: DataFrame) -> DataFrame:
     return weeks.filter(F.col("weeks") >= NEAR_COMPLETE)
 
 
-def dispersion(series: DataFrame, folds: DataFrame, default: float = 0.1) -> DataFrame:
-    """fold_id, dispersion: median of (variance - mean) / mean^2 over (geo, season week) cells."""
+def dispersion(series: DataFrame, folds: DataFrame, default: float = 0.1, pool: Column | None = None) -> DataFrame:
+    """fold_id, pool, dispersion: median of (variance - mean) / mean^2 over the (geo, season week) cells of a pool of geos."""
+    pool = F.lit("") if pool is None else pool
     cells = tag_season(fo.training(series, folds)).groupBy(*KEYS, "season_week").agg(
         F.avg("casos").alias("m"), F.var_samp("casos").alias("v")
-    ).filter((F.col("m") > 5) & F.col("v").isNotNull())
+    ).withColumn("pool", pool)
+    wide = cells.filter((F.col("m") > 5) & F.col("v").isNotNull())
     over = F.least(F.greatest((F.col("v") - F.col("m")) / (F.col("m") * F.col("m")), F.lit(1e-3)), F.lit(10.0))
-    medians = os_.exact_quantiles(cells.select("fold_id", over.alias("dispersion")), ["fold_id"], "dispersion", [0.5])
-    return folds.select("fold_id").join(F.broadcast(medians), "fold_id", "left").select(
-        "fold_id", F.coalesce("dispersion", F.lit(default)).alias("dispersion")
+    medians = os_.exact_quantiles(wide.select("fold_id", "pool", over.alias("dispersion")), ["fold_id", "pool"], "dispersion", [0.5])
+    pools = folds.select("fold_id").join(F.broadcast(series.select(pool.alias("pool")).distinct()))
+    return pools.join(medians, ["fold_id", "pool"], "left").select(
+        "fold_id", "pool", F.coalesce("dispersion", F.lit(default)).alias("dispersion")
     )
 
 
@@ -108,28 +112,41 @@ def resampled(levels: DataFrame) -> DataFrame:
     return q.select(F.lit("trajectory_resample").alias("model"), *_UNIT, "q")
 
 
+def noisy_quantiles(mu: list, times: list, dispersions: np.ndarray, keys: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Quantiles of negative binomial draws, ``times`` draws around each level ``mu`` of a unit: one flat draw for all units.
+
+    The k-th draw of a unit depends on the unit's key and k alone.
+    """
+    width = np.array([len(m) for m in mu])
+    times = np.concatenate([np.asarray(t, dtype=int) for t in times])
+    unit = np.repeat(np.arange(len(mu)), width)
+    sizes = np.bincount(unit, times, len(mu)).astype(int)
+    mean = np.repeat(np.concatenate([np.asarray(m, dtype=float) for m in mu]), times)
+    owner = np.repeat(np.arange(len(mu)), sizes)
+    place = np.arange(len(mean)) - (np.cumsum(sizes) - sizes)[owner]
+    key = keys.astype(np.uint64) + np.array([seed], np.uint64) * np.uint64(0xD1342543DE82EF95)
+    drawn = counts.negative_binomial(mean, np.asarray(dispersions, dtype=float)[owner], key[owner], place.astype(np.uint64))
+    return counts.segment_quantiles(drawn, sizes, QUANTILE_LEVELS)
+
+
 def _noisy_quantiles(seed: int):
     def draw(mu: pd.Series, times: pd.Series, alpha: pd.Series, key: pd.Series) -> pd.Series:
-        out = []
-        for m, t, a, k in zip(mu, times, alpha, key):
-            rng = np.random.default_rng([seed, int(k)])
-            size = 1.0 / a
-            expected = np.repeat(np.asarray(m, dtype=float), np.asarray(t, dtype=int))
-            counts = rng.negative_binomial(size, size / (size + expected))
-            out.append(np.quantile(counts, QUANTILE_LEVELS))
-        return pd.Series(out)
+        if not len(mu):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(noisy_quantiles(list(mu), list(times), alpha.to_numpy(), key.to_numpy(), seed)))
 
     return F.pandas_udf(draw, "array<double>")
 
 
-def with_count_noise(levels: DataFrame, dispersions: DataFrame, seed: int = 0) -> DataFrame:
-    """Quantiles after negative binomial observation noise; each unit has its own seed.
+def with_count_noise(levels: DataFrame, dispersions: DataFrame, seed: int = 0, pool: Column | None = None) -> DataFrame:
+    """Quantiles after negative binomial observation noise; each unit has its own key.
 
-    Sampling is the one step Spark has no function for: a vectorised UDF over one row per unit.
+    Sampling is the one step Spark has no function for: a vectorised UDF that draws for a whole Arrow batch at once.
     """
     entry = F.struct("season_no", "mu", "times")
     units = levels.groupBy(*_UNIT).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
-    keyed = units.join(F.broadcast(dispersions), "fold_id").withColumn(
+    pooled = units.withColumn("pool", F.lit("") if pool is None else pool)
+    keyed = pooled.join(dispersions, ["fold_id", "pool"]).withColumn(
         "_key", F.conv(F.substring(F.md5(F.concat_ws("|", *KEYS, "date")), 1, 15), 16, 10).cast("bigint")
     )
     q = _noisy_quantiles(seed)(F.col("_s.mu"), F.col("_s.times"), F.col("dispersion"), F.col("_key"))
@@ -137,9 +154,9 @@ def with_count_noise(levels: DataFrame, dispersions: DataFrame, seed: int = 0) -
 
 
 def mechanistic(series: DataFrame, folds: DataFrame, population: DataFrame, calendar: DataFrame | None = None,
-                draws: int = 800, seed: int = 0) -> DataFrame:
+                draws: int = 800, seed: int = 0, pool: Column | None = None) -> DataFrame:
     levels = drawn_levels(series, folds, population, calendar, draws, seed)
-    return with_count_noise(levels, dispersion(series, folds), seed)
+    return with_count_noise(levels, dispersion(series, folds, pool=pool), seed, pool)
 
 
 def fit_growth(curve_rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -50,13 +51,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def handoff(spark: SparkSession, key: str, build, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a stage's result once per application and read it back.
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """A short name for the present content of a folder: paths, sizes and times of its files, as the file system lists them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    lines = []
+    while found.hasNext():
+        f = found.next()
+        lines.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest()[:16]
+
+
+def handoff(spark: SparkSession, key: str, build, partition_by: list[str] | None = None, source: str | None = None) -> DataFrame:
+    """Write a stage's result once per application and state of its input folder ``source``, and read it back.
 
     Stages hand over written Parquet rather than a long lineage: a lost executor re-reads files
-    instead of recomputing the forecasts, and the next stage gets column and partition pruning.
+    instead of recomputing the forecasts, and the next stage gets column and partition pruning. A rewritten input has
+    another fingerprint, so that what was built from the old one is not used again.
     """
-    slot = (spark.sparkContext.applicationId, key)
+    slot = (spark.sparkContext.applicationId, key if source is None else f"{key}:{fingerprint(spark, source)}")
     if slot not in _HANDOFFS:
         path = new_path(spark, "handoff")
         writer = build().write
@@ -65,3 +78,10 @@ def handoff(spark: SparkSession, key: str, build, partition_by: list[str] | None
         writer.parquet(path)
         _HANDOFFS[slot] = path
     return spark.read.parquet(_HANDOFFS[slot])
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to a fresh path below the scratch folder and read it back, with its partition numbers settled."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
