@@ -58,7 +58,7 @@ def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, without those of ``gone`` (id, digest) and with one each of ``repeated`` (id, digest).
 
     Texts are shuffled only where they are repeated, as long as ``gone`` and ``repeated`` are few enough to broadcast.
@@ -69,7 +69,7 @@ def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
     keyed = docs.select("*", row_id().alias(ID), digest_of().alias("_llm_digest"))
     same = (F.col(ID) == F.col("_llm_at")) & (F.col("_llm_digest") == F.col("_llm_sha"))
     left = keyed.join(named(gone), same, "left_anti")
-    if repeated.limit(1).count():
+    if repeated is not None and repeated.limit(1).count():
         left = left.join(named(repeated), same, "left_anti").unionAll(left.join(named(repeated), same, "left_semi").dropDuplicates([ID, "_llm_digest"]))
     return left.drop(ID, "_llm_digest")
 
@@ -79,13 +79,12 @@ def power_of_two(n: float) -> int:
     return max(0, (max(1, int(-(-n // 1))) - 1).bit_length())
 
 
-def sampled(df: DataFrame, key: Column, limit: int, rows: int | None = None) -> DataFrame:
-    """About ``limit`` rows, a little fewer on average: those with the smallest hashes of ``key``, by a filter that needs no shuffle.
+def drawn(df: DataFrame, key: Column, limit: int) -> DataFrame:
+    """At most ``limit`` rows, those with the smallest hashes of ``key``, however the rows are dealt out.
 
-    Callers make the bound hold by a limit behind what they derive from the rows, so that texts stay spread over tasks.
+    A filter leaves about twice as many, so that few rows are sorted.
     """
-    rows = df.count() if rows is None else rows
-    if rows <= limit:
-        return df
-    share = max(1, int(2**31 * limit / rows * 0.97))
-    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(2**31)) < share)
+    rows = df.count()
+    rank = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(2**31))
+    some = df if rows <= 2 * limit else df.where(rank < int(2**31 * 2 * limit / rows))
+    return some.orderBy(rank, key).limit(limit)

@@ -6,12 +6,15 @@ symbols are uniform: chi-squared over classes of the alphabet, runs above and be
 correlation. Fisher's method combines their p-values; ordinary words fail them by many orders of magnitude.
 
 How far ordinary text gets by chance depends on the length, so the false discovery rate is held per length class. The
-null is measured: all letters of all documents' words, run together and cut to that length, go through the same battery.
-Over the whole corpus the class's threshold is the lowest at which (tokens tested) * (null share beyond it) is at most
+null is measured: the letters of each document's words, without the tokens under test, run together and cut to that length,
+go through the same battery; what is left at a document's end, shorter than the length, is the only text not in it. So the
+null depends on the rows alone, not on how they are dealt out. Over the whole corpus the class's threshold is the lowest at which (tokens tested) * (null share beyond it) is at most
 ``RATE`` times the tokens beyond it (Benjamini and Hochberg). Both counts are one small histogram a task.
 
-Spans are code points, end exclusive. Defined cases: a null text is empty and has no spans; equal rows get equal results;
-added spans don't overlap base spans; without any text there is no threshold and nothing is added.
+Spans are code points, end exclusive. Defined cases: a null text is empty and has no spans; equal rows get equal results
+and count each in the histograms; added spans don't overlap base spans; spans of equal start are in order of kind; without
+any text, or in an empty table, there is no threshold and nothing is added; a very long text is read whole. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,12 +45,14 @@ ENCODINGS = (
     ("base32", re.compile(r"[A-Z2-7]*"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base64", re.compile(r".*"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
+#: Symbols that go through the battery at a time.
+BLOCK = 1 << 19
 #: Lower ends of the length classes, bins per decade of the p-value, bins, false discovery rate, classes of an alphabet.
 LENGTHS, PER_DECADE, N_BINS, RATE, PARTS = (16, 20, 24, 32, 48, 64), 4, 64, 0.01, 4
 
 
 def _symbols(alphabet: str) -> np.ndarray:
-    table = np.zeros(256, np.int64)
+    table = np.zeros(256, np.uint8)
     for k, c in enumerate(alphabet):
         table[ord(c)] = table[ord(c.lower()) if len(alphabet) == 16 else ord(c)] = k
     if len(alphabet) == 64:
@@ -67,6 +72,9 @@ def encoding_of(token: str) -> str:
 def battery(symbols: np.ndarray, k: int) -> np.ndarray:
     """Combined p-value of randomness for rows of ``symbols`` (n, length) from an alphabet of k."""
     n, length = symbols.shape
+    if n > BLOCK // length + 1:
+        step = BLOCK // length + 1
+        return np.concatenate([battery(symbols[at:at + step], k) for at in range(0, n, step)])
     erfc = np.vectorize(math.erfc, otypes=[float])
     parts = np.arange(k) * PARTS // k
     expected = np.bincount(parts, minlength=PARTS) / k * length
@@ -109,23 +117,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def null_windows(text: str) -> list[np.ndarray]:
+    """For each length class the letters of the text's words, without its tokens, in rows of that length."""
+    letters = "".join(WORD.findall(TOKEN.sub(" ", text)))
+    symbols = _TABLES["base64"][0][np.frombuffer(letters.encode(), np.uint8)]
+    return [symbols[: len(symbols) // n * n].reshape(-1, n) for n in LENGTHS]
+
+
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts per length class and bin, of tokens (seen) and of ordinary text (null): one table a task."""
     seen, null = np.zeros((len(LENGTHS), N_BINS), np.int64), np.zeros((len(LENGTHS), N_BINS), np.int64)
-    table, k = _TABLES["base64"]
+    k = _TABLES["base64"][1]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            texts = batch.column(0).slice(at, 256).to_pylist()
+        for at in range(0, batch.num_rows, 64):
+            texts = batch.column(0).slice(at, 64).to_pylist()
             tokens = [t for x in texts for t in TOKEN.findall(x)]
             if tokens:
                 np.add.at(seen, ([length_class(len(t)) for t in tokens], bin_of(p_values(tokens))), 1)
-            letters = table[np.frombuffer("".join("".join(WORD.findall(x)) for x in texts).encode(), np.uint8)]
-            whole = len(letters) // sum(LENGTHS)
-            if whole:
-                rows, start = letters[: whole * sum(LENGTHS)].reshape(whole, -1), 0
-                for c, length in enumerate(LENGTHS):
-                    null[c] += np.bincount(bin_of(battery(rows[:, start:start + length], k)), minlength=N_BINS)
-                    start += length
+            for c, rows in enumerate(zip(*map(null_windows, texts))):
+                null[c] += np.bincount(bin_of(battery(np.concatenate(rows), k)), minlength=N_BINS)
     c, b = np.nonzero(seen + null)
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (c, b, seen[c, b], null[c, b])], names=["c", "b", "seen", "null"])
 
