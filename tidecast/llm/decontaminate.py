@@ -12,7 +12,9 @@ Words: A-Z lower-cased, then runs of digits, letters a-z and all characters beyo
 
 Defined cases: null texts have no words; an item without words has no windows; items with equal windows all count;
 rows with a null or repeated id are judged apart (rows are told apart by id and digest of the text, so equal rows
-count once each with the same result); an empty benchmark leaves every document clean.
+count once each with the same result); an empty benchmark leaves every document clean; an empty table gives an empty
+result; a very long text is scanned whole. Other columns are ignored, whatever their names; ``clean_rows`` and
+``without_spans`` return them, but for names that begin with _llm_.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ID, digest_of, row_id, shown_id, text_of, written
+from tidecast.llm.common import ID, digest_of, row_id, shown_id, text_of, without, written
 
 #: Words of a window.
 N = 10
@@ -119,10 +121,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 
 def clean_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = decisions.where("contaminated").select(row_id().alias("_llm_bad"), F.unhex("text_sha256").alias("_llm_sha"))
-    keyed = docs.select("*", row_id().alias(ID), digest_of().alias("_llm_digest"))
-    clean = keyed.join(bad, (keyed[ID] == bad["_llm_bad"]) & (keyed["_llm_digest"] == bad["_llm_sha"]), "left_anti")
-    return clean.drop(ID, "_llm_digest")
+    bad = decisions.where("contaminated").select(row_id().alias("id"), F.unhex("text_sha256").alias("digest"))
+    return without(docs, written(bad.distinct(), "dropped"))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:

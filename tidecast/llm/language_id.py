@@ -2,17 +2,23 @@
 
 Two GRUs read a window of bytes from either end; their states at a byte give a probability of each language there.
 A document's probabilities are the mean over all its bytes. Whole texts are read, cut into windows of ``WINDOW`` bytes
-whose states start at zero; thousands of windows of a batch advance together, byte by byte.
+that overlap: each is read with ``CONTEXT`` bytes of the text before and after it, over which the states warm up and which
+are not pooled, so that no byte, and no character of several bytes, is read without what stands around it. Thousands of
+windows of a batch advance together, byte by byte.
 
-The model is fitted on the driver from a bounded sample: at most ``SAMPLE`` documents of each language, ``CUTS`` windows
-spread over each. Training rows have a known language and crc32(doc_id) mod 3 other than 1; a prediction sees the text.
+The model is fitted on the driver from a bounded sample: of at most about ``SAMPLE`` documents of each language all
+windows of the whole texts are candidates, of which a hash draws about ``CUTS`` a document. Training rows have a known
+language and crc32(doc_id) mod 3 other than 1; a prediction sees the text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every text if no row can be
-learned from; a null id is never learned from and not held out; equal texts get equal results.
+learned from; a null id is never learned from and not held out; equal texts get equal results; of equally likely languages
+the first by name is taken; a very long text is more windows; an empty table gives an empty result; more than
+``LANGUAGES`` languages are an error. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +28,10 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.common import fold_of
 
-#: Documents of a language and windows of a document that are learned from at most; bytes of a window.
-SAMPLE, CUTS, WINDOW = 1200, 4, 64
+#: Documents of a language and windows of a document that are learned from, about; bytes of a window and around it.
+SAMPLE, CUTS, WINDOW, CONTEXT = 1200, 4, 64, 8
+#: Languages that are learned at most.
+LANGUAGES = 500
 #: Units of a direction, training steps, windows of a step, learning rate.
 UNITS, STEPS, BATCH, RATE = 8, 300, 128, 0.02
 FOLDS, HELD_OUT = 3, 1
@@ -32,18 +40,26 @@ UNKNOWN = "und"
 ROWS = 2048
 
 
-def windows_of(data: bytes, width: int = WINDOW) -> np.ndarray:
-    """All bytes of a text in rows of ``width``, the last one filled with zeros."""
-    return np.frombuffer(data + b"\0" * (-len(data) % width), np.uint8).reshape(-1, width)
+def windows_of(data: bytes, width: int = WINDOW, context: int = CONTEXT) -> np.ndarray:
+    """All bytes of a text in rows of ``width``, each with ``context`` bytes before and after it, zeros beyond the ends."""
+    n = -(-len(data) // width)
+    if not n:
+        return np.zeros((0, width + 2 * context), np.uint8)
+    padded = b"\0" * context + data + b"\0" * (n * width - len(data) + context)
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(padded, np.uint8), width + 2 * context)[::width]
 
 
-def _cuts(width: int, cuts: int):
+def _cuts(width: int):
+    """Windows drawn by a hash of text and place, each with the row's probability."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, pieces = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = windows_of(text.encode("utf-8", "surrogatepass"), width)
-                for k in sorted({int(x) for x in np.linspace(0, len(rows) - 1, cuts)}) if len(rows) else []:
+            for lang, share, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                data = text.encode("utf-8", "surrogatepass")
+                rows = windows_of(data, width)
+                x = (np.arange(len(rows), dtype=np.uint64) + np.uint64(zlib.crc32(data) << 20)) * np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                for k in np.flatnonzero((x >> np.uint64(33)).astype(float) < share * 2.0**31):
                     langs.append(lang)
                     pieces.append(rows[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(pieces, pa.binary())], names=["lang", "piece"])
@@ -56,25 +72,33 @@ def has_letter(column: str = "text") -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE, cuts: int = CUTS, width: int = WINDOW) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, window bytes (n, width) and language numbers (n): at most per_language * cuts windows of a language."""
-    usable = docs.where(F.col("lang").isNotNull() & (fold_of(FOLDS) != HELD_OUT) & has_letter())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    """Languages, window bytes with their context (n, bytes) and language numbers (n): about per_language * cuts a language."""
+    usable = docs.where(F.col("lang").isNotNull() & (fold_of(FOLDS) != HELD_OUT) & has_letter()).select(
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
+    counts = {r["lang"]: r for r in usable.groupBy("lang").agg(
+        F.count("*").alias("n"), F.avg(F.ceil(F.octet_length("text") / width)).alias("windows")).limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     if not counts:
-        return [], np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(2**31 * min(1.0, per_language / n)))])
-    drawn = usable.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
-    drawn = drawn.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(2**31)) < share[F.col("lang")]).select("lang", "text")
-    table = drawn.mapInArrow(_cuts(width, cuts), "lang string, piece binary").toArrow()
+        return [], np.zeros((0, width + 2 * CONTEXT), np.uint8), np.zeros(0, np.int64)
+
+    def shares(value) -> Column:
+        return F.create_map(*[F.lit(x) for lang, r in counts.items() for x in (lang, float(value(r)))])[F.col("lang")]
+
+    of_documents = shares(lambda r: 2**31 * min(1.0, per_language / r["n"]))
+    of_windows = shares(lambda r: min(1.0, cuts * max(1.0, per_language / r["n"]) / r["windows"]))
+    drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(2**31)) < of_documents).select("lang", of_windows.alias("share"), "text")
+    table = drawn.mapInArrow(_cuts(width), "lang string, piece binary").toArrow()
     rows = sorted(zip(table.column("lang").to_pylist(), table.column("piece").to_pylist()))
     kept, seen = [], dict.fromkeys(counts, 0)
     for lang, piece in rows:
         seen[lang] += 1
-        if seen[lang] <= per_language * cuts * 2:  # the draw is of about per_language; this makes the bound hold
+        if seen[lang] <= per_language * cuts * 2:  # the draw is of about per_language * cuts; this makes the bound hold
             kept.append((lang, piece))
-    langs = sorted(counts)
+    langs = sorted({lang for lang, _ in kept})
     number = {lang: k for k, lang in enumerate(langs)}
-    x = np.frombuffer(b"".join(p for _, p in kept), np.uint8).reshape(-1, width)
-    return langs, x, np.array([number[lang] for lang, _ in kept])
+    x = np.frombuffer(b"".join(p for _, p in kept), np.uint8).reshape(-1, width + 2 * CONTEXT)
+    return langs, x, np.array([number[lang] for lang, _ in kept], np.int64)
 
 
 def initial(languages: int, units: int = UNITS, seed: int = 7) -> dict[str, np.ndarray]:
@@ -208,16 +232,16 @@ def position_probabilities(w: dict[str, np.ndarray], rows: np.ndarray) -> np.nda
     return p
 
 
-def pooled(w: dict[str, np.ndarray], texts: list[bytes], width: int = WINDOW) -> np.ndarray:
+def pooled(w: dict[str, np.ndarray], texts: list[bytes], width: int = WINDOW, context: int = CONTEXT) -> np.ndarray:
     """Mean probability of each language over all bytes of each text (texts hold at least one byte)."""
-    counts = np.array([-(-len(t) // width) for t in texts])
-    rows = windows_of(b"".join(t + b"\0" * (-len(t) % width) for t in texts), width)
-    owner = np.repeat(np.arange(len(texts)), counts)
+    parts = [windows_of(t, width, context) for t in texts]
+    rows = np.concatenate(parts)
+    owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
     total = np.zeros((len(texts), len(w["c"])))
     for at in range(0, len(rows), ROWS):
         part = rows[at:at + ROWS]
-        p = position_probabilities(w, part)
-        p *= (part.T != 0)[:, None, :]
+        p = position_probabilities(w, part)[context:context + width]
+        p *= (part.T[context:context + width] != 0)[:, None, :]
         sums = p.sum(axis=0)
         for k in range(total.shape[1]):
             total[:, k] += np.bincount(owner[at:at + ROWS], sums[k], len(texts))
@@ -237,21 +261,22 @@ def _predict(w: dict[str, np.ndarray] | None, langs: list[str]):
                 score[some] = p[np.arange(len(some)), best]
                 for i, k in zip(some, best):
                     label[i] = langs[k]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))],
-                                             names=["doc_id", "text_sha256", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1)), batch.column(4)],
+                                             names=["doc_id", "text_sha256", "lang_pred", "score", "learnable"])
 
     return run
 
 
 def identify(docs: DataFrame, per_language: int = SAMPLE, steps: int = STEPS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score, text_sha256."""
+    """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score, text_sha256, learnable."""
     langs, x, y = sample(docs, per_language)
     w = fit(x, y, len(langs), steps) if langs else None
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256).alias("text_sha256"),
-                        has_letter().alias("letters"), F.col("text").cast("string").alias("text"))
-    found = light.mapInArrow(_predict(w, langs), "doc_id long, text_sha256 string, lang_pred string, score double")
-    return found.select("doc_id", F.coalesce(fold_of(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "text_sha256")
+                        has_letter().alias("letters"), F.col("text").cast("string").alias("text"),
+                        F.coalesce(F.col("lang").isNotNull() & (fold_of(FOLDS) != HELD_OUT) & has_letter(), F.lit(False)).alias("learnable"))
+    found = light.mapInArrow(_predict(w, langs), "doc_id long, text_sha256 string, lang_pred string, score double, learnable boolean")
+    return found.select("doc_id", F.coalesce(fold_of(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "text_sha256", "learnable")
 
 
 def query(spark, sf_dir):
-    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_sha256")
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_sha256", "learnable")
