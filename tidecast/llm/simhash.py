@@ -11,12 +11,15 @@ With 4 errors over three segments there are two cases (pigeonhole):
   key = (half of one, half of another, codeword of the third), 12 tables.
 Keys have 31 to 35 bits, so that distinct fingerprints rarely meet by chance. Those that share a key are verified.
 
-Only distinct fingerprints get keys, so copies cost nothing. Within a key no pairs are listed: a search that visits
+Only distinct fingerprints get keys, so copies cost nothing. A key with many is cut into blocks, every two of which are
+compared in a task of their own. Within a task no pairs are listed: a search that visits
 each fingerprint once against those not yet reached gives a spanning forest of the verified links, which is all that
 connected components need. The components come from ``graph.components``.
 
 Defined cases: a null text has no words; without words the fingerprint is zero, and zero links like any other; fewer
-words than a shingle count as one; a null id is the smallest and shown as null; equal rows get equal results.
+words than a shingle count as one; a null id is the smallest and shown as null; equal rows get equal results; a very long
+text is hashed in pieces; an empty table gives an empty result. Other columns are ignored, whatever their names;
+``one_of_each`` returns them, but for names that begin with _llm_.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ID, digest_of, row_id, shown_id, text_of, without, written
+from tidecast.llm.common import ID, digest_of, few, row_id, shown_id, text_of, without, written
 from tidecast.llm.graph import components
 
 WORDS, SEED, DISTANCE = 4, 42, 4
+#: Fingerprints of a key that are compared in one task; more are compared block by block.
+BLOCK = 4096
 #: Segments as (first bit, bits).
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code of length 23.
@@ -176,10 +181,26 @@ def _links(distance: int):
     return run
 
 
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def _by_blocks(keyed: DataFrame, block: int) -> DataFrame:
+    """The rows (key, print) with a part: keys of more than ``block`` prints are cut into blocks, and every two of these meet.
+
+    A print goes to as many parts as its key has blocks, and a part holds the prints of two blocks, so that no task gets a
+    whole hot key and no link within it is lost.
+    """
+    heavy = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select(
+        "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("print", F.lit("block")), F.col("blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    met = keyed.join(few(written(heavy, "heavy")), "key", "left")
+    parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(others)
+    return met.select("key", F.explode(parts).alias("part"), "print")
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between distinct fingerprints (``print``), as many as connect all that are connected."""
-    keyed = prints.select("print").mapInArrow(_to_keys, "key long, print long")
-    met = keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_links(distance), "a long, b long")
+    keyed = _by_blocks(prints.select("print").mapInArrow(_to_keys, "key long, print long"), block)
+    one = keyed.select(F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), "print")
+    met = one.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_links(distance), "a long, b long")
     return met.distinct()
 
 
