@@ -8,7 +8,8 @@ is the sum of table entries, added for a whole batch at a time.
 The sample is bounded: ``SAMPLE`` labelled documents, whole texts. Labels of rows with crc32(doc_id) mod 3 = 1 are not used.
 
 Defined cases: a null text is empty, with all features zero; without labels the score is 0.5, with one class only it is
-near that class; a null label is none; of several labels of an id the largest counts.
+near that class; a null label is none; of several labels of an id the largest counts; equal rows get equal scores; a very
+long text is read whole; an empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import fold_of, sampled
+from tidecast.llm.common import drawn, fold_of
 
 #: Labelled documents learned from at most.
 SAMPLE = 20_000
@@ -63,10 +64,10 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     usable = (labels.where(F.col("quality").isNotNull() & (fold_of(FOLDS) != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("_llm_key"))
               .agg(F.max("quality").cast("int").alias("label")))
-    chosen = sampled(usable, F.col("_llm_key"), limit).limit(limit)
+    chosen = drawn(usable, F.col("_llm_key"), limit)
     light = docs.select(F.col("doc_id").cast("long").alias("_llm_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = light.join(F.broadcast(chosen), "_llm_key").select("label", "text")  # bounded by ``limit``
-    table = found.mapInArrow(_featured, "label int, x array<double>").limit(2 * limit).toArrow()
+    table = found.mapInArrow(_featured, "label int, x array<double>").orderBy("label", "x").limit(2 * limit).toArrow()
     rows = sorted(zip(table.column("label").to_pylist(), table.column("x").to_pylist()))
     return np.array([x for _, x in rows], np.float64).reshape(-1, len(NAMES)), np.array([y for y, _ in rows], np.float64)
 

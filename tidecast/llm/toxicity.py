@@ -10,8 +10,13 @@ model weighs words that occur in at least ``SEEN`` positives, in a share of them
 errors away from the unlabelled share. Whole texts are read. The sample is bounded: ``POSITIVES``
 and ``UNLABELLED`` documents. Labels of rows with crc32(doc_id) mod 5 = 0 are not used.
 
+Words are counted among positives and unlabelled documents and chosen by Spark; the driver gets the chosen words and which
+of them each sampled document has. The sample is drawn in order of a hash, so that it doesn't depend on how rows are dealt.
+
 Defined cases: a null or empty text has no words and gets the score of none; without a toxic row to learn from the
-score is the prior (0 without labels); a null label is none; several labels of an id count as toxic if one is.
+score is the prior (0 without labels); a null label is none; several labels of an id count as toxic if one is; equal rows
+get equal scores; a very long text is read whole; an empty table gives an empty result. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import fold_of, sampled
+from tidecast.llm.common import drawn, fold_of, written
 
 #: Documents learned from at most; positives that a word must occur in, and how its share must differ; classifiers.
 POSITIVES, UNLABELLED, SEEN, ERRORS, MODELS = 3000, 6000, 5, 4.0, 3
@@ -45,43 +50,45 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["positive", "words"])
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], float]:
-    """Word sets of positives and of unlabelled documents, and the class prior."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], float]:
+    """Chosen words, their places in each positive and each unlabelled document, and the class prior."""
     usable = (labels.where(F.col("toxic").isNotNull() & (fold_of(FOLDS) != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("_llm_key"))
               .agg(F.max("toxic").alias("toxic")))
     counts = usable.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("k")).first()
     prior = (counts["k"] or 0) / max(1, counts["n"])
-    positives = sampled(usable.where("toxic = 1").select("_llm_key"), F.col("_llm_key"), POSITIVES, counts["k"] or 0).limit(POSITIVES)
+    positives = drawn(usable.where("toxic = 1").select("_llm_key"), F.col("_llm_key"), POSITIVES)
     light = docs.where(fold_of(FOLDS) != HELD_OUT).select(F.col("doc_id").cast("long").alias("_llm_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = light.join(F.broadcast(positives), "_llm_key").select(F.lit(True).alias("positive"), "text")  # bounded by POSITIVES
-    others = sampled(light, F.col("_llm_key"), UNLABELLED).select(F.lit(False).alias("positive"), "text")
-    sets = [x.mapInArrow(_word_sets, "positive boolean, words array<long>") for x in (known, others)]
-    table = sets[0].limit(2 * POSITIVES).unionByName(sets[1].limit(UNLABELLED)).toArrow()
-    rows = sorted(zip(table.column("positive").to_pylist(), table.column("words").to_pylist()), key=lambda r: (r[0], r[1]))
-    sets = {flag: [np.array(w, np.int64) for p, w in rows if p == flag] for flag in (True, False)}
-    return sets[True], sets[False], prior
-
-
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, models: int = MODELS, seed: int = 3) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Linear classifiers as (word hashes ascending, weights, bias)."""
-    flat = np.concatenate([*positives, np.zeros(0, np.int64)])
-    words, seen = np.unique(flat, return_counts=True)
-    others = np.sort(np.concatenate([*unlabelled, np.zeros(0, np.int64)]))
-    elsewhere = np.searchsorted(others, words, "right") - np.searchsorted(others, words, "left")
-    n, k = max(1, len(positives)), max(1, len(unlabelled))
-    share = (seen + elsewhere) / (n + k)
-    apart = np.abs(seen / n - elsewhere / k) / np.sqrt(share * (1 - share) * (1 / n + 1 / k) + 1e-12)
-    words = words[(seen >= SEEN) & (apart >= ERRORS)]
+    others = drawn(light.select("_llm_key"), F.col("_llm_key"), UNLABELLED).distinct()
+    # both lists of ids are bounded by the sample
+    parts = [light.join(F.broadcast(ids), "_llm_key").select(F.lit(flag).alias("positive"), "text").mapInArrow(_word_sets, "positive boolean, words array<long>")
+             .orderBy("words").limit(most) for flag, ids, most in ((True, positives, 2 * POSITIVES), (False, others, UNLABELLED))]
+    sets = written(parts[0].unionByName(parts[1]).withColumn("doc", F.monotonically_increasing_id()), "words")
+    n, k = (sets.where(c).count() for c in ("positive", "not positive"))
+    each = sets.select("doc", "positive", F.explode("words").alias("word"))
+    seen, elsewhere = (F.sum(F.col("positive").cast("long") if p else (~F.col("positive")).cast("long")) for p in (True, False))
+    told = each.groupBy("word").agg(seen.alias("seen"), elsewhere.alias("elsewhere")).where(F.col("seen") >= SEEN)
+    share = (F.col("seen") + F.col("elsewhere")) / F.lit(float(n + k))
+    gap = F.abs(F.col("seen") / F.lit(float(max(1, n))) - F.col("elsewhere") / F.lit(float(max(1, k))))
+    apart = gap / F.sqrt(share * (1 - share) * F.lit(1 / max(1, n) + 1 / max(1, k)) + F.lit(1e-12))
+    words = np.array(sorted(r["word"] for r in told.where(apart >= ERRORS).select("word").collect()), np.int64)
+    chosen = docs.sparkSession.createDataFrame([(int(w), i) for i, w in enumerate(words)], "word long, place int")
+    held = each.join(F.broadcast(chosen), "word").groupBy("doc", "positive").agg(F.array_sort(F.collect_list("place")).alias("places")).collect()
+    rows = sorted((r["positive"], list(r["places"])) for r in held)
+    found = {flag: [np.array(x, np.int64) for p, x in rows if p == flag] for flag in (True, False)}
+    for flag, size in ((True, n), (False, k)):
+        found[flag] += [np.zeros(0, np.int64)] * (size - len(found[flag]))
+    return words, found[True], found[False], prior
+
+
+def fit(words: np.ndarray, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, models: int = MODELS, seed: int = 3) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Linear classifiers as (word hashes ascending, weights, bias) from the places of words in documents."""
     rng, out = np.random.default_rng(seed), []
     for _ in range(models):
         half = rng.permutation(len(unlabelled))[: max(1, len(unlabelled) // 2)] if len(unlabelled) > 1 else np.arange(len(unlabelled))
         docs = [*positives, *(unlabelled[i] for i in half)]
         pos, unl = len(positives), max(1, len(half))
         owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        every = np.concatenate([*docs, np.zeros(0, np.int64)])
-        slot = np.searchsorted(words, every)
-        there = (slot < len(words)) & (words[np.minimum(slot, len(words) - 1)] == every) if len(words) else np.zeros(len(every), bool)
-        owner, slot = owner[there], slot[there]
+        slot = np.concatenate([*docs, np.zeros(0, np.int64)])
         w, b = np.zeros(len(words)), float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
         m, s = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
         for step in range(1, STEPS + 1):
@@ -127,8 +134,8 @@ def _score(models, prior: float):
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text), from ``labels`` (doc_id, toxic): doc_id, held_out, score, predicted."""
-    positives, unlabelled, prior = sample(docs, labels)
-    models = fit(positives, unlabelled, prior) if positives else []
+    words, positives, unlabelled, prior = sample(docs, labels)
+    models = fit(words, positives, unlabelled, prior) if positives else []
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = light.mapInArrow(_score(models, prior), "doc_id long, score double")
     return found.select("doc_id", F.coalesce(fold_of(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score",

@@ -9,7 +9,9 @@ DataFrame operations only. Counts combine before the shuffle, so a hot host cost
 written, so its join with the pages is one that Spark splits at a hot host, or a broadcast where Spark finds it small.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and gets the reputation of
-the empty host; a null outcome is no outcome; equal pages are judged alike; without any outcome nothing is blocked.
+the empty host; a null outcome is no outcome; equal pages are judged alike; without any outcome nothing is blocked; of
+rules of equal length that fit, the last in order wins; a very long url is one text like any other; an empty table gives an
+empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ fetches the body once by record id.
 
 Defined cases: records without a URL share the empty one; a null time is earliest; of records with equal time the one
 with the larger id is later; a full response resolves to itself. Status of a record: full, resolved, mismatch (the
-latest earlier response has other validators), unvalidated (the revisit has none), orphan (no earlier response).
+latest earlier response has other validators), unvalidated (the revisit has none), orphan (no earlier response). Equal
+records get equal results; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
