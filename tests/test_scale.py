@@ -4,9 +4,11 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidecast import session
+from tidecast.catalog import inputs
 from tidecast.constants import QUANTILE_LEVELS
 from tidecast.functions import counts
 from tidecast.operators import folds as fo
@@ -230,3 +232,18 @@ def test_a_rewritten_input_is_not_served_from_an_old_hand_off(spark, tmp_path):
             spark.range(n).write.mode("overwrite").parquet(folder)
         values.append(session.handoff(spark, "test", lambda: spark.read.parquet(folder).agg(F.count("*").alias("n")), source=folder).first().n)
     assert values == [3, 3, 5]
+
+
+def test_windows_over_a_bucketed_hand_off_plan_no_exchange(spark, series):
+    table = session.handoff(spark, "bucketed", lambda: series, bucket_by="geo")
+    w = Window.partitionBy("geo").orderBy("date")
+    smooth = table.withColumn("before", F.lag("casos").over(w)).groupBy("geo").agg(F.sum("before").alias("n"))
+    joined = smooth.join(table.groupBy("geo").agg(F.max("casos").alias("top")).hint("merge"), "geo")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "SortMergeJoin" in plan and "Exchange" not in plan
+    assert {r.geo: r.n for r in smooth.collect()} == {r.geo: r.n for r in series.withColumn("before", F.lag("casos").over(w)).groupBy("geo").agg(F.sum("before").alias("n")).collect()}
+
+
+def test_the_naive_model_reads_the_shared_series_without_moving_it(spark, sf_dir):
+    plan = baselines.naive(inputs.state_series(spark, sf_dir), star.folds(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(geo" not in plan

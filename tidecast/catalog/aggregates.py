@@ -203,7 +203,7 @@ SELECT fold_id, round(coalesce(quantile_cont(a, 0.5), 0.1), 6) AS dispersion FRO
  (SELECT fold_id, geo, {sql.season_week('date')} AS w, avg(casos) AS m, var_samp(casos) AS v FROM v_train GROUP BY ALL)
  WHERE m > 5 AND v IS NOT NULL) GROUP BY 1""")
 def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inp.round_all(trajectories.dispersion(inp.state_series(spark, sf_dir), star.folds(spark)))
+    return inp.round_all(trajectories.dispersion(inp.state_series(spark, sf_dir), star.folds(spark)).drop("pool"))
 
 
 @query("a22_long_to_wide",

@@ -21,9 +21,9 @@ ENSEMBLES = ["ensemble_vincent", "ensemble_invwis", "ensemble_conformal"]
 SEASONAL_VALUES = ["temp_med", "umid_med", "precip_tot"]
 
 
-def shared(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+def shared(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list[str] | None = None, bucket_by: str | None = None) -> DataFrame:
     """A stage that queries share, written once for the present content of the input folder."""
-    return handoff(spark, f"{name}:{sf_dir}", build, partition_by, sf_dir)
+    return handoff(spark, f"{name}:{sf_dir}", build, partition_by, sf_dir, bucket_by)
 
 
 def r6(c: Column | str, name: str | None = None, digits: int = 6) -> Column:
@@ -51,9 +51,8 @@ def state_series_raw(spark: SparkSession, sf_dir: str, disease: str = "dengue")
 
 
 def state_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:
-    """The same series as a written table: the raw facts are scanned once, however often it is used."""
-    written = shared(spark, sf_dir, f"series:{disease}", lambda: state_series_raw(spark, sf_dir, disease))
-    return rollup.by_geo(written)
+    """The same series as a written table, bucketed by geo: the raw facts are scanned and moved once, however often it is used."""
+    return shared(spark, sf_dir, f"series:{disease}", lambda: state_series_raw(spark, sf_dir, disease), bucket_by="geo")
 
 
 def city_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:

@@ -62,22 +62,32 @@ def fingerprint(spark: SparkSession, folder: str) -> str:
     return hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest()[:16]
 
 
-def handoff(spark: SparkSession, key: str, build, partition_by: list[str] | None = None, source: str | None = None) -> DataFrame:
+def handoff(spark: SparkSession, key: str, build, partition_by: list[str] | None = None, source: str | None = None,
+            bucket_by: str | None = None) -> DataFrame:
     """Write a stage's result once per application and state of its input folder ``source``, and read it back.
 
     Stages hand over written Parquet rather than a long lineage: a lost executor re-reads files
     instead of recomputing the forecasts, and the next stage gets column and partition pruning. A rewritten input has
-    another fingerprint, so that what was built from the old one is not used again.
+    another fingerprint, so that what was built from the old one is not used again. With ``bucket_by`` the table is
+    bucketed into as many parts as a shuffle has, so that windows, aggregates and joins by that column plan no exchange.
     """
-    slot = (spark.sparkContext.applicationId, key if source is None else f"{key}:{fingerprint(spark, source)}")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = key if source is None else f"{key}:{fingerprint(spark, source)}"
+    slot = (spark.sparkContext.applicationId, f"{name}:{buckets}" if bucket_by else name)
     if slot not in _HANDOFFS:
         path = new_path(spark, "handoff")
-        writer = build().write
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-        _HANDOFFS[slot] = path
-    return spark.read.parquet(_HANDOFFS[slot])
+        if bucket_by:
+            table = f"handoff_{uuid.uuid4().hex}"
+            rows = build().repartition(buckets, bucket_by)
+            rows.write.format("parquet").option("path", path).bucketBy(buckets, bucket_by).saveAsTable(table)
+            _HANDOFFS[slot] = table
+        else:
+            writer = build().write
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(path)
+            _HANDOFFS[slot] = path
+    return spark.table(_HANDOFFS[slot]) if bucket_by else spark.read.parquet(_HANDOFFS[slot])
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
