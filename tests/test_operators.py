@@ -111,6 +111,24 @@ def test_leak_makes_the_query_fail(spark):
         ql.require_no_leakage(ql.leakage(rows)).collect()
 
 
+@pytest.mark.parametrize("units,replicates", [(300, 7), (16, 3), (1 << 14, 100)])
+def test_sums_of_draws_equal_a_loop(spark, monkeypatch, units, replicates):
+    monkeypatch.setattr(bs, "UNITS", units)
+    monkeypatch.setattr(bs, "REPLICATES", replicates)
+    rng = np.random.default_rng(4)
+    values = {(i, g): float(rng.normal()) for i in range(250) for g in ("a", "b") if g == "a" or i % 3}
+    table = spark.createDataFrame([(i, g, v, 1.0) for (i, g), v in values.items()], "unit_no long, g string, v double, one double").repartition(4)
+    found = {(r.rep, r.g): (r.v, r.one) for r in bs.replicate_sums(table, 250, ["g"], ["v", "one"], 20).collect()}
+    for rep in range(20):
+        picked = []
+        for i in range(250):
+            x = pow((rep * 48271 + i * 69621 + 42 * 16807) % bs.PRIME, 5, bs.PRIME)
+            picked.append(pow((x * 48271 + rep * 7919 + 12345) % bs.PRIME, 5, bs.PRIME) % 250)
+        for g in "ab":
+            own = [values[(i, g)] for i in picked if (i, g) in values]
+            assert found[(rep, g)] == pytest.approx((sum(own), len(own)))
+
+
 def test_draws_are_uniform_and_repeatable(spark):
     units = spark.range(200).select(F.concat(F.lit("u"), "id").alias("unit"))
     numbered = bs.number_units(units, F.col("unit"))
@@ -118,8 +136,10 @@ def test_draws_are_uniform_and_repeatable(spark):
     moved = bs.number_units(units.repartition(7), F.col("unit"))
 
     def counted(table):
-        rows = bs.replicate_draws(table, 100).groupBy("rep", "unit_no").count().collect()
-        return {(r.rep, r.unit_no): r["count"] for r in rows}
+        # a unit is its own group, so its sum is the number of times it is drawn
+        rows = bs.replicate_sums(table.select("unit_no", "unit", F.lit(1.0).alias("one")), 200, ["unit"], ["one"], 100).collect()
+        numbers = {r.unit: r.unit_no for r in table.collect()}
+        return {(r.rep, numbers[r.unit]): int(r.one) for r in rows if r.one}
 
     first, again = counted(numbered), counted(moved)
     assert first == again and sum(first.values()) == 20000

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidecast.session import staged
+
 PRIME = 2147483647
 _PREFIX = 3
+#: Units and replicates that are drawn or counted at a time: their product bounds the matrix of counts.
+UNITS, REPLICATES = 1 << 14, 100
 
 
 def _fifth_power(df: DataFrame, name: str) -> DataFrame:
@@ -56,18 +65,84 @@ def number_units(units: DataFrame, key: Column) -> DataFrame:
     return numbered.withColumn("unit_no", F.col("_start") + within - 1).drop("_md5", "_bucket", "_start")
 
 
-def replicate_draws(numbered: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """rep, unit_no: the units drawn in each replicate, with replacement.
-
-    Every unit emits one draw per replicate, so drawing is spread as the units are. Draws are not
-    counted first: few repeat within a task, and the sums per replicate after the join combine on the
-    map side, so the draws travel once, or not at all when the unit table is small enough to broadcast.
+def draws(units: np.ndarray, reps: np.ndarray, size: int, seed: int = 42) -> np.ndarray:
+    """Indices in [0, size) for every (rep, unit), by the arithmetic of ``draw_index``."""
+
+    def fifth(x: np.ndarray) -> np.ndarray:
+        square = x * x % PRIME
+        return square * square % PRIME * x % PRIME
+
+    first, second = reps[:, None], units[None, :]
+    x = fifth((first * 48271 + second * 69621 + seed * 16807) % PRIME)
+    return fifth((x * 48271 + first * 7919 + 12345) % PRIME) % size
+
+
+def _drawn(size: int, replicates: int, seed: int):
+    """Draws of a task's units, some units and replicates at a time: for each block of drawn units their sorted places, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = REPLICATES * UNITS
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for at in range(0, len(own), UNITS):
+                for low in range(0, replicates, REPLICATES):
+                    reps = np.arange(low, min(replicates, low + REPLICATES), dtype=np.int64)
+                    block, place = np.divmod(draws(own[at:at + UNITS], reps, size, seed), UNITS)
+                    codes = np.sort((block * cell + np.arange(len(reps))[:, None] * UNITS + place).ravel())
+                    cuts = np.flatnonzero(np.diff(codes // cell, prepend=-1))
+                    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(codes)]):
+                        steps = np.diff(codes[x:y] % cell, prepend=0).astype(np.uint32)
+                        yield pa.RecordBatch.from_arrays([pa.array([codes[x] // cell], pa.int64()), pa.array([low], pa.int64()), pa.array([zlib.compress(steps.tobytes(), 1)])],
+                                                         names=["block", "low", "places"])
+
+    return run
+
+
+def _sums(replicates: int, groups: list[str], values: list[str]):
+    """One block of units: how often each was drawn, times its values, summed per replicate and group."""
+
+    def run(drawn: pa.Table, units: pa.Table) -> pa.Table:
+        place = units.column("unit_no").to_numpy() % UNITS
+        v = np.stack([units.column(c).to_numpy().astype(float) for c in values], axis=1)
+        named = list(zip(*[units.column(g).to_pylist() for g in groups])) if groups else [()] * len(units)
+        distinct = list(dict.fromkeys(named))
+        of = np.array([distinct.index(x) for x in named], np.int64)
+        lows = drawn.column("low").to_numpy()
+        rows: dict[str, list] = {c: [] for c in ("rep", *groups, *values)}
+        for low in np.unique(lows).tolist():
+            counts = np.zeros(REPLICATES * UNITS, np.int64)
+            for i in np.flatnonzero(lows == low).tolist():
+                steps = np.frombuffer(zlib.decompress(drawn.column("places")[i].as_py()), np.uint32)
+                counts += np.bincount(np.cumsum(steps, dtype=np.int64), minlength=len(counts))
+            counts = counts.reshape(REPLICATES, UNITS)[: replicates - low]
+            for g, names in enumerate(distinct):
+                sums = counts[:, place[of == g]] @ v[of == g]
+                rows["rep"] += range(low, low + len(counts))
+                for c, x in zip(groups, names):
+                    rows[c] += [x] * len(counts)
+                for j, c in enumerate(values):
+                    rows[c] += sums[:, j].tolist()
+        kinds = {"rep": pa.int64(), **dict.fromkeys(groups, pa.string()), **dict.fromkeys(values, pa.float64())}
+        return pa.table({c: pa.array(x, kinds[c]) for c, x in rows.items()})
+
+    return run
+
+
+def replicate_sums(units: DataFrame, size: int, groups: list[str], values: list[str], replicates: int, seed: int = 42) -> DataFrame:
+    """rep, groups and the sums of ``values`` over the units drawn in each replicate, with replacement.
+
+    ``units`` has unit_no (0 to size - 1), string columns ``groups`` and ``values``; a unit may have one row per group. Every
+    unit makes one draw per replicate. Draws travel in arrays: a task draws for UNITS units and REPLICATES replicates at a
+    time and sends each block of units the places drawn in it, sorted and packed in a byte or two each. There they become
+    a matrix of counts that is multiplied with the block's values, so no row is made per unit and replicate, and no draw
+    is joined.
     """
-    reps = numbered.select("unit_no", "n_units").withColumn(
-        "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint")))
-    )
-    drawn = draw_index(reps, F.col("rep"), F.col("unit_no"), F.col("n_units"), seed)
-    return drawn.select("rep", F.col("draw").alias("unit_no"))
+    owners = units.select("unit_no").distinct()
+    drawn = owners.mapInArrow(_drawn(size, replicates, seed), "block long, low long, places binary")
+    blocked = units.select(F.floor(F.col("unit_no") / UNITS).cast("long").alias("block"), "unit_no", *groups, *[F.col(v).cast("double").alias(v) for v in values])
+    schema = ", ".join(["rep long", *[f"{g} string" for g in groups], *[f"{v} double" for v in values]])
+    parts = drawn.groupBy("block").cogroup(blocked.groupBy("block")).applyInArrow(_sums(replicates, groups, values), schema)
+    return parts.groupBy("rep", *groups).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def _interval(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
@@ -90,11 +165,10 @@ def block_bootstrap(scored: DataFrame, replicates: int = 2000, seed: int = 42) -
         F.sum("wis").alias("s"), F.sum("observed_value").cast("double").alias("o"), F.count("*").alias("n")
     )
     numbered = number_units(sums.select("block").distinct(), F.col("block"))
-    draws = replicate_draws(numbered, replicates, seed)
-    keyed = sums.join(numbered.select("block", "unit_no"), "block")
-    per_rep = draws.join(keyed, "unit_no").groupBy("model", "rep").agg(
-        F.try_divide(F.sum("s"), F.sum("n")).alias("wis"), F.try_divide(F.sum("s"), F.sum("o")).alias("nwis"),
-    )
+    keyed = staged(sums.join(numbered, "block"), "blocks")
+    size = keyed.agg(F.coalesce(F.max("n_units"), F.lit(0))).first()[0]
+    drawn = replicate_sums(keyed, size, ["model"], ["s", "o", "n"], replicates, seed)
+    per_rep = drawn.filter("n > 0").select("model", F.try_divide("s", "n").alias("wis"), F.try_divide("s", "o").alias("nwis"))
     return _interval(per_rep, ["model"], ["wis", "nwis"])
 
 
@@ -109,11 +183,10 @@ def paired_bootstrap(scored: DataFrame, first: str, second: str, folds: list[int
         F.concat_ws("_", F.col("geo"), F.col("fold_id"), F.col("horizon_weeks")).alias("unit"),
         (F.col(first) - F.col(second)).alias("gap"),
     )
-    numbered = number_units(pairs, F.col("unit"))
-    draws = replicate_draws(numbered, replicates, seed)
-    means = draws.join(numbered.select("unit_no", "gap"), "unit_no").groupBy("rep").agg(
-        F.avg("gap").alias("difference")
-    )
+    numbered = staged(number_units(pairs, F.col("unit")), "units")
+    size = numbered.agg(F.count("*")).first()[0]
+    sums = replicate_sums(numbered.withColumn("one", F.lit(1.0)), size, [], ["gap", "one"], replicates, seed)
+    means = sums.select("rep", F.try_divide("gap", "one").alias("difference"))
     centre = pairs.agg(F.avg("gap").alias("mean_difference"), F.count("*").alias("units"))
     return centre.join(F.broadcast(_interval(means, [], ["difference"]))).withColumns({
         "model_a": F.lit(first), "model_b": F.lit(second),
