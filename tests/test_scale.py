@@ -181,6 +181,9 @@ def test_boosting_all_groups_equals_plain_trees(spark):
         got.append({(r.g, r.k): r.centre for r in boosting.predicted(table, forest, "g", 3).collect()})
         codes = {(r["g"], r["k"]): list(r["_codes"]) for r in table.collect()}
     assert got[0] == pytest.approx(got[1])
+    again, bins = boosting.from_table(session.staged(boosting.to_table(spark, forest, cuts), "forest"), 3)
+    assert {(r.g, r.k): r.centre for r in boosting.predicted(table, again, "g", 3).collect()} == got[1]
+    assert all(np.array_equal(a, b) for g in cuts for a, b in zip(cuts[g], bins[g]))
     for g in (1, 2):
         mine = [r for r in rows if r[0] == g]
         matrix = np.array([codes[(g, r[1])] for r in mine])

@@ -48,6 +48,20 @@ def m14_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(c) if c == "target_epiweek" else (F.round(c, 6) + 0.0).alias(c) for c in _TARGET_COLUMNS])
 
 
+_CARRIED = [c for c in panel.ORIGIN_FEATURES] + inp.PANEL_STATIC
+_TARGETS = [c for c in panel.TARGET_FEATURES if c != "horizon_weeks"] + ["label"]
+
+
+@query("m14_panel_rows", f"""
+SELECT fold_id, geo, origin_date, count(*) AS rows, {', '.join(f'round(max({c}), {_DIGITS[c]}) + 0.0 AS {c}' for c in _CARRIED)},
+{', '.join(f'round(CAST(sum({c} * horizon_weeks) AS DOUBLE), 4) + 0.0 AS {c}' for c in _TARGETS)} FROM v_train_panel GROUP BY ALL""")
+def m14_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every origin of the training panel: its own features as they are, what depends on the horizon summed by horizon."""
+    return inp.training_panel(spark, sf_dir).groupBy("fold_id", "geo", "origin_date").agg(
+        F.count("*").alias("rows"), *[(F.round(F.max(c), _DIGITS[c]) + 0.0).alias(c) for c in _CARRIED],
+        *[(F.round(F.sum(F.col(c).cast("double") * F.col("horizon_weeks")), 4) + 0.0).alias(c) for c in _TARGETS])
+
+
 _TRAJECTORY_ROWS = f"""SELECT * FROM (WITH
 t AS (SELECT f.fold_id, i.geo, i.date, i.incidence, {sql.season_year('i.date')} AS season, {sql.season_week('i.date')} AS sw,
  f.target_start FROM v_inc i JOIN v_folds f ON i.date <= f.train_cutoff),

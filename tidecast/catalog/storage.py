@@ -11,9 +11,10 @@ from tidecast.catalog.inputs import r6
 from tidecast.catalog.registry import query
 from tidecast.constants import CLIMATE_COLUMNS, QUANTILE_COLUMNS
 from tidecast.functions import calendar as cal
+from tidecast.operators import ensemble, rollup
 from tidecast.operators import folds as fo
 from tidecast.plans import backtest, baselines, output, refresh, tracks
-from tidecast.plans.hierarchical import hierarchical
+from tidecast.plans.hierarchical import hierarchical, shrinkage_weights, volumes
 from tidecast.session import new_path, scratch_dir
 from tidecast.sources import landing, readers, star
 
@@ -257,6 +258,25 @@ def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inp.rounded_quantiles(output.load_state(spark, path))
 
 
+@query("k06_conformal_state", f"SELECT level, {sql.r6('factor', 'factor')} FROM v_factors")
+def k06_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted conformal factors saved as a table and loaded again."""
+    members = inp.members_scored(spark, sf_dir).filter("fold_id = 1")
+    fitted = ensemble.widening_factors(ensemble.median_ensemble(members, inp.MEMBERS).filter("observed_value is not null"))
+    path = new_path(spark, "state")
+    output.save_state(fitted, path)
+    return inp.round_all(output.load_state(spark, path))
+
+
+@query("k06_shrinkage_state", f"SELECT fold_id, geo, {sql.r6('weight', 'weight')} FROM v_shrink")
+def k06_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted shrinkage weights of the hierarchical model saved as a table and loaded again."""
+    usable = rollup.add_incidence(inp.state_series(spark, sf_dir), inp.state_population(spark, sf_dir)).filter("population > 0")
+    path = new_path(spark, "state")
+    output.save_state(shrinkage_weights(volumes(usable, fo.Nested(star.folds(spark)))), path)
+    return inp.round_all(output.load_state(spark, path))
+
+
 @query("m11_full_season_forecast", f"""
 SELECT geo, CAST({_SEASON} AS INTEGER) AS season_year, d AS date, CAST((d - f.train_cutoff) // 7 AS INTEGER) AS horizon_weeks,
 {sql.spread('p.q')} FROM (SELECT *, CAST(unnest(generate_series(target_start, target_end, INTERVAL 7 DAY)) AS DATE) AS d FROM v_folds) f

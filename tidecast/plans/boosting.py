@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,33 @@ class Forest:
         return out
 
 
+def to_table(spark: SparkSession, forest: Forest, cuts: dict[int, list[np.ndarray]]) -> DataFrame:
+    """A fitted forest and its bins as rows (kind, group, tree, node, feature, value); trees and groups are few."""
+    rows = [("step", 0, 0, 0, 0, float(forest.step))]
+    rows += [("start", int(g), 0, 0, 0, float(v)) for g, v in forest.start.items()]
+    for g, features in cuts.items():
+        rows += [("edge", int(g), 0, k, j, float(v)) for j, cut in enumerate(features) for k, v in enumerate(cut)]
+    for g, trees in forest.trees.items():
+        for t, tree in enumerate(trees):
+            rows += [("split", int(g), t, k, int(j), float(b)) for k, (j, b) in enumerate(zip(tree.features, tree.bins))]
+            rows += [("leaf", int(g), t, k, 0, float(v)) for k, v in enumerate(tree.leaves)]
+    return spark.createDataFrame(rows, "kind string, group int, tree int, node int, feature int, value double")
+
+
+def from_table(table: DataFrame, width: int) -> tuple[Forest, dict[int, list[np.ndarray]]]:
+    """The forest and bins that ``to_table`` wrote."""
+    rows = sorted(tuple(r) for r in table.collect())
+    of = {kind: [r[1:] for r in rows if r[0] == kind] for kind in ("step", "start", "edge", "split", "leaf")}
+    forest = Forest({g: v for g, _, _, _, v in of["start"]}, of["step"][0][-1])
+    cuts = {g: [np.array([v for h, _, _, j, v in of["edge"] if (h, j) == (g, k)]) for k in range(width)] for g in forest.start}
+    for g in forest.start:
+        count = max((t + 1 for h, t, *_ in of["leaf"] if h == g), default=0)
+        forest.trees[g] = [Tree(np.array([j for h, u, _, j, _ in of["split"] if (h, u) == (g, t)], np.int64),
+                                np.array([int(b) for h, u, _, _, b in of["split"] if (h, u) == (g, t)], np.int64),
+                                np.array([v for h, u, _, _, v in of["leaf"] if (h, u) == (g, t)])) for t in range(count)]
+    return forest, cuts
+
+
 def edges(df: DataFrame, group: str, features: list[str], bins: int) -> dict[int, list[np.ndarray]]:
     """Per group and feature the distinct quantiles between bins; groups x features x bins numbers."""
     levels = [k / bins for k in range(1, bins)]
