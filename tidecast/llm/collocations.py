@@ -3,8 +3,8 @@
 1. A task numbers its words and counts, for every word of a piece of text, the up to four words from there on, in a trie
    whose containers are hash tables of the remaining words; a container that grows too large bursts into one container a
    next word. A phrase's count is the sum of the subtree under it, so that one insertion a word counts all lengths.
-2. When the trie holds too much, whole subtrees (those under one first word, largest first) are spilled as sorted runs,
-   each run cut by prefix partition: the hash of language and first three words. One- and two-word phrases go to the
+2. When the trie holds too much, whole subtrees (those under one first word, largest first) are spilled as sorted runs, and
+   after some megabytes of text all of them, so that words can be numbered anew; each run is cut by prefix partition: the hash of language and first three words. One- and two-word phrases go to the
    partitions of their own hashes, with their subtrees' sums. Runs are compressed.
 3. A partition merges its runs: equal entries are summed, and a three-word phrase sums its continuations.
 4. Scores, containment and ranks are joins of the phrases frequent enough, all whose parts are frequent enough too.
@@ -15,7 +15,7 @@ apart. That changes where an entry goes, no result. Memory holds one trie of bou
 in a merge.
 
 Defined cases: a null text is empty; a null language is ``und``, together with texts that say so; equal rows count each;
-very long texts are cut into pieces like any other; equal scores rank by count, then by the phrase's bytes; an empty table
+very long texts are counted in parts without losing a phrase; equal scores rank by count, then by the phrase's bytes; an empty table
 gives an empty result. Other columns are ignored, whatever their names.
 """
 
@@ -44,6 +44,8 @@ BUCKET_BYTES, HELD, BURST = 32 << 20, 400_000, 4096
 #: Bytes of text counted at a time; one text in so many is sampled; three-word phrases that are split at most.
 CHUNK_BYTES, SAMPLE, SPLIT = 4 << 20, 64, 100_000
 
+#: Words that are numbered at a time; a longer text is cut, each part read with the three words after it.
+WORDS = 1_000_000
 #: Word numbers have 21 bits; 0 stands for the end of a piece.
 _BITS = 21
 _MASK = (1 << _BITS) - 1
@@ -149,14 +151,9 @@ class Vocabulary:
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
         return self.hashes
 
-    def sequences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(first, rest) for every word of the texts."""
-        number = self.numbers.__getitem__
-        found = []
-        for text in texts:
-            found.extend(map(number, text.translate(_TABLE).replace(b".", b" . ").split()))
-            found.append(0)
-        a = np.array(found + [0, 0, 0], np.int64)
+    def sequences(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(first, rest) for every word but the last three tokens, which only follow others."""
+        a = np.array(list(map(self.numbers.__getitem__, tokens)), np.int64)
         a, b, c, d = a[:-3], a[1:-2], a[2:-1], a[3:]
         c = np.where(b == 0, 0, c)
         d = np.where(c == 0, 0, d)
@@ -164,6 +161,17 @@ class Vocabulary:
         return a[word], (b << 2 * _BITS | c << _BITS | d)[word]
 
 
+def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Words and ends of pieces, as ``.``, of the texts: up to WORDS tokens at a time and the three that follow."""
+    tokens = []
+    for text in texts:
+        tokens += text.translate(_TABLE).replace(b".", b" . ").split()
+        tokens.append(b".")
+    tokens += [b"."] * 3
+    for at in range(0, len(tokens) - 3, WORDS):
+        yield tokens[at:at + WORDS + 3]
+
+
 def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict[str, list[bytes]]]:
     """About ``size`` bytes of text at a time, by language."""
     held, total = defaultdict(list), 0
@@ -189,25 +197,28 @@ def _runs(bits: int, split: list[int], held: int, burst: int):
     apart = np.array(split, np.int64).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, words = defaultdict(lambda: HatTrie(burst)), Vocabulary()
         for texts in _texts(batches, CHUNK_BYTES):
+            tries, words = defaultdict(lambda: HatTrie(burst)), Vocabulary()
             for lang, mine in texts.items():
-                tries[lang].add(*words.sequences(mine))
-            full = len(words.numbers) > _MASK - CHUNK_BYTES // 2  # before numbers get too long
-            while full or sum(t.size for t in tries.values()) > held:
-                lang = max(tries, key=lambda x: tries[x].size)
-                yield from _spilled(lang, tries[lang], held if full else held // 2, words, bits, apart)
-                if not tries[lang].size:
-                    del tries[lang]
-                if full and not tries:
-                    words, full = Vocabulary(), False
-        for lang, trie in tries.items():
-            while trie.size:
-                yield from _spilled(lang, trie, held, words, bits, apart)
+                for tokens in _parts(mine):
+                    if len(words.numbers) + len(tokens) > _MASK:  # before numbers get too long
+                        yield from _all_spilled(tries, words, held, bits, apart)
+                        words = Vocabulary()
+                    tries[lang].add(*words.sequences(tokens))
+                    while sum(t.size for t in tries.values()) > held:
+                        most = max(tries, key=lambda x: tries[x].size)
+                        yield from _spilled(most, tries[most], held // 2, words, bits, apart)
+            yield from _all_spilled(tries, words, held, bits, apart)
 
     return run
 
 
+def _all_spilled(tries: dict[str, HatTrie], words: Vocabulary, held: int, bits: int, apart: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lang, trie in tries.items():
+        while trie.size:
+            yield from _spilled(lang, trie, held, words, bits, apart)
+
+
 def _spilled(lang: str, trie: HatTrie, entries: int, words: Vocabulary, bits: int, apart: np.ndarray) -> Iterator[pa.RecordBatch]:
     first, rest, counts = trie.take(trie.largest(entries))
     hashes, texts = words.hashed(), pa.array(list(words.numbers), pa.binary())
@@ -299,15 +310,14 @@ def _frequent(least: int):
 
 
 def _sampled_threes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Vocabulary()
     for texts in _texts(batches, CHUNK_BYTES):
         for lang, mine in texts.items():
-            first, rest = words.sequences(mine)
-            seed = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
-            keys, n = np.unique(_three(seed, words.hashed(), first, rest)[rest >> _BITS & _MASK > 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
-        if len(words.numbers) > _MASK - CHUNK_BYTES // 2:
-            words = Vocabulary()
+            for tokens in _parts(mine):
+                words = Vocabulary()
+                first, rest = words.sequences(tokens)
+                seed = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
+                keys, n = np.unique(_three(seed, words.hashed(), first, rest)[rest >> _BITS & _MASK > 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
 
 def counted(docs: DataFrame, least: int = LEAST, bucket_bytes: int = BUCKET_BYTES, held: int = HELD, burst: int = BURST, sample: int = SAMPLE) -> DataFrame:
