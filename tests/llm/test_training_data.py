@@ -214,6 +214,23 @@ def test_similar_texts_against_brute_force(spark, docs, empty, sf_dir):
     assert similar.judge(empty).count() == 0
 
 
+def test_similar_texts_are_linked_by_golay_keys_of_their_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"g{k}w{i}" if i != 7 * copy else f"x{rng.integers(10**9)}" for i in range(600)) for k in range(20) for copy in range(4)]
+    prints = np.array([simhash.majority(similar.shingles(t)) for t in texts], np.uint64)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = spark.createDataFrame([(i, 1, p) for i, p in enumerate(prints.view(np.int64).tolist())], "node long, n long, print long")
+    found = {(r.a, r.b) for r in similar.by_fingerprint(nodes).collect()}
+    close = np.bitwise_count(prints[:, None] ^ prints) <= simhash.DISTANCE
+    assert all(a != b and close[a, b] for a, b in found)
+    assert {a for a, _ in found} | {b for _, b in found} == {i for i in range(len(texts)) if close[i].sum() > 1} != set()
+    # without a band in common, the named method alone groups what lies within its distance
+    monkeypatch.setattr(similar, "bands", lambda s: s.sum(keepdims=True))
+    alone = {frozenset(r.ids) for r in similar.judge(table).groupBy("root").agg(F.collect_set("doc_id").alias("ids")).collect()}
+    assert any(len(g) > 1 for g in alone) and all(len({i // 4 for i in g}) == 1 for g in alone)
+    assert all(close[i].sum() > 1 for g in alone if len(g) > 1 for i in g)
+
+
 def test_forest_spans_the_links_and_components_contract_a_long_path(spark):
     rng = np.random.default_rng(2)
     prints = np.unique(rng.integers(0, 2**10, 300, dtype=np.uint64) << np.uint64(3))

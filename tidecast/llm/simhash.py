@@ -61,6 +61,14 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(((counts * 2 > m).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingles, from their hashes (uint64): the bits that over half of them set."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[at:at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(((counts * 2 > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
+
+
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

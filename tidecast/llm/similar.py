@@ -1,14 +1,18 @@
-"""Texts that share at least four fifths of their word shingles: MinHash bands find candidates, an exact prefix filter the
-pairs, and the shingle sets decide.
-
-1. Two texts of Jaccard similarity s agree in a MinHash with probability s, in all ROWS of a band with s^ROWS. With 32
-   bands of 5 a pair of similarity 0.8 shares no band with probability 3e-6, one of 0.85 with 2e-8. Texts that share a
-   band with another are candidates; only their shingles are looked at again, and written once.
-2. Shingles are ordered from the rarest to the most common among candidates. Sets of n and m shingles that are similar
+"""Texts that share at least four fifths of their word shingles: SimHash with Golay keys links what its fingerprints can
+tell, MinHash bands find what they can't, an exact prefix filter the pairs, and the shingle sets decide.
+
+1. Every text has a SimHash fingerprint over its set of five-word shingles. ``simhash.links`` joins fingerprints of 4 or fewer
+   differing bits by their Golay keys. Each text is compared with one of those that its fingerprint links it to, and with
+   one of an equal fingerprint; links that the sets confirm are contracted before anything else is looked for.
+2. A pair of similarity 0.8 differs in some ten bits of 64, so fingerprints alone miss most such pairs. Two texts of Jaccard
+   similarity s agree in a MinHash with probability s, in all ROWS of a band with s^ROWS. With 32 bands of 5 a pair of
+   similarity 0.8 shares no band with probability 3e-6, one of 0.85 with 2e-8. Texts that share a band or a linked
+   fingerprint with another are candidates; only their shingles are looked at again, and written once.
+3. Shingles are ordered from the rarest to the most common among candidates. Sets of n and m shingles that are similar
    have sizes within 4:5 and share one of their first n / 5 + 1 and m / 5 + 1 shingles, and after the first one that they
    share enough must be left in both. So a text with many shingles of its own, as edited copies below the similarity
    have, meets no other at all, and common lines are no meeting place.
-3. Links, not pairs: a round compares each text with one other, the first by a hash among those it may be similar to, and
+4. Links, not pairs: a round compares each text with one other, the first by a hash among those it may be similar to, and
    contracts the new links; shingles all of whose texts are in one component are done. After ROUNDS such rounds, which
    join large groups of copies, the pairs of different components that still pass the filters are compared, so that no
    link among components is missed. A last filter looks at these: a bitmap of BITS bits per set, one bit for each shingle's
@@ -30,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.llm import simhash
 from tidecast.llm.common import digest_of, few, row_id, shown_id, text_of, written
 from tidecast.llm.graph import components
 
@@ -65,7 +70,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t.as_py()) for t in batch.column(1)]
         keys = [bands(s).view(np.int64) if len(s) else [] for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["digest", "n", "bands"])
+        prints = np.fromiter(map(simhash.majority, sets), np.uint64, len(sets)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prints)],
+                                         names=["digest", "n", "bands", "print"])
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
@@ -121,18 +128,38 @@ def _still_open(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "shingle", "left_semi")
 
 
+def by_fingerprint(sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts (node, n, print) to compare: each with one of an equal fingerprint and one of a linked fingerprint."""
+    own = sketches.where("n > 0").select("node", "print")
+    distinct = written(own.groupBy("print").agg(F.min("node").alias("low")), "distinct")
+    equal = own.join(distinct, "print").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    linked = simhash.links(distinct)
+    for x in "ab":
+        linked = linked.join(distinct.select(F.col("print").alias(x), F.col("low").alias(f"node_{x}")), x)
+    linked = linked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    nearest = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("rank"), "b")).alias("low")).select("a", F.col("low.b").alias("b"))
+    return equal.unionByName(nearest)
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, text_sha256, root (the same for all texts of a component)."""
     rows = docs.select(digest_of().alias("digest"), text_of().alias("text"))
-    sketches = written(rows.mapInArrow(_sketch, "digest binary, n long, bands array<long>").dropDuplicates(["digest"])
+    sketches = written(rows.mapInArrow(_sketch, "digest binary, n long, bands array<long>, print long").dropDuplicates(["digest"])
                        .withColumn("node", F.monotonically_increasing_id()), "sketches")
     keyed = sketches.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    wanted = written(keyed.join(shared, "key", "left_semi").select("node").distinct().join(sketches.select("node", "digest"), "node"), "candidates")
+    alike = written(by_fingerprint(sketches), "alike")
+    met = keyed.join(shared, "key", "left_semi").select("node").unionByName(alike.select(F.explode(F.array("a", "b")).alias("node")))
+    wanted = written(met.distinct().join(sketches.select("node", "digest"), "node"), "candidates")
     texts = rows.join(few(wanted), "digest").select("node", "text")
     sets = written(texts.mapInArrow(_sets, "node long, shingles array<long>, bits array<long>").dropDuplicates(["node"]), "sets")
-    index = written(_still_open(_prefixes(sets).withColumn("root", F.col("node"))), "index")
-    roots = None
+    links = written(_links(alike, sets), "links")
+    roots = components(links) if links.limit(1).count() else None
+    index = _prefixes(sets).withColumn("root", F.col("node"))
+    if roots is not None:
+        index = index.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    index = written(_still_open(index), "index")
     for turn in range(ROUNDS + 1):
         if not index.limit(1).count():
             break
