@@ -14,7 +14,7 @@ from tidecast.functions import counts
 from tidecast.operators import folds as fo
 from tidecast.operators import joins as jn
 from tidecast.operators import order_stats as os_
-from tidecast.plans import backtest, baselines, boosting, hierarchical, refresh, trajectories
+from tidecast.plans import backtest, baselines, boosting, hierarchical, refresh, tracks, trajectories
 from tidecast.sources import star
 
 START = dt.date(1996, 1, 7)
@@ -250,3 +250,27 @@ def test_windows_over_a_bucketed_hand_off_plan_no_exchange(spark, series):
 def test_the_naive_model_reads_the_shared_series_without_moving_it(spark, sf_dir):
     plan = baselines.naive(inputs.state_series(spark, sf_dir), star.folds(spark))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(geo" not in plan
+
+
+def test_tracks_are_written_before_forecasters_read_them(spark, series, folds):
+    read = []
+
+    def probe(known, folds):
+        read.append(known.inputFiles())
+        return baselines.naive(known, folds)
+
+    scored = tracks.run_tracks({("d", "x"): series, ("d", "y"): series}, folds, [probe])
+    assert read[0] and all("track-series-" in f for f in read[0])
+    counts = {(r.level, r.geo): r["count"] for r in scored.groupBy("level", "geo").count().collect()}
+    assert len(counts) == 4 and len(set(counts.values())) == 1
+
+
+def test_populations_of_the_series_geos_and_all_years_give_the_same_forecasts(spark, series, folds):
+    own = [(g, y, 1000 + 10 * y) for g in "AB" for y in (1997, 1998)]
+    full = spark.createDataFrame([*own, ("C", 1999, 5000)], "geo string, year int, population long")
+    few, regions = spark.createDataFrame(own, full.schema), spark.createDataFrame([("A", "r"), ("B", "r")], "uf string, macroregion string")
+    models = [lambda p, y: hierarchical.hierarchical(series, folds, p, regions, years=y),
+              lambda p, y: trajectories.mechanistic(series, folds, p, draws=50, years=y)]
+    for model in models:
+        want, found = ([tuple(r) for r in model(*args).orderBy("fold_id", "geo", "date").collect()] for args in ((full, None), (few, full.select("year"))))
+        assert want and found == want

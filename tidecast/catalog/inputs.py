@@ -11,7 +11,7 @@ from tidecast.operators import rollup
 from tidecast.operators import scores as so
 from tidecast.plans import backtest, baselines, panel, tracks
 from tidecast.plans.hierarchical import hierarchical
-from tidecast.session import handoff
+from tidecast.session import handoff, staged
 from tidecast.sources import star
 
 MEMBERS = ["climatological_quantile", "seasonal_naive", "hierarchical_climatological"]
@@ -61,15 +61,20 @@ def city_series(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> Da
     return rollup.densify(cities.select(F.col("geocode").cast("string").alias("geo"), "date", "casos"))
 
 
+def city_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population of every geocode as a written table: the raw facts are scanned and counted once, however often it is used."""
+    return shared(spark, sf_dir, "city_population", lambda: star.population(spark, sf_dir))
+
+
 def state_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, sf_dir, "population", lambda: rollup.state_population(
-        star.population(spark, sf_dir), star.geo_map(spark, sf_dir)))
+        city_population(spark, sf_dir), star.geo_map(spark, sf_dir)))
 
 
 def state_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, sf_dir, "climate", lambda: rollup.weighted_mean(
-        star.climate(spark, sf_dir), star.population(spark, sf_dir), star.geo_map(spark, sf_dir),
-        ["uf", "date"], CLIMATE_COLUMNS, star.EXCLUDED, star.population_years(spark, sf_dir),
+        star.climate(spark, sf_dir), city_population(spark, sf_dir), star.geo_map(spark, sf_dir),
+        ["uf", "date"], CLIMATE_COLUMNS, star.EXCLUDED,
     ).withColumnRenamed("uf", "geo"))
 
 
@@ -114,7 +119,7 @@ def all_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def static_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Population shares of the climate classes and biomes per state."""
-    weights = rollup.fixed_year_weight(star.population(spark, sf_dir), 2000)
+    weights = rollup.fixed_year_weight(city_population(spark, sf_dir), 2000)
     return rollup.category_shares(star.environment(spark, sf_dir), weights, star.geo_map(spark, sf_dir),
                                   {"koppen": star.KOPPEN, "biome": star.BIOMES})
 
@@ -130,16 +135,22 @@ def tracks_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored forecasts of all members and their ensemble for both diseases on state and city level, written once."""
 
     def build() -> DataFrame:
-        geo_map = star.geo_map(spark, sf_dir)
         city = F.col("geocode").cast("string")
-        population = {"state": state_population(spark, sf_dir),
-                      "city": star.population(spark, sf_dir).select(city.alias("geo"), "year", "population")}
-        region = {"state": geo_map.select("uf", "macroregion"), "city": geo_map.select(city.alias("uf"), "macroregion")}
         series = {("dengue", "state"): state_series(spark, sf_dir), ("dengue", "city"): city_series(spark, sf_dir),
                   ("chikungunya", "state"): state_series(spark, sf_dir, "chikungunya"),
                   ("chikungunya", "city"): city_series(spark, sf_dir, "chikungunya")}
-        members = tracks.members({k: population[k[1]] for k in series}, {k: region[k[1]] for k in series})
-        return tracks.run_tracks(series, star.folds(spark), members, MEMBERS)
+        population, region = {}, {}
+        for disease in star.DISEASES:
+            population[disease, "state"] = state_population(spark, sf_dir)
+            region[disease, "state"] = star.geo_map(spark, sf_dir).select("uf", "macroregion").distinct()
+            targets = star.target_cities(spark, sf_dir, disease)
+            population[disease, "city"] = city_population(spark, sf_dir).join(targets, "geocode", "left_semi").select(city.alias("geo"), "year", "population")
+            region[disease, "city"] = star.geo_map(spark, sf_dir).join(targets, "geocode", "left_semi").select(city.alias("uf"), "macroregion")
+        # the tracks' own geos only, and written: members meet them many times
+        population = {k: staged(df, "track-population") for k, df in population.items()}
+        region = {k: staged(df, "track-region") for k, df in region.items()}
+        years = city_population(spark, sf_dir).select("year")
+        return tracks.run_tracks(series, star.folds(spark), tracks.members(population, region, years), MEMBERS)
 
     return shared(spark, sf_dir, "tracks", build, ["disease", "level"])
 

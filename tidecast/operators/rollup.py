@@ -87,9 +87,9 @@ def attach_population(df: DataFrame, population: DataFrame, date: str = "date",
     return df.withColumn("pop_year", clamp_to(population if years is None else years, F.year(date))).join(side, [key, "pop_year"], "left")
 
 
-def add_incidence(series: DataFrame, population: DataFrame) -> DataFrame:
+def add_incidence(series: DataFrame, population: DataFrame, years: DataFrame | None = None) -> DataFrame:
     """Population, incidence per 100,000 and its log1p for every row."""
-    joined = attach_population(series, population)
+    joined = attach_population(series, population, years=years)
     return joined.withColumns({
         "incidence": tf.incidence(F.col("casos"), F.col("population")),
         "log_inc": tf.log_incidence(F.col("casos"), F.col("population")),

@@ -57,15 +57,16 @@ def regional_vectors(counts: DataFrame, nested: fo.Nested, value: str, lo: int,
 
 def hierarchical(series: DataFrame, folds: DataFrame, population: DataFrame, geo_map: DataFrame,
                  calendar: DataFrame | None = None, kappa: float | None = None, window: int = 2,
-                 pool: Column | None = None) -> DataFrame:
+                 pool: Column | None = None, years: DataFrame | None = None) -> DataFrame:
     """Blend of a geo's and its region's incidence quantiles, back in counts of the target year.
 
     Every geo of the series gets rows; one without a population gets zeros. ``pool`` tells apart, by geo, sets of geos
-    that share nothing, such as the tracks of a stacked series.
+    that share nothing, such as the tracks of a stacked series. ``years`` has the years that populations cover, where
+    ``population`` holds the series' geos only.
     """
     calendar = fo.fold_calendar(folds) if calendar is None else calendar
     nested = fo.Nested(folds)
-    usable = rollup.add_incidence(series, population).filter(F.col("population") > 0)
+    usable = rollup.add_incidence(series, population, years).filter(F.col("population") > 0)
     counts = week_counts(usable, nested, "incidence")
     own = _by_week(pooled_weeks(counts, nested, "incidence", -window, window), "geo")
     regional = _by_week(regional_vectors(counts.join(region_of(geo_map), "geo"), nested, "incidence", -window, window), "region")
@@ -80,7 +81,7 @@ def hierarchical(series: DataFrame, folds: DataFrame, population: DataFrame, geo
         F.coalesce(F.col("region_q")[week], zeros()),
     )
     grid = on_grid(fitted, calendar).withColumn("_inc", blended).drop("geo_q", "region_q")
-    grid = rollup.attach_population(grid, population)
+    grid = rollup.attach_population(grid, population, years=years)
     q = F.transform("_inc", lambda v: F.greatest(v * F.col("population") / INCIDENCE_SCALE, F.lit(0.0)))
     return forecast_columns(grid, "hierarchical_climatological",
                             F.when(F.col("population").isNotNull(), q).otherwise(zeros()))

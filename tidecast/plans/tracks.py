@@ -37,24 +37,26 @@ def stacked(tables: Tracks, columns: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def members(populations: Tracks, regions: Tracks) -> list:
+def members(populations: Tracks, regions: Tracks, years: DataFrame | None = None) -> list:
     """All statistical forecasters and the season trajectories for stacked series.
 
     ``populations`` (geo, year, population) and ``regions`` (uf, macroregion: the region of a geo) carry the track in their
-    keys like the series; medians over geos (shrinkage, dispersion) are taken within a track.
+    keys like the series; medians over geos (shrinkage, dispersion) are taken within a track. ``years`` (year) has the years
+    that populations cover, where ``populations`` hold the geos of the series only.
     """
     population, geo_map = stacked(populations, ["geo"]), stacked(regions, ["uf", "macroregion"])
-    return [*STATISTICAL, lambda s, f: hierarchical(s, f, population, geo_map, pool=track_of()),
-            lambda s, f: trajectories.mechanistic(s, f, population, pool=track_of())]
+    return [*STATISTICAL, lambda s, f: hierarchical(s, f, population, geo_map, pool=track_of(), years=years),
+            lambda s, f: trajectories.mechanistic(s, f, population, pool=track_of(), years=years)]
 
 
 def run_tracks(tracks: Tracks, folds: DataFrame, forecasters=None, combined: list[str] | None = None) -> DataFrame:
     """Scored forecasts of every (disease, level) series with the same forecasters, and the median ensemble of ``combined``.
 
     The series are stacked under a composite geo, so each forecaster is planned and run once for all
-    tracks instead of once per track.
+    tracks instead of once per track. They are written first, because every forecaster reads them several times.
     """
-    series = rollup.by_geo(stacked({k: df.select("geo", "date", "casos") for k, df in tracks.items()}, ["geo"]))
+    series = stacked({k: df.select("geo", "date", "casos") for k, df in tracks.items()}, ["geo"])
+    series = rollup.by_geo(staged(rollup.by_geo(series), "track-series"))
     scored = backtest.score(backtest.run(forecasters or STATISTICAL, series, folds), series, folds)
     if combined:
         scored = staged(scored, "tracks")

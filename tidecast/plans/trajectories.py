@@ -86,16 +86,16 @@ def season_draws(trajectories: DataFrame, draws: int = 800, seed: int = 0) -> Da
 
 
 def drawn_levels(series: DataFrame, folds: DataFrame, population: DataFrame, calendar: DataFrame | None = None,
-                 draws: int = 800, seed: int = 0) -> DataFrame:
+                 draws: int = 800, seed: int = 0, years: DataFrame | None = None) -> DataFrame:
     """One row per (fold, geo, target week, drawn season): expected count ``mu`` and its multiplicity.
 
     A season drawn k times is one row with weight k, so a geo has as many rows as past seasons, not draws.
     """
     calendar = fo.fold_calendar(folds) if calendar is None else calendar
-    trajectories = curves(rollup.add_incidence(series, population), folds)
+    trajectories = curves(rollup.add_incidence(series, population, years), folds)
     weeks = calendar.withColumn("slot", cal.season_week(F.col("date")))
     drawn = trajectories.join(season_draws(trajectories, draws, seed), [*KEYS, "season_no"])
-    grid = rollup.attach_population(drawn.join(F.broadcast(weeks), ["fold_id", "slot"]), population)
+    grid = rollup.attach_population(drawn.join(F.broadcast(weeks), ["fold_id", "slot"]), population, years=years)
     # a year without a population takes the geo's last one
     latest = population.groupBy("geo").agg(F.max_by("population", "year").alias("_latest"))
     grid = grid.join(latest, "geo", "left").withColumn("population", F.coalesce("population", "_latest"))
@@ -154,8 +154,8 @@ def with_count_noise(levels: DataFrame, dispersions: DataFrame, seed: int = 0, p
 
 
 def mechanistic(series: DataFrame, folds: DataFrame, population: DataFrame, calendar: DataFrame | None = None,
-                draws: int = 800, seed: int = 0, pool: Column | None = None) -> DataFrame:
-    levels = drawn_levels(series, folds, population, calendar, draws, seed)
+                draws: int = 800, seed: int = 0, pool: Column | None = None, years: DataFrame | None = None) -> DataFrame:
+    levels = drawn_levels(series, folds, population, calendar, draws, seed, years)
     return with_count_noise(levels, dispersion(series, folds, pool=pool), seed, pool)
 
 
