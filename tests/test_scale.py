@@ -274,3 +274,31 @@ def test_populations_of_the_series_geos_and_all_years_give_the_same_forecasts(sp
     for model in models:
         want, found = ([tuple(r) for r in model(*args).orderBy("fold_id", "geo", "date").collect()] for args in ((full, None), (few, full.select("year"))))
         assert want and found == want
+
+
+def test_a_short_series_has_no_more_buckets_than_its_rows_need(spark, sf_dir):
+    rows = inputs.state_series(spark, sf_dir)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 400)
+    try:
+        many = inputs.state_series(spark, sf_dir)
+        assert many.rdd.getNumPartitions() <= -(-rows.count() // session.BUCKET_ROWS)  # 400 before, most of them empty
+        assert sorted(many.collect()) == sorted(rows.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_weekly_counts_meet_the_geography_without_moving_again(spark, sf_dir, monkeypatch):
+    def moved(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan.count("SortMergeJoin"), sorted(df.collect())
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joins, rows = moved(inputs.state_cases(spark, sf_dir))
+        monkeypatch.setattr(star, "MAP_ROWS", 0)
+        shuffled, same = moved(inputs.state_cases(spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert joins < shuffled and rows == same

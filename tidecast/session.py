@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_SCRATCH: dict[str, str] = {}
 _HANDOFFS: dict[tuple[str, str], str] = {}
 
+#: Rows a bucket of a bucketed hand-off at least holds: a row of a series becomes hundreds in what follows.
+BUCKET_ROWS = 512
+
 
 def build_session(app: str = "tidecast", cpus: str = "*", shuffle_partitions: int | None = None,
                   memory: str = "12g") -> SparkSession:
@@ -69,7 +72,8 @@ def handoff(spark: SparkSession, key: str, build, partition_by: list[str] | None
     Stages hand over written Parquet rather than a long lineage: a lost executor re-reads files
     instead of recomputing the forecasts, and the next stage gets column and partition pruning. A rewritten input has
     another fingerprint, so that what was built from the old one is not used again. With ``bucket_by`` the table is
-    bucketed into as many parts as a shuffle has, so that windows, aggregates and joins by that column plan no exchange.
+    bucketed, so that windows, aggregates and joins by that column plan no exchange: into as many parts as a shuffle has,
+    or fewer if its rows are few. Spark never merges buckets, and a larger input has more parts a shuffle but not more weeks.
     """
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = key if source is None else f"{key}:{fingerprint(spark, source)}"
@@ -78,7 +82,9 @@ def handoff(spark: SparkSession, key: str, build, partition_by: list[str] | None
         path = new_path(spark, "handoff")
         if bucket_by:
             table = f"handoff_{uuid.uuid4().hex}"
-            rows = build().repartition(buckets, bucket_by)
+            rows = staged(build(), "handoff-rows")
+            buckets = max(1, min(buckets, -(-rows.count() // BUCKET_ROWS)))
+            rows = rows.repartition(buckets, bucket_by)
             rows.write.format("parquet").option("path", path).bucketBy(buckets, bucket_by).saveAsTable(table)
             _HANDOFFS[slot] = table
         else:

@@ -25,16 +25,19 @@ def _ship_week() -> Column:
     return cal.week_start(F.col("l_shipdate").cast("date"))
 
 
+#: Rows of a map of geocodes that are broadcast at most.
+MAP_ROWS = 1_000_000
+
+
 def geo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """geocode, uf, macroregion."""
+    """geocode, uf, macroregion; to be broadcast up to ``MAP_ROWS`` rows, so that weekly facts meet it where they are."""
     nation = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    return (
-        table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(F.col("s_suppkey").alias("geocode"), F.col("n_name").alias("uf"),
-                F.col("r_name").alias("macroregion"))
-    )
+    supplier = table(spark, sf_dir, "supplier")
+    mapped = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("geocode"), F.col("n_name").alias("uf"), F.col("r_name").alias("macroregion"))
+    return F.broadcast(mapped) if supplier.count() <= MAP_ROWS else mapped
 
 
 def weekly_counts(spark: SparkSession, sf_dir: str, disease: str = "dengue") -> DataFrame:
