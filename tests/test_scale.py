@@ -302,3 +302,8 @@ def test_weekly_counts_meet_the_geography_without_moving_again(spark, sf_dir, mo
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert joins < shuffled and rows == same
+
+
+def test_both_panels_read_one_written_seasonal_table(spark, sf_dir):
+    files = [inputs.state_seasonal(spark, sf_dir).inputFiles() for _ in range(2)]
+    assert files[0] == files[1] and not any(f.endswith(("orders.parquet", "customer.parquet")) for f in files[0])

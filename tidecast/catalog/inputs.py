@@ -125,10 +125,10 @@ def static_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted seasonal forecast per state, issue month and months ahead."""
-    return rollup.weighted_seasonal(
+    """Weighted seasonal forecast per state, issue month and months ahead, as a written table: both panels look it up."""
+    return shared(spark, sf_dir, "seasonal", lambda: rollup.weighted_seasonal(
         star.seasonal_forecast(spark, sf_dir), star.customer_weight(spark, sf_dir),
-        star.customer_map(spark, sf_dir), SEASONAL_VALUES)
+        star.customer_map(spark, sf_dir), SEASONAL_VALUES))
 
 
 def tracks_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
